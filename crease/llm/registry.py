@@ -1,4 +1,4 @@
-"""The queries of the numbered operators."""
+"""The queries of the numbered operators and, where DuckDB can express them, their SQL."""
 
 from __future__ import annotations
 
@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import tokencount
+from crease.llm import licenses, pii, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_counts": tokencount.op5_token_counts}
+    return {
+        "op2_pii": pii.op2_pii,
+        "op4_license_scan": licenses.op4_license_scan,
+        "op5_token_counts": tokencount.op5_token_counts,
+        "op6_url_filter": urlfilter.op6_url_filter,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_filter": urlfilter.OP6_SQL}
