@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import licenses, packing, pii, sentencepieces, tokencount, urlfilter
+from crease.llm import licenses, packing, pii, quality, sentencepieces, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_pieces": sentencepieces.op7_pieces,
+        "op8_quality": quality.op8_quality,
         "op10_packing": packing.op10_packing,
     }
 
