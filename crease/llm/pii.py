@@ -223,13 +223,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
-    base = F.filter("spans", lambda s: s["kind"].isin(BASE_KINDS))
+    of_kinds = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(kinds))
+    base = of_kinds(BASE_KINDS)
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-            for k in BASE_KINDS
-        ],
+        *[F.size(of_kinds([k])).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
