@@ -245,5 +245,25 @@ def score_quality(
     )
 
 
+def keep_quality(
+    docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality"
+) -> DataFrame:
+    """The rows of docs, with all their columns, that score_quality would predict as 1.
+
+    The texts are read twice, to fit and to filter, and never shuffled; each row is judged by its own text.
+    """
+    rows = materialize(features(docs, key, text))
+    model = fit(rows.join(labels.select(key, label), key), label)
+
+    def start():
+        def each(batch: pa.RecordBatch):
+            score = model.score(np.array([statistics(x) for x in texts_of(batch, text)]))
+            yield batch.filter(pa.array(score >= threshold))
+
+        return each
+
+    return map_batches(docs, docs.schema, start)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import licenses, packing, pii, quality, sentencepieces, tokencount, urlfilter
+from crease.llm import licenses, neardup, packing, pii, quality, sentencepieces, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_pii": pii.op2_pii,
+        "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_license_scan": licenses.op4_license_scan,
         "op5_token_counts": tokencount.op5_token_counts,
         "op6_url_filter": urlfilter.op6_url_filter,
