@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import licenses, neardup, packing, pii, quality, sentencepieces, tokencount, urlfilter
+from crease.llm import licenses, neardup, packing, pii, quality, sentencepieces, tokencount, topk, urlfilter, vecdup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": topk.op1_top_k,
         "op2_pii": pii.op2_pii,
         "op3_near_duplicates": neardup.op3_near_duplicates,
         "op4_license_scan": licenses.op4_license_scan,
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_pieces": sentencepieces.op7_pieces,
         "op8_quality": quality.op8_quality,
+        "op9_vector_links": vecdup.op9_vector_links,
         "op10_packing": packing.op10_packing,
     }
 
