@@ -5,11 +5,233 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from crease import oracles
+from crease.functions import rules
+from crease.ml import chase
+from crease.operators import careers, editions, identity, ratings, scorecards
+from crease.sources import adapter, pages
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _balls(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """A query over the ball-by-ball view."""
+    return lambda spark, sf_dir: f(adapter.deliveries(spark, sf_dir))
+
+
+def _matches(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(adapter.matches(spark, sf_dir))
+
+
+def _both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """A query over matches and balls."""
+    return lambda spark, sf_dir: f(adapter.matches(spark, sf_dir), adapter.deliveries(spark, sf_dir))
+
+
+def _squads(m: DataFrame, b: DataFrame) -> DataFrame:
+    return editions.edition_squads(m, scorecards.innings_totals(b), scorecards.batting_card(b), scorecards.bowling_card(b))
+
+
+def _edition_filtered(m: DataFrame) -> DataFrame:
+    """Matches without a season in one event: null-safe equality on both parts of the key."""
+    return m.filter(rules.edition(F.col("event_name"), F.col("season"), "League 2", None)).select("match_id", "match_date")
+
+
+def _match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, ["Test", "MDM", "ODI", "ODM", "T20", "IT20", "T10", "The Hundred", "x"]))
+    teams = F.array(F.lit("international"), F.lit("club"), F.lit(None).cast("string"))
+    part = _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.get(kinds, (F.col("p_partkey") % 9).cast("int")).alias("t"),
+        F.get(teams, (F.col("p_size") % 3).cast("int")).alias("team_type"),
+    )
+    kind = rules.match_class(F.col("t"), F.col("team_type"))
+    return part.select(
+        "p_partkey",
+        kind.alias("match_class"),
+        rules.page_format(F.col("t")).alias("page_format"),
+        rules.archive_format(F.col("t")).alias("archive_format"),
+        rules.class_label(kind).alias("label"),
+        rules.class_rank(kind).alias("rank"),
+        rules.quota_balls(kind).alias("quota"),
+        kind.isin(*rules.INTERNATIONAL).alias("international"),
+        kind.isin(*rules.LIMITED_OVERS).alias("limited_overs"),
+    )
+
+
+def _dismissal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ["not out", "run out (x)", "st A b B", "lbw b C", "c & b D", "c E b F", "hit wicket", "b G", "retired hurt", "", "?"]
+    part = _table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.get(F.array(*map(F.lit, texts)), (F.col("p_partkey") % 11).cast("int")).alias("t"),
+        F.when(F.col("p_size") % 3 == 0, True).when(F.col("p_size") % 3 == 1, False).alias("out"),
+    )
+    return part.select("p_partkey", rules.dismissal_text(F.col("t"), F.col("out")).alias("kind"), rules.dismissal_token(F.col("t")).alias("token_kind"))
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    messy = F.concat(F.lit("  "), F.upper("p_name"), F.lit("   X "))
+    return part.select("p_partkey", rules.normal_name(messy).alias("name"), rules.token(F.col("p_type")).alias("token"), rules.acronym(F.col("p_name")).alias("acronym"))
+
+
+def _skip_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as incoming matches, a third of them known with a revision."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4 + 1).alias("revision"))
+    known = orders.filter("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_orderkey") % 5).alias("revision"))
+    return identity.pending(orders, known, "o_orderkey")
+
+
+def _revision_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    return identity.latest_revision(events, "user_id", F.col("event_id"), ["event_type"])
+
+
+def _crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select("user_id").distinct()
+    refs = events.select(
+        F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("u"), "user_id")).alias("player_id"),
+        F.concat(F.lit(" User  "), "user_id").alias("name"),
+        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("x"), "user_id")).alias("other_id"),
+    )
+    own = events.filter("user_id % 3 = 0").select(F.concat(F.lit("u"), "user_id").alias("id"), F.concat(F.lit("own"), "user_id").alias("canonical_id"))
+    other = events.filter("user_id % 4 = 0").select(F.concat(F.lit("x"), "user_id").alias("id"), F.concat(F.lit("oth"), "user_id").alias("canonical_id"))
+    return identity.resolve_players(refs, own, other)
+
+
+def _merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    old = orders.filter("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    new = orders.filter("o_orderkey % 2 = 0").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "N").alias("o_orderstatus"), F.lower("o_orderpriority").alias("o_orderpriority")
+    )
+    return identity.merge_keep_known(old, new, ["o_orderkey"])
+
+
+def _backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("o_orderkey")
+    formats = F.array(*map(F.lit, ["TEST", "ODI", "T20", "T10", "OTHER"]))
+    matches = _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("Team "), (m % 7).cast("string")).alias("team_home"),
+        F.concat(F.lit("Team "), ((m + 1) % 7).cast("string")).alias("team_away"),
+        F.get(formats, (m % 5).cast("int")).alias("match_format"),
+        F.when(m % 3 == 0, "ODI").alias("match_type"),
+        F.when(m % 2 == 0, "international").alias("team_type"),
+    )
+    teams = spark.range(7).select(F.concat(F.lit("Team "), F.col("id").cast("string")).alias("name"), (F.col("id") < 4).alias("is_national"))
+    return identity.backfill_class(matches, teams).select("o_orderkey", "match_class")
+
+
+def _json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    return events.select("event_id", pages.first_path(F.col("props"), ["$.a.b", "$.key", "$.k"]).alias("value"))
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("page_type"),
+        F.concat(F.lit("/u/"), "user_id").alias("url"),
+        F.col("ts").cast("timestamp").alias("fetched_at"),
+        F.concat(F.col("event_id").cast("string"), F.lit(":"), "props").alias("payload"),
+    )
+    now = events.agg(F.max("fetched_at").alias("now"))
+    # one row, the latest time
+    rows = identity.fresh_snapshots(events, F.lit(now.first()["now"]), 6 * 3600)
+    return rows.select("page_type", "key", "payload")
+
+
+def _batting(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return _both(lambda m, b: f(editions.batting_totals(m, scorecards.batting_card(b)), m))
+
+
+def _bowling(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return _both(lambda m, b: f(editions.bowling_totals(m, scorecards.bowling_card(b)), m))
+
+
+def _career_players(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return careers.career_players(adapter.deliveries(spark, sf_dir), adapter.players(spark, sf_dir))
+
+
+def queries() -> dict[str, Query]:
+    newest = editions.newest_first
+    return {
+        "over_rollup": _balls(scorecards.over_rollup),
+        "over_cumulative": _balls(scorecards.over_cumulative),
+        "overs_json": _balls(scorecards.overs_json),
+        "innings_totals": _balls(scorecards.innings_totals),
+        "innings_score_text": _balls(scorecards.innings_scores),
+        "match_summary": _both(scorecards.match_summary),
+        "batting_order": _balls(scorecards.batting_order),
+        "batting_card": _balls(scorecards.batting_card),
+        "bowling_card": _balls(scorecards.bowling_card),
+        "maiden_overs": _balls(scorecards.maiden_overs),
+        "dismissals": _balls(scorecards.dismissals),
+        "career_stats": _balls(careers.career_stats),
+        "career_players": _career_players,
+        "career_coverage": _balls(careers.career_coverage),
+        "career_totals": _balls(lambda b: careers.career_totals(careers.career_stats(b))),
+        "chase_features": _both(lambda m, b: chase.chase_features(b, m)),
+        "standings_nrr": _both(lambda m, b: editions.standings(m, scorecards.innings_totals(b))),
+        "edition_meta": _matches(editions.edition_meta),
+        "edition_venues": _matches(editions.edition_venues),
+        "competitions_nested": _matches(editions.competitions),
+        "edition_most_runs": _batting(lambda t, m: editions.most(t, "runs")),
+        "edition_sixes": _batting(lambda t, m: editions.most(t, "sixes")),
+        "edition_fours": _batting(lambda t, m: editions.most(t, "fours")),
+        "edition_highest_scores": _both(lambda m, b: editions.highest_scores(m, scorecards.batting_card(b))),
+        "edition_strike_rate": _batting(editions.best_strike_rate),
+        "edition_wickets": _bowling(lambda t, m: editions.most_wickets(t)),
+        "edition_economy": _bowling(editions.best_economy),
+        "edition_squads": _both(_squads),
+        "team_squad": _balls(lambda b: editions.team_squad(scorecards.innings_totals(b), scorecards.batting_card(b))),
+        "team_record": _matches(editions.team_record),
+        "team_counts": _matches(identity.team_counts),
+        "match_search_page": _matches(
+            lambda m: editions.paged(editions.search_matches(m, "LEAGUE 1", "ODI"), newest(), 2, 5).select("match_id", "match_date")
+        ),
+        "team_matches_page": _matches(
+            lambda m: editions.paged(editions.search_matches(m, team="T3"), newest(), 99, 7).select("match_id", "match_date")
+        ),
+        "player_page": lambda spark, sf_dir: editions.paged(
+            _career_players(spark, sf_dir), [F.desc("career_runs"), F.asc("player_id")], 2, 36
+        ),
+        "format_leaders_runs": _balls(lambda b: editions.format_leaders(careers.career_stats(b), "runs")),
+        "format_leaders_wickets": _balls(lambda b: editions.format_leaders(careers.career_stats(b), "wickets")),
+        "elo_ratings": _matches(lambda m: ratings.elo_ratings(m, min_matches=5)),
+        "match_class_rules": _match_rules,
+        "dismissal_rules": _dismissal_rules,
+        "name_normalise": _names,
+        "skip_known": _skip_known,
+        "revision_latest": _revision_latest,
+        "identity_crosswalk": _crosswalk,
+        "never_degrade_merge": _merge,
+        "class_backfill": _backfill,
+        "json_path_fallback": _json_paths,
+        "html_title_extract": lambda spark, sf_dir: pages.titles(_table(spark, sf_dir, "pages")),
+        "snapshot_latest": _snapshots,
+        "count_by_class": _balls(lambda b: b.groupBy("match_class").agg(F.count("*").alias("n"))),
+        "distinct_union": _balls(lambda b: careers.appearances(b, "match_class")),
+        "null_safe_filter": _balls(
+            lambda b: b.filter(rules.is_faced(F.col("extra_type"))).groupBy("extra_type").agg(F.count("*").alias("n"))
+        ),
+        "edition_null_season": _matches(_edition_filtered),
+        "semi_edition": _both(
+            lambda m, b: scorecards.innings_totals(
+                b.join(m.filter("event_name = 'League 3'").select("match_id"), "match_id", "left_semi")
+            )
+        ),
+        "anti_missing": lambda spark, sf_dir: _table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_orderstatus")
+        .join(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti"),
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
