@@ -10,7 +10,7 @@ from pathlib import Path
 
 #: Entries of one cache. Texts repeat their words, so the first ones seen are mostly the frequent ones; a full cache
 #: takes no more and later new words are worked out each time, with the same result.
-CACHE = 400_000
+CACHE = 700_000
 
 #: The pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -24,6 +24,10 @@ RANGE = 20_000
 MAX_CAPACITY = 65_536
 
 
+#: Marks that often end a word.
+MARKS = ".,;:!?"
+
+
 class Encoder:
     """Token ids of texts as bytes of little-endian uint32, by the tokenizers library, cached by word."""
 
@@ -34,25 +38,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
+        self.room = CACHE
+        self.marks = dict(zip(MARKS, self.encode_all(list(MARKS)), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of chunks of a space and a word. The tokenizer cuts between letters and a mark, so they go apart."""
+        parts = {w: w[:-1] if w[-1:] in MARKS and w[:-1].isalpha() else w for w in words}
+        todo = [w for w in set(parts.values()) if w not in self.words]
+        fresh = dict(zip(todo, self.encode_all([" " + w for w in todo]), strict=True))
+        if self.room > 0:
+            self.words.update(list(fresh.items())[: self.room])
+            self.room -= len(fresh)
+        for word, part in parts.items():
+            if word not in fresh:
+                value = self.words.get(part) or fresh[part]
+                fresh[word] = value if word == part else value + self.marks[word[-1]]
+                if self.room > 0:
+                    self.words[word] = fresh[word]
+                    self.room -= 1
+        return fresh
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text. Words after a lone space are encoded once and kept; whole texts with special strings go as one."""
         cut = [([x], []) if any(s in x for s in self.special) else chunks(x) for x in texts]
-        new = list(set().union(*(words for _, words in cut)) - self.words.keys())
-        whole = [x for starts, _ in cut for x in starts]
-        coded = self.encode_all([*whole, *(" " + w for w in new)])
-        fresh = dict(zip(new, coded[len(whole) :], strict=True))
-        room = CACHE - len(self.words)
-        self.words.update(list(fresh.items())[:room] if room > 0 else ())
-        look = self.words.__getitem__ if len(fresh) <= room else (self.words | fresh).__getitem__
-        out, at = [], 0
-        for starts, words in cut:
-            out.append(b"".join([*coded[at : at + len(starts)], *map(look, words)]))
-            at += len(starts)
+        found = [list(map(self.words.get, words)) for _, words in cut]
+        new = {w for (_, words), ids in zip(cut, found, strict=True) if None in ids for w, i in zip(words, ids, strict=True) if i is None}
+        fresh = self.learn(list(new)) if new else {}
+        coded = iter(self.encode_all([x for starts, _ in cut for x in starts]))
+        out = []
+        for (starts, words), ids in zip(cut, found, strict=True):
+            if None in ids:
+                ids = [fresh[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            out.append(b"".join([*(next(coded) for _ in starts), *ids]))
         return out
 
 
