@@ -17,6 +17,9 @@ from crease.llm.common import connected_components, map_batches, materialize, re
 #: probability (1 - 0.8^4)^20 = 3e-5, one of 0.85 with 4e-7.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 
+#: Pivots of a bucket in the second round.
+PARTS = 16
+
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORDS: list[Cache] = []
@@ -154,6 +157,29 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(alike >= similarity).select("id", "pivot")
 
 
+def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with the label of their class so far."""
+    return members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def next_pivots(members: DataFrame, labels: DataFrame, pivots: DataFrame, parts: int | None) -> DataFrame:
+    """Members outside the largest class of their bucket that were no pivot yet: bucket, pivot, own (its label).
+
+    With parts, at most so many of a bucket, spread by a hash; else all.
+    """
+    named = labelled(members, labels)
+    sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("k"))
+    largest = largest.filter("k > 1").select("bucket", F.col("most.label").alias("main"))
+    rest = named.join(largest, "bucket").filter("label <> main").join(
+        pivots.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti"
+    )
+    if parts is None:
+        return rest.select("bucket", F.col("id").alias("pivot"), F.col("label").alias("own"))
+    best = rest.groupBy("bucket", F.pmod(F.hash("id"), F.lit(parts))).agg(F.min(F.struct("id", "label")).alias("row"))
+    return best.select("bucket", F.col("row.id").alias("pivot"), F.col("row.label").alias("own"))
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -166,9 +192,10 @@ def near_duplicates(
     nothing. The key is an integer; rows with a null key take no part (class_id and kept null); of rows with
     one key and different texts, each is in the class of its own text. Other columns are left out.
 
-    Within a band's bucket no all-pairs comparison is made: every member is compared with a pivot, and while members
-    that were no pivot yet are in different classes, members of the smallest class become pivots in turn. So each link
-    that could still join two classes is tested, and a bucket of thousands of near copies takes one or two rounds.
+    Within a band's bucket pairs are not all compared: every member is compared with a first pivot; then some, and at
+    last all, members outside the bucket's largest class become pivots and are compared with the members of other
+    classes. What is left untested lies within one class, so no link that could join two classes is lost, and a bucket
+    of thousands of near copies costs a few comparisons a member.
     """
     signed = materialize(signatures(docs, key, text, bands, rows))
     contents = signed.groupBy("content").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
@@ -187,28 +214,15 @@ def near_duplicates(
     links = materialize(verified(pairs, sets, similarity))
     labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     members = members.select("bucket", "id")
-    turn = 0
-    while True:
-        turn += 1
-        known = labels.withColumnRenamed("v", "id")
-        named = members.join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        idle = named.join(pivots.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti")
-        sizes = idle.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        smallest = sizes.groupBy("bucket").agg(F.min(F.struct("n", "label")).alias("least"), F.count("*").alias("k"))
-        smallest = smallest.filter("k > 1").select("bucket", F.col("least.label").alias("label"))
-        spread = min(2 ** (turn - 1), 1024)
-        fresh = materialize(
-            idle.join(smallest, ["bucket", "label"])
-            .groupBy("bucket", "label", F.pmod(F.hash("id"), F.lit(spread)).alias("part"))
-            .agg(F.min("id").alias("pivot"))
-            .select("bucket", "label", "pivot")
-        )
+    for parts in (PARTS, None):
+        fresh = materialize(next_pivots(members, labels, pivots, parts))
         if fresh.isEmpty():
             break
-        pivots = materialize(pivots.union(fresh.select("bucket", "pivot")))
-        others = fresh.withColumnRenamed("label", "own")
-        pairs = named.join(others, "bucket").filter("label <> own").select("id", "pivot").distinct()
-        links = materialize(links.union(verified(pairs, sets, similarity)))
+        pivots = pivots.union(fresh.select("bucket", "pivot"))
+        pairs = labelled(members, labels).join(fresh, "bucket").filter("label <> own").select(
+            F.greatest("id", "pivot").alias("id"), F.least("id", "pivot").alias("pivot")
+        )
+        links = materialize(links.union(verified(pairs.distinct(), sets, similarity)))
         labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
     classes = contents.join(labels.withColumnRenamed("v", "id"), "id", "left").select(
