@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,11 +58,6 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns of df; a file split is a task's share, whatever key is hot."""
-    return df.select(*[F.col(c) for c in columns])
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Smallest reachable id of every vertex of an undirected graph: columns v, label.
 
@@ -92,3 +88,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def hook(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the components of u[k] and v[k] for all k; parent points to smaller numbers and is flat afterwards."""
+    while len(u):
+        a, b = parent[u], parent[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            flat = parent[parent]
+            if (flat == parent).all():
+                break
+            parent[:] = flat

@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.llm.bpe import Cache
-from crease.llm.common import connected_components, map_batches, materialize, read_table, texts_of
+from crease.llm.common import connected_components, hook, map_batches, materialize, read_table, texts_of
 
 #: Words of a shingle; least similarity; bands and registers of a band. A pair of similarity 0.8 meets in no band with
 #: probability (1 - 0.8^4)^20 = 3e-5, one of 0.85 with 4e-7.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 
-#: Pivots of a bucket in the second round.
-PARTS = 16
+#: Members of a bucket's largest class that the others are compared with in the second round.
+SAMPLE = 2
+#: Shingles on one side of a block in the last round.
+BLOCK = 2_000_000
 
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -162,22 +164,81 @@ def labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
-def next_pivots(members: DataFrame, labels: DataFrame, pivots: DataFrame, parts: int | None) -> DataFrame:
-    """Members outside the largest class of their bucket that were no pivot yet: bucket, pivot, own (its label).
-
-    With parts, at most so many of a bucket, spread by a hash; else all.
-    """
-    named = labelled(members, labels)
+def classes_of_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members other than the pivot of buckets where these are in several classes so far: with label and main class."""
+    named = labelled(members, labels).filter("id <> pivot")
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("k"))
-    largest = largest.filter("k > 1").select("bucket", F.col("most.label").alias("main"))
-    rest = named.join(largest, "bucket").filter("label <> main").join(
-        pivots.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti"
+    return named.join(largest.filter("k > 1").select("bucket", F.col("most.label").alias("main")), "bucket")
+
+
+def sampled_pairs(split: DataFrame) -> DataFrame:
+    """Each member outside its bucket's main class with SAMPLE members of that class, the same for all of a bucket."""
+    order = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"]
+    chosen = split.filter("label = main").groupBy("bucket").agg(F.array(*map(order, range(SAMPLE))).alias("chosen"))
+    outside = split.filter("label <> main").join(chosen, "bucket")
+    return outside.select("id", F.explode("chosen").alias("pivot")).distinct()
+
+
+def join_block(table: pa.Table, similarity: float) -> pa.Table:
+    """Links of the hosts of a block with its other rows: for each linked row its id and the smallest id it reaches.
+
+    The rows' shingles make an inverted index; a host's shared shingles with all rows are counted at once.
+    """
+    ids = table.column("id").to_numpy()
+    host, guest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("host", "guest"))
+    sets = table.column("shingles").combine_chunks()
+    sizes = sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    flat = sets.flatten().to_numpy()
+    row = np.repeat(np.arange(len(ids)), sizes)
+    indexed = guest[row]
+    order = np.argsort(flat[indexed], kind="stable")
+    postings = row[indexed][order]
+    words, first, count = np.unique(flat[indexed][order], return_index=True, return_counts=True)
+    node_ids, node = np.unique(ids, return_inverse=True)
+    parent = np.arange(len(node_ids))
+    for h in np.flatnonzero(host):
+        own = flat[ends[h] - sizes[h] : ends[h]]
+        at = np.searchsorted(words, own)
+        at = at[at < len(words)]
+        at = at[np.isin(words[at], own)]
+        n = count[at]
+        places = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = np.bincount(postings[places], minlength=len(ids))
+        linked = np.flatnonzero((same > 0) & guest & (same >= similarity * (sizes + sizes[h] - same)))
+        hook(parent, np.full(len(linked), node[h]), node[linked])
+    moved = np.flatnonzero(parent != np.arange(len(parent)))
+    return pa.table({"id": node_ids[moved], "pivot": node_ids[parent[moved]]})
+
+
+def linked_in_blocks(split: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members outside their bucket's main class and all members: spanning edges (id, pivot).
+
+    A bucket is compared in blocks of at most about BLOCK shingles a side, each in a task of its own.
+    """
+    rows = split.select("bucket", "id", (F.col("label") != F.col("main")).alias("host"))
+    sized = rows.join(sets.select("id", F.size("shingles").alias("n")), "id")
+    blocks = sized.groupBy("bucket").agg(
+        F.ceil(F.sum(F.when(F.col("host"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("hosts"),
+        F.ceil(F.sum("n") / BLOCK).cast("int").alias("all"),
+    )
+    placed = rows.join(blocks, "bucket")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    one = F.col("all") == 1
+    guests = placed.select(
+        "bucket", "id", (F.col("host") & one).alias("host"), F.lit(True).alias("guest"), every("hosts").alias("i"), at("all").alias("j")
+    )
+    hosts = placed.filter(F.col("host") & ~one).select(
+        "bucket", "id", F.lit(True).alias("host"), F.lit(False).alias("guest"), at("hosts").alias("i"), every("all").alias("j")
+    )
+    return (
+        guests.unionByName(hosts)
+        .join(sets, "id")
+        .groupBy("bucket", "i", "j")
+        .applyInArrow(lambda table: join_block(table, similarity), "id long, pivot long")
     )
-    if parts is None:
-        return rest.select("bucket", F.col("id").alias("pivot"), F.col("label").alias("own"))
-    best = rest.groupBy("bucket", F.pmod(F.hash("id"), F.lit(parts))).agg(F.min(F.struct("id", "label")).alias("row"))
-    return best.select("bucket", F.col("row.id").alias("pivot"), F.col("row.label").alias("own"))
 
 
 def near_duplicates(
@@ -192,10 +253,10 @@ def near_duplicates(
     nothing. The key is an integer; rows with a null key take no part (class_id and kept null); of rows with
     one key and different texts, each is in the class of its own text. Other columns are left out.
 
-    Within a band's bucket pairs are not all compared: every member is compared with a first pivot; then some, and at
-    last all, members outside the bucket's largest class become pivots and are compared with the members of other
-    classes. What is left untested lies within one class, so no link that could join two classes is lost, and a bucket
-    of thousands of near copies costs a few comparisons a member.
+    Within a band's bucket pairs are not all compared. First every member is compared with the smallest one; then the
+    members outside the bucket's largest class with two members of that class; at last those that are still outside
+    are compared, block by block inside tasks, with all members. What is left untested lies within one class, so no
+    link that could join two classes is lost; a bucket of thousands of near copies costs a few comparisons a member.
     """
     signed = materialize(signatures(docs, key, text, bands, rows))
     contents = signed.groupBy("content").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
@@ -209,21 +270,15 @@ def near_duplicates(
     )
     sets = materialize(sets.distinct())
 
-    pivots = members.select("bucket", "pivot").distinct()
     pairs = members.filter("id <> pivot").select("id", "pivot").distinct()
     links = materialize(verified(pairs, sets, similarity))
-    labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
-    members = members.select("bucket", "id")
-    for parts in (PARTS, None):
-        fresh = materialize(next_pivots(members, labels, pivots, parts))
-        if fresh.isEmpty():
-            break
-        pivots = pivots.union(fresh.select("bucket", "pivot"))
-        pairs = labelled(members, labels).join(fresh, "bucket").filter("label <> own").select(
-            F.greatest("id", "pivot").alias("id"), F.least("id", "pivot").alias("pivot")
-        )
-        links = materialize(links.union(verified(pairs.distinct(), sets, similarity)))
+    for compare in (lambda split: verified(sampled_pairs(split), sets, similarity), lambda split: linked_in_blocks(split, sets, similarity)):
         labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        split = materialize(classes_of_buckets(members, labels))
+        if split.isEmpty():
+            break
+        links = materialize(links.union(compare(split)).distinct())
+    labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
     classes = contents.join(labels.withColumnRenamed("v", "id"), "id", "left").select(
         "content", F.coalesce("label", "id").alias("class_id")

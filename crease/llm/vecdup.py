@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm.common import connected_components, materialize, read_table
+from crease.llm.common import connected_components, hook, materialize, read_table
 
 #: Vectors that a cell should have, and most cells: pivots are what the driver and every task hold.
 CELL, MAX_CELLS = 1000, 4096
@@ -51,22 +51,6 @@ def boundary(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarra
     return home, guest
 
 
-def hook(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
-    """Join the components of u[k] and v[k] for all k; parent points to smaller numbers and is flat afterwards."""
-    while len(u):
-        a, b = parent[u], parent[v]
-        apart = a != b
-        if not apart.any():
-            return
-        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
-        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            flat = parent[parent]
-            if (flat == parent).all():
-                break
-            parent[:] = flat
-
-
 def join_block(table: pa.Table, width: int, threshold: float) -> pa.Table:
     """Links of the hosts (side 0) of a block with its other rows (side 1: hosts again, and guests).
 

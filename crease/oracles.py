@@ -107,7 +107,7 @@ bb AS (
   SELECT player_id, match_class, wickets, runs,
     row_number() OVER (PARTITION BY player_id, match_class ORDER BY wickets DESC, runs) AS rn FROM bowl_inn),
 careers AS (
-  SELECT player_id, match_class, {_n('coalesce(a.matches, 0)')} AS matches,
+  SELECT k.player_id || '' AS player_id, k.match_class || '' AS match_class, {_n('coalesce(a.matches, 0)')} AS matches,
     {', '.join(f"{_n(f'coalesce(b.{c}, 0)')} AS {c}" for c in ('bat_innings', 'runs', 'balls_faced', 'not_outs', 'high_score'))},
     coalesce(hs.notout, 0) = 1 AS high_score_not_out,
     {', '.join(f"{_n(f'coalesce(b.{c}, 0)')} AS {c}" for c in ('fifties', 'hundreds', 'ducks', 'fours', 'sixes'))},
@@ -119,7 +119,8 @@ careers AS (
     {_r2('w.runs_conceded', 'w.balls_bowled / 6.0', 'w.balls_bowled > 0')} AS economy,
     {_r2('w.runs_conceded', 'w.wickets', 'w.wickets > 0')} AS bowling_avg,
     {_r2('w.balls_bowled', 'w.wickets', 'w.wickets > 0')} AS bowling_sr
-  FROM cbat b FULL JOIN cbowl w USING (player_id, match_class) LEFT JOIN hs USING (player_id, match_class)
+  FROM (SELECT player_id, match_class FROM cbat UNION SELECT player_id, match_class FROM cbowl) k
+  LEFT JOIN cbat b USING (player_id, match_class) LEFT JOIN cbowl w USING (player_id, match_class) LEFT JOIN hs USING (player_id, match_class)
   LEFT JOIN appcnt a USING (player_id, match_class)
   LEFT JOIN (SELECT * FROM bb WHERE rn = 1) bb USING (player_id, match_class))"""
 
@@ -187,7 +188,7 @@ SQL: dict[str, str] = {
     "dismissals": _with(BATTING) + "SELECT * FROM outs",
     "bowling_card": _with(BOWLING) + "SELECT * FROM g_bowl",
     "maiden_overs": _with(BOWLING) + "SELECT match_id, innings_no, player_id, maidens FROM g_bowl",
-    "career_stats": _with(CAREERS) + "SELECT * FROM careers",
+    "career_stats": _with(CAREERS) + "SELECT * FROM careers ORDER BY player_id, match_class",
     "career_totals": _with(CAREERS)
     + f"SELECT player_id, {_n('sum(matches)')} AS matches, {_n('sum(runs)')} AS runs, {_n('sum(wickets)')} AS wickets"
     " FROM careers GROUP BY player_id",

@@ -162,7 +162,7 @@ placed AS (
 balls AS (
   SELECT *, CASE WHEN extra_type IS NOT NULL OR q <= 25 THEN 0 ELSE q % 7 END AS runs_batter,
     CASE WHEN extra_type IS NOT NULL THEN 1 ELSE 0 END AS runs_extras FROM placed),
-deliveries AS (
+deliveries AS MATERIALIZED (
   SELECT match_id, match_class, gender, season, event_name, venue, city, match_date, inn AS innings_no,
     rn // 6 AS over_no, rn % 6 + 1 AS ball_in_over, 'T' || bat AS batting_team, 'T' || bowl AS bowling_team,
     'P' || (bat * 11 + spell) AS batter_id, 'Player ' || (bat * 11 + spell) AS batter_name,
