@@ -139,7 +139,7 @@ def top_k(
     Rows with the query's own key are no candidates; ties go to the smaller key; all candidates if fewer than k. The
     search is exact. Rows with a null key, and vectors that are null or hold null or non-finite components, take no
     part. Vectors of different lengths are filled up with zeros. Equal rows of queries ask once; a repeated key in
-    vectors is as many candidates; a query key with several vectors gets the k best of their rows together. Other
+    vectors is as many candidates; scores beyond the range of long are cut to it and then equal; a query key with several vectors gets the k best of their rows together. Other
     columns are left out.
 
     Vectors are dealt over trees by their place in the input, so no key or common vector is hot, and queries go to

@@ -1,0 +1,183 @@
+"""Operators 2, 4, 5 and 7 against plain versions over whole texts."""
+
+import hashlib
+import re
+
+import public_tokenizers
+import pytest
+import sentencepiece
+from llm_helpers import TEXTS, edge_docs, no_docs, sample_docs, texts
+from tokenizers import Tokenizer
+
+from crease.llm import licenses, pii, sentencepieces, tokencount
+
+SMALL = [t for t in TEXTS if t is None or len(t) < 60_000]
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else sum(map(int, str(2 * int(c)))) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base_spans(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 14 <= len(digits(m[0])) <= 19 and luhn(digits(m[0])):
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(digits(m[0])) <= 15:
+            out.append(("phone", *m.span()))
+    return sorted(out, key=lambda s: (s[1], pii.KINDS.index(s[0])))
+
+
+def test_pii_of_the_table(spark, sf_dir):
+    want = {}
+    for i, t in texts(sample_docs(spark, sf_dir)):
+        s = base_spans(t)
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        want[i] = (*(sum(x[0] == k for x in s) for k in pii.BASE_KINDS), hashlib.sha256(joined.encode()).hexdigest(), joined)
+    found = pii.op2_pii(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in found} == {i: w[:5] for i, w in want.items()}
+    for r in found:
+        assert set(filter(None, want[r.doc_id][5].split(","))) <= set(r.spans.split(","))
+    assert sum(r.n_email + r.n_card + r.n_phone + r.n_ip for r in found) > 0
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a@b@c.d x.y@z.w@q.r",
+        "1.2.3.4.5.6.7.8 256.1.1.1 01.002.0003.4 1.2.3.4567",
+        "4111-1111-1111-1111 41111111111111111111 4111 1111 1111 1111 4111 1111 1111 1111",
+        "+1 (555) 010-9999 +44 20 7946 0958. ++1 23 +1-2-3-4-5-6-7-8-9-0-1-2-3-4-5-6",
+        "é🙂 bob@x.org 4111111111111111@x.org",
+    ],
+)
+def test_pii_base_spans(text):
+    assert [s[:3] for s in pii.find_spans(text) if s.kind in pii.BASE_KINDS] == base_spans(text)
+
+
+def test_pii_context_and_checksums():
+    kinds = lambda t: [s.kind for s in pii.find_spans(t)]
+    assert kinds("my iban GB82 WEST 1234 5698 7654 32 thanks") == ["iban"]
+    assert kinds("my iban GB83 WEST 1234 5698 7654 32 thanks") == []
+    assert kinds("ssn 123-45-6789") == ["ssn"] and kinds("value 123-45-6789") == []
+    assert kinds("call 555-010-9999") == ["national_phone"]
+    assert pii.redact("to bob@x.org now", pii.find_spans("to bob@x.org now")) == "to [EMAIL] now"
+
+
+def test_pii_edges(spark):
+    docs = edge_docs(spark)
+    rows = pii.find_pii(docs).collect()
+    assert len(rows) == docs.count() and all(r.redacted is not None for r in rows)
+    masked = pii.mask_pii(docs)
+    assert masked.schema == docs.schema and masked.count() == docs.count()
+    assert masked.filter("text is null").count() == 1
+    assert "bob" not in masked.filter("doc_id = 8").first().text
+    assert pii.find_pii(no_docs(spark)).count() == pii.mask_pii(no_docs(spark)).count() == 0
+
+
+def words_of(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def base_places(words):
+    out = []
+    for phrase, label in licenses.BASE_PHRASES.items():
+        p = phrase.split(" ")
+        out += [(i, label) for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+    return sorted(out)
+
+
+def check_licenses(rows, pairs):
+    want = []
+    for i, t in pairs:
+        w = words_of(t)
+        b = base_places(w)
+        want.append((i, len(w), len(b), b[0][0] if b else None, b[-1][0] if b else None, ",".join(sorted({x for _, x in b}))))
+    key = lambda x: (str(x[0]), x[1:3])
+    assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows), key=key) == sorted(want, key=key)
+    for r in rows:
+        labels = [x for x in r.labels.split(",") if x]
+        assert set(filter(None, r.base_labels.split(","))) <= set(labels) and labels == sorted(set(labels)) and 0 <= r.score <= 1
+
+
+def test_licenses_of_the_table(spark, sf_dir):
+    rows = licenses.op4_license_scan(spark, sf_dir).collect()
+    check_licenses(rows, texts(sample_docs(spark, sf_dir)))
+    assert any(r.n_base for r in rows)
+
+
+def test_licenses_edges(spark):
+    docs = edge_docs(spark)
+    check_licenses(licenses.scan_licenses(docs).collect(), texts(docs))
+    assert licenses.scan_licenses(no_docs(spark)).count() == 0
+    given = [
+        "Under the MIT License. under-the-mit-license under the mit licensed",
+        "Licensed under the Apache License, Version 2.0 (the License)",
+        "SPDX-License-Identifier: GPL-3.0-only and CC BY-NC 4.0, cc by nc",
+        "the permit license is not one",
+        "creative commons attribution share-alike 4.0",
+    ]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    rows = sorted(licenses.scan_licenses(docs).collect())
+    check_licenses(rows, texts(docs))
+    assert [r.labels for r in rows] == ["mit", "apache-2", "cc-by-nc,gpl-3", "", "cc-by-sa"]
+
+
+def test_token_counts(spark, sf_dir):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    want = {i: (len(t.encode()), size(t), size(t) > 512) for i, t in texts(sample_docs(spark, sf_dir))}
+    found = tokencount.op5_token_counts(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in found} == want
+    docs = edge_docs(spark)
+    got = tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert sorted((r.n_bytes, r.n_tokens) for r in got) == sorted((len(t.encode()), size(t)) for _, t in texts(docs))
+    assert tokencount.count_tokens(no_docs(spark), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
+
+
+ODD = [
+    "a  b", " lead", "trail ", "a\tb", "a \n b", "don't  we'll I'M", "x　y  z", "123 456", "a\x00b", "é́ ñ", "▁ ▁▁a", " a   b",
+    "<|endoftext|>", "a <|endoftext|> b<|endoftext|>", "\r\n \r\n", "🙂🙂 🙂", "ﬁ ﬂ ①", "</s> <unk> <0x41>", "…", "​ ﻿", "a\n", "\n a", ".,;:!? a, b. c!",
+]
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_odd_texts_are_cut_as_the_libraries_do(text):
+    from crease.llm.packing import encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert tokencount.counter(path).count(text) == len(ids)
+    import numpy as np
+
+    assert np.frombuffer(encoder(path).encode([text])[0], "<u4").tolist() == ids
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = library.encode(text, add_eos=True)
+    found, ends = sentencepieces.model(path).encode(text)
+    assert found.tolist() == want
+    assert sentencepieces.model(path).decode(want) == library.decode(want)
+    assert ends[-1] == len(text.encode()) and (ends[1:] >= ends[:-1]).all()
+
+
+def test_pieces(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def want(t):
+        ids = library.encode(t, add_eos=True)
+        return len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))
+
+    found = sentencepieces.op7_pieces(spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found} == {i: want(t) for i, t in texts(sample_docs(spark, sf_dir))}
+    docs = edge_docs(spark)
+    got = sentencepieces.encode_pieces(docs, path).collect()
+    assert sorted((len(r.ids), sha(" ".join(map(str, r.ids))), sha(r.decoded)) for r in got) == sorted(want(t) for _, t in texts(docs))
+    assert sentencepieces.encode_pieces(no_docs(spark), path).count() == 0
