@@ -18,8 +18,11 @@ BASE_PHRASES = {
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: What stands before an identifier, and the keyword of the rules for identifiers.
+IDENTIFIER = "spdx license identifier"
+
 #: License families: label -> (keyword, name as a regular expression over words, SPDX identifier over words). The
-#: keyword is a plain string that every text which the family's rules can match contains.
+#: keyword is a plain string that every text which contains the name contains.
 FAMILIES = {
     "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
     "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
@@ -109,6 +112,7 @@ def rules() -> list[tuple[str, str, int, str, float, bool]]:
             out.append((keyword.format(name=name), label, len(out), form.format(name=name), score, False))
     for form, score in FORMS:
         for label, (keyword, name, spdx) in FAMILIES.items():
+            keyword = IDENTIFIER if "{spdx}" in form else keyword
             out.append((keyword, label, len(out), form.format(name=f"(?:{name})", spdx=spdx), score, False))
     for label, (keyword, phrase) in PHRASES.items():
         out.append((keyword, label, len(out), phrase, 0.5, False))
