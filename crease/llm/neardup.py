@@ -64,8 +64,11 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     Each element of a document sends arrivals as a Poisson process of the rate of its weight, seeded by the element
     alone, and each arrival falls into a random register. Registers of two documents agree with the probability
     Jaccard similarity of their weights. An element stops once its next arrival is later than the latest first arrival
-    in all of its document's registers. doc is sorted; every document has an element.
+    in all of its document's registers. doc is sorted; every document has an element. At most 2048 registers, which is
+    what the eleven bits of an arrival that choose one can reach.
     """
+    if not 0 < registers <= 2048:
+        raise ValueError("registers must be 1 to 2048")
     first = np.full(n_docs * registers, np.inf)
     by_doc = first.reshape(n_docs, registers)
     signature = np.zeros(n_docs * registers, np.uint64)
