@@ -204,8 +204,9 @@ def join_block(table: pa.Table, similarity: float) -> pa.Table:
     for h in np.flatnonzero(host):
         own = flat[ends[h] - sizes[h] : ends[h]]
         at = np.searchsorted(words, own)
-        at = at[at < len(words)]
-        at = at[np.isin(words[at], own)]
+        inside = at < len(words)
+        at, own = at[inside], own[inside]
+        at = at[words[at] == own]
         n = count[at]
         places = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
         same = np.bincount(postings[places], minlength=len(ids))

@@ -108,3 +108,35 @@ def test_registers_are_checked():
     one = np.ones(1, np.uint64)
     with pytest.raises(ValueError, match="registers"):
         neardup.prob_minhash(np.zeros(1, int), one, np.ones(1), 1, 4000)
+
+
+def test_hosts_that_are_not_in_the_block(spark, monkeypatch):
+    """Copies of one shingle set fill several blocks; hosts of similarity 0.6 to 0.79 must stay apart in each."""
+    monkeypatch.setattr(neardup, "BLOCK", 3000)
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    base = [word() for _ in range(204)]
+    rows = [(i, " ".join(base) + "." * i) for i in range(60)]
+    for i, n in enumerate(np.linspace(24, 110, 40).astype(int)):  # 176 of 200 shingles are shared, n are its own
+        rows.append((100 + i, " ".join(base[:180] + [word() for _ in range(n)])))
+    for i in range(20):  # links that must stay
+        rows.append((200 + i, " ".join(base[: 170 + i])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(neardup.near_duplicates(df)) == classes(rows)
+
+
+def test_block_counts_only_shared_shingles():
+    import pyarrow as pa
+
+    hosts = np.arange(0, 2000, 2)
+    sets = [hosts, hosts[:600]]
+    table = lambda host, guest: pa.table(
+        {"id": [1, 2], "host": host, "guest": guest, "shingles": pa.array(sets, pa.list_(pa.int64()))}
+    )
+    assert neardup.join_block(table([True, False], [False, True]), 0.8).num_rows == 0
+    assert neardup.join_block(table([True, False], [False, True]), 0.6).to_pylist() == [{"id": 2, "pivot": 1}]
+    sets = [hosts, hosts + 1]
+    assert neardup.join_block(table([True, False], [False, True]), 0.1).num_rows == 0
+    sets = [hosts, hosts[np.arange(1000) % 5 < 3]]
+    assert neardup.join_block(table([True, False], [False, True]), 0.8).num_rows == 0
+    assert neardup.join_block(table([True, False], [False, False]), 0.1).num_rows == 0
