@@ -14,7 +14,7 @@ from crease.llm.bpe import Cache
 from crease.llm.common import connected_components, hook, map_batches, materialize, read_table, texts_of
 
 #: Words of a shingle; least similarity; bands and registers of a band. A pair of similarity 0.8 meets in no band with
-#: probability (1 - 0.8^4)^20 = 3e-5, one of 0.85 with 4e-7.
+#: probability (1 - 0.8^4)^20 = 3e-5, one of 0.85 with 4e-7, however often the shingles of either text are repeated.
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 
 #: Members of a bucket's largest class that the others are compared with in the second round.
@@ -101,28 +101,36 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def signatures(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
     """id, content (digest of the text) and bands (none for texts without words) of each row with a key.
 
-    Weights are 1 + ln(count), so that one shingle repeated over and over does not outweigh the rest.
+    Weights are 1 + ln(count), so that one shingle repeated over and over does not outweigh the rest. As links are
+    defined by distinct shingles, a text with repeats has the bands of its signature of equal weights too; without
+    repeats both signatures are the same.
     """
 
     def start():
         words = word_cache()
 
+        def signed(parts: list) -> np.ndarray:
+            if not parts:
+                return np.zeros((0, bands), np.int64)
+            found = prob_minhash(
+                np.repeat(np.arange(len(parts)), [len(s) for s, _ in parts]),
+                np.concatenate([s for s, _ in parts]),
+                1 + np.log(np.concatenate([n for _, n in parts])),
+                len(parts),
+                bands * rows,
+            )
+            return bands_of(found, bands, rows)
+
         def each(batch: pa.RecordBatch):
             texts = texts_of(batch, text)
             parts = [np.unique(shingles(x, words), return_counts=True) for x in texts]
             full = [i for i, (s, _) in enumerate(parts) if len(s)]
             out: list = [[]] * len(texts)
-            if full:
-                sizes = [len(parts[i][0]) for i in full]
-                found = prob_minhash(
-                    np.repeat(np.arange(len(full)), sizes),
-                    np.concatenate([parts[i][0] for i in full]),
-                    1 + np.log(np.concatenate([parts[i][1] for i in full])),
-                    len(full),
-                    bands * rows,
-                )
-                for i, b in zip(full, bands_of(found, bands, rows), strict=True):
-                    out[i] = b
+            for i, b in zip(full, signed([parts[i] for i in full]), strict=True):
+                out[i] = b
+            repeats = [i for i in full if parts[i][1].max() > 1]
+            for i, b in zip(repeats, signed([(parts[i][0], np.ones(len(parts[i][0]))) for i in repeats]), strict=True):
+                out[i] = np.union1d(out[i], b)
             digests = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int64()))],

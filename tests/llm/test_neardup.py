@@ -140,3 +140,15 @@ def test_block_counts_only_shared_shingles():
     sets = [hosts, hosts[np.arange(1000) % 5 < 3]]
     assert neardup.join_block(table([True, False], [False, True]), 0.8).num_rows == 0
     assert neardup.join_block(table([True, False], [False, False]), 0.1).num_rows == 0
+
+
+def test_copies_with_other_repeats_meet(spark):
+    rng = np.random.default_rng(17)
+    word = lambda: f"w{rng.integers(0, 10**9)}"
+    rows = []
+    for i in range(60):  # 196 shingles, and a copy with 34 more of which 30 stand 300 times
+        base, passage = [word() for _ in range(200)], [word() for _ in range(30)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base + passage * 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = got(neardup.near_duplicates(df))
+    assert found == classes(rows) and [c for _, c, _ in found] == [i - i % 2 for i in range(120)]
