@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.llm.bpe import Cache
@@ -98,6 +98,11 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(total).view(np.int64)
 
 
+def digest(text: str) -> Column:
+    """What tells texts apart; null is read as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
 def signatures(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
     """id, content (digest of the text) and bands (none for texts without words) of each row with a key.
 
@@ -122,7 +127,7 @@ def signatures(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> D
             return bands_of(found, bands, rows)
 
         def each(batch: pa.RecordBatch):
-            texts = texts_of(batch, text)
+            texts = texts_of(batch, "text")
             parts = [np.unique(shingles(x, words), return_counts=True) for x in texts]
             full = [i for i, (s, _) in enumerate(parts) if len(s)]
             out: list = [[]] * len(texts)
@@ -131,15 +136,15 @@ def signatures(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> D
             repeats = [i for i in full if parts[i][1].max() > 1]
             for i, b in zip(repeats, signed([(parts[i][0], np.ones(len(parts[i][0]))) for i in repeats]), strict=True):
                 out[i] = np.union1d(out[i], b)
-            digests = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in texts]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(out, pa.list_(pa.int64()))],
-                ["id", "content", "bands"],
+                [batch.column("id"), batch.column("content"), pa.array(out, pa.list_(pa.int64()))], ["id", "content", "bands"]
             )
 
         return each
 
-    rows_in = docs.filter(F.col(key).isNotNull()).select(key, text)
+    rows_in = docs.filter(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("id"), digest(text).alias("content"), F.col(text).alias("text")
+    )
     return map_batches(rows_in, "id long, content binary, bands array<long>", start)
 
 
@@ -253,33 +258,20 @@ def linked_in_blocks(split: DataFrame, sets: DataFrame, similarity: float) -> Da
     )
 
 
-def near_duplicates(
-    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """The class of each document: key, class_id (smallest id of the class), kept (key = class_id); a row per row.
+def classified(docs: DataFrame, similarity: float, bands: int, rows: int, key: str, text: str) -> DataFrame:
+    """id (the key), content, class_id and kept of each row with a key.
 
-    Words are runs of word characters, lower-cased; shingles are runs of five words (all words of a shorter text).
-    Two texts link if they share a band of their signatures and the Jaccard similarity of their distinct shingles,
-    computed exactly, is at least `similarity`; classes are the connected components. Equal texts are one before the
-    signatures are banded and link always, empty and null texts among them; other texts without words link with
-    nothing. The key is an integer; rows with a null key take no part (class_id and kept null); of rows with
-    one key and different texts, each is in the class of its own text. Other columns are left out.
-
-    Within a band's bucket pairs are not all compared. First every member is compared with the smallest one; then the
-    members outside the bucket's largest class with two members of that class; at last those that are still outside
-    are compared, block by block inside tasks, with all members. What is left untested lies within one class, so no
-    link that could join two classes is lost; a bucket of thousands of near copies costs a few comparisons a member.
+    Vertices are the different texts, numbered, as keys may repeat: key is the smallest key of a text.
     """
     signed = materialize(signatures(docs, key, text, bands, rows))
-    contents = signed.groupBy("content").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    contents = materialize(contents)
+    contents = signed.groupBy("content").agg(F.min("id").alias("key"), F.first("bands").alias("bands"))
+    contents = materialize(contents.withColumn("id", F.monotonically_increasing_id()))
     entries = contents.select("id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1")
     members = materialize(entries.join(shared, "bucket").select("bucket", "id", "pivot").distinct())
-    needed = members.select("id").distinct()
-    sets = shingle_sets(
-        docs.select(key, text).join(needed.withColumnRenamed("id", key), key, "left_semi"), key, text
-    )
+    needed = contents.select("id", "key", "content").join(members.select("id").distinct(), "id")
+    keyed = docs.select(F.col(key).cast("long").alias("key"), digest(text).alias("content"), F.col(text).alias("text"))
+    sets = shingle_sets(keyed.join(needed, ["key", "content"]), "id", "text")
     sets = materialize(sets.distinct())
 
     pairs = members.filter("id <> pivot").select("id", "pivot").distinct()
@@ -292,31 +284,55 @@ def near_duplicates(
         links = materialize(links.union(compare(split)).distinct())
     labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
 
-    classes = contents.join(labels.withColumnRenamed("v", "id"), "id", "left").select(
-        "content", F.coalesce("label", "id").alias("class_id")
+    linked = labels.withColumnRenamed("v", "id").join(contents.select("id", "key", "content"), "id")
+    least = linked.groupBy("label").agg(F.min(F.struct("key", "content")).alias("least"))
+    of = linked.select("id", "label").join(least, "label").select("id", "least")
+    classes = contents.join(of, "id", "left").select(
+        "content",
+        F.coalesce("least.key", "key").alias("class_id"),
+        F.coalesce(F.col("least.content") == F.col("content"), F.lit(True)).alias("first"),
     )
-    found = signed.join(classes, "content").select(F.col("id"), "class_id")
+    return signed.join(classes, "content").select(
+        "id", "content", "class_id", ((F.col("id") == F.col("class_id")) & F.col("first")).alias("kept")
+    )
+
+
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The class of each document: key, class_id (smallest key of the class), kept; a row per row.
+
+    Words are runs of word characters, lower-cased; shingles are runs of five words (all words of a shorter text).
+    Two texts link if they share a band of their signatures and the Jaccard similarity of their distinct shingles,
+    computed exactly, is at least `similarity`; classes are the connected components. Equal texts are one before the
+    signatures are banded and link always, empty and null texts among them; other texts without words link with
+    nothing. The key is an integer; rows with a null key take no part (class_id and kept null); of rows with
+    one key and different texts, each is in the class of its own text. Kept are the rows with the class's smallest
+    key, of its different texts under that key only one. Where such texts are in different classes, these have one
+    class_id but a kept text each. Other columns are left out.
+
+    Within a band's bucket pairs are not all compared. First every member is compared with the smallest one; then the
+    members outside the bucket's largest class with two members of that class; at last those that are still outside
+    are compared, block by block inside tasks, with all members. What is left untested lies within one class, so no
+    link that could join two classes is lost; a bucket of thousands of near copies costs a few comparisons a member.
+    """
+    found = classified(docs, similarity, bands, rows, key, text).select("id", "class_id", "kept")
     absent = docs.filter(F.col(key).isNull()).select(
-        F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id")
+        F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("boolean").alias("kept")
     )
-    out = found.unionByName(absent)
-    return out.select(F.col("id").cast(docs.schema[key].dataType).alias(key), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    return found.unionByName(absent).select(F.col("id").cast(docs.schema[key].dataType).alias(key), "class_id", "kept")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """docs with one row of each class: the one with the smallest key, of equal keys the row that sorts first.
+def drop_near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """docs with one row of each class: the one with the smallest key, of equal rows by key and text the first in order.
 
     Rows with a null key stay.
     """
-    kept = near_duplicates(docs, key=key, text=text, **settings).filter("kept").select(key).distinct()
-    rest = [c for c in docs.columns if c != key]
-    one = (
-        docs.join(kept, key, "left_semi")
-        .groupBy(key)
-        .agg(F.min(F.struct(*rest)).alias("row"))
-        .select(key, "row.*")
-        .select(*docs.columns)
-    )
+    kept = classified(docs, similarity, bands, rows, key, text).filter("kept").select("id", "content").distinct()
+    keyed = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("content"), F.struct(*docs.columns).alias("row"))
+    one = keyed.join(kept, ["id", "content"], "left_semi").groupBy("id", "content").agg(F.min("row").alias("row")).select("row.*")
     return one.unionByName(docs.filter(F.col(key).isNull()))
 
 

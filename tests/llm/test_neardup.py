@@ -152,3 +152,16 @@ def test_copies_with_other_repeats_meet(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = got(neardup.near_duplicates(df))
     assert found == classes(rows) and [c for _, c, _ in found] == [i - i % 2 for i in range(120)]
+
+
+def test_one_key_with_different_texts(spark):
+    rng = np.random.default_rng(23)
+    new = lambda: " ".join(f"w{rng.integers(0, 10**9)}" for _ in range(80))
+    a, b, x, y = new(), new(), new(), new()
+    rows = [(6, a), (7, a + "!"), (7, b), (1, x), (1, y), (2, x + " end"), (3, y + " end"), (1, x)]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    found = got(neardup.near_duplicates(df))
+    assert found == sorted([(6, 6, True), (7, 6, False), (7, 7, True), *[(1, 1, True)] * 3, (2, 1, False), (3, 1, False)])
+    kept = neardup.drop_near_duplicates(df)
+    assert kept.schema == df.schema
+    assert sorted(map(tuple, kept.collect())) == sorted([(6, a), (7, b), (1, x), (1, y)])
