@@ -22,7 +22,17 @@ DIGIT = re.compile(r"[0-9]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+        "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+        "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+        "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NATIONAL_PHONE = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24})(?![A-Za-z0-9])")
@@ -87,6 +97,33 @@ def find_emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def find_ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers that pass the checksum, leftmost first.
+
+    Of the ends at word borders, first that of the country's length, then the longest; of other countries all.
+    """
+    out, at = [], 0
+    while m := IBAN.search(text, at):
+        start, stop = m.span()
+        at = start + 4
+        ends, n = [], 0
+        for e in range(start, stop):
+            n += text[e] != " "
+            border = e + 1 == len(text) or not (text[e + 1].isascii() and text[e + 1].isalnum())
+            if text[e] != " " and border and n >= 15:
+                ends.append((n, e + 1))
+        ends.reverse()
+        length = IBAN_LENGTHS.get(m[0][:2])
+        if length:
+            ends = [x for x in ends if x[0] == length] + ends[:1]
+        for _, end in ends:
+            if mod97(text[start:end].replace(" ", "")):
+                out.append((start, end))
+                at = end
+                break
+    return out
+
+
 def propose(text: str) -> list[tuple[str, int, int]]:
     """Spans that the expressions propose and the validators confirm."""
     out = [("email", *x) for x in find_emails(text)] if "@" in text else []
@@ -99,9 +136,7 @@ def propose(text: str) -> list[tuple[str, int, int]]:
                 out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 10 <= len(_only_digits(m[0])) <= 15]
-        for m in IBAN.finditer(text):
-            if mod97(m[0].replace(" ", "")):
-                out.append(("iban", *m.span()))
+        out += [("iban", *x) for x in find_ibans(text)]
         out += [("ssn", *m.span()) for m in SSN.finditer(text)]
         out += [("national_phone", *m.span()) for m in NATIONAL_PHONE.finditer(text)]
         out += [("secret", *m.span()) for m in SECRET.finditer(text)]

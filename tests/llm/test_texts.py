@@ -69,6 +69,15 @@ def test_pii_context_and_checksums():
     assert pii.redact("to bob@x.org now", pii.find_spans("to bob@x.org now")) == "to [EMAIL] now"
 
 
+def test_pii_ibans_before_upper_case():
+    masked = lambda t: pii.redact(t, pii.find_spans(t))
+    assert masked("IBAN GB82 WEST 1234 5698 7654 32 BIC NWBKGB2L") == "IBAN [IBAN] BIC NWBKGB2L"
+    assert masked("GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 EUR 50") == "[IBAN] [IBAN] EUR 50"
+    assert masked("GB82WEST12345698765432 17") == "[IBAN] 17" and masked("NO93 8601 1117 947 OK") == "[IBAN] OK"
+    for t in ("GB82WEST12345698765432X", "xGB82WEST12345698765432", "GB83 WEST 1234 5698 7654 32 BIC"):
+        assert masked(t) == t
+
+
 def test_pii_edges(spark):
     docs = edge_docs(spark)
     rows = pii.find_pii(docs).collect()
