@@ -36,6 +36,11 @@ IBAN_LENGTHS = {
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NATIONAL_PHONE = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
 SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24})(?![A-Za-z0-9])")
+#: A value given to a name that ends in a context word of secrets.
+ASSIGNED = re.compile(
+    r"(?:key|token|secret|password)[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}([\"']?)([A-Za-z0-9_+/=.~-]{16,}+)\1(?![\"'A-Za-z0-9])",
+    re.IGNORECASE,
+)
 
 #: What a span scores before its context, and what a context word of the kind adds within WINDOW characters.
 START_SCORE = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "national_phone": 0.4, "secret": 0.9}
@@ -124,6 +129,20 @@ def find_ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def find_secrets(text: str) -> list[tuple[int, int]]:
+    """Keys of known formats, and assigned values of 16 characters or more.
+
+    A quoted value needs two of lower case, upper case and digits; one without quotes a letter and a digit.
+    """
+    out = {m.span() for m in SECRET.finditer(text)}
+    for m in ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
+        value = m[2]
+        lower, upper, digit = (any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
+        if lower + upper + digit >= 2 and (m[1] or digit):
+            out.add(m.span(2))
+    return sorted(out)
+
+
 def propose(text: str) -> list[tuple[str, int, int]]:
     """Spans that the expressions propose and the validators confirm."""
     out = [("email", *x) for x in find_emails(text)] if "@" in text else []
@@ -139,7 +158,7 @@ def propose(text: str) -> list[tuple[str, int, int]]:
         out += [("iban", *x) for x in find_ibans(text)]
         out += [("ssn", *m.span()) for m in SSN.finditer(text)]
         out += [("national_phone", *m.span()) for m in NATIONAL_PHONE.finditer(text)]
-        out += [("secret", *m.span()) for m in SECRET.finditer(text)]
+    out += [("secret", *x) for x in find_secrets(text)]
     return out
 
 
