@@ -7,10 +7,13 @@ import re
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 from pathlib import Path
+from sys import getsizeof
 
-#: Entries of one cache. Texts repeat their words, so the first ones seen are mostly the frequent ones; a full cache
+#: Bytes of one cache. Texts repeat their words, so the first ones seen are mostly the frequent ones; a full cache
 #: takes no more and later new words are worked out each time, with the same result.
-CACHE = 700_000
+CACHE_BYTES = 128 << 20
+#: About what an entry needs beside its key and value.
+ENTRY_BYTES = 110
 
 #: The pre-tokenizer's pattern of the byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,24 +55,43 @@ def merge(symbols: list, rank: Callable[[object, object], float | None]) -> tupl
 
 
 class Cache(dict):
-    """value = make(key), kept for the first CACHE keys of short length."""
+    """value = make(key), kept for the first keys of short length until they fill `room` bytes."""
 
-    def __init__(self, make: Callable[[str], object]):
-        self.make = make
+    def __init__(self, make: Callable[[str], object], room: int = CACHE_BYTES):
+        self.make, self.room = make, room
 
     def __missing__(self, key: str):
         value = self.make(key)
-        if len(self) < CACHE and len(key) <= 64:
+        if self.room > 0 and len(key) <= 64:
             self[key] = value
+            self.room -= getsizeof(key) + getsizeof(value) + ENTRY_BYTES
         return value
 
 
-def load_merges(path: str) -> dict[tuple[bytes, bytes], int]:
-    """The ranks of merged pairs in a byte-level BPE .json of the tokenizers library."""
+def byte_letters() -> dict[str, int]:
+    """The bytes that the letters of a byte-level vocabulary stand for: printable ones for themselves, then the rest."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [x for x in range(256) if x not in plain]
-    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-    pairs = json.loads(Path(path).read_text())["model"]["merges"]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def read_byte_bpe(path: str) -> dict:
+    """A byte-level BPE .json of the tokenizers library; refused if it is cut or normalised in another way than here."""
+    spec = json.loads(Path(path).read_text())
+    cut, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    special = [(t["content"], t["id"]) for t in spec["added_tokens"]]
+    loose = any(t[f] for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip", "normalized"))
+    odd = model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")
+    if not plain or spec["normalizer"] or special != [(END_OF_TEXT, END_OF_TEXT_ID)] or loose or odd:
+        raise ValueError(f"{path}: only a plain byte-level BPE with {END_OF_TEXT} as its one added token is counted")
+    return spec
+
+
+def load_merges(path: str) -> dict[tuple[bytes, bytes], int]:
+    """The ranks of merged pairs in a byte-level BPE .json of the tokenizers library."""
+    byte = byte_letters()
+    pairs = (x.split(" ") if isinstance(x, str) else x for x in read_byte_bpe(path)["model"]["merges"])
     return {tuple(bytes(map(byte.__getitem__, x)) for x in pair): rank for rank, pair in enumerate(pairs)}
 
 

@@ -11,7 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.llm.bpe import Cache
-from crease.llm.common import connected_components, hook, map_batches, materialize, read_table, texts_of
+from crease.llm.common import (
+    connected_components,
+    discard,
+    held,
+    hook,
+    map_batches,
+    materialize,
+    merged_components,
+    read_table,
+    texts_of,
+)
 
 #: Words of a shingle; least similarity; bands and registers of a band. A pair of similarity 0.8 meets in no band with
 #: probability (1 - 0.8^4)^20 = 3e-5, one of 0.85 with 4e-7, however often the shingles of either text are repeated.
@@ -21,10 +31,11 @@ WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 SAMPLE = 2
 #: Shingles on one side of a block in the last round.
 BLOCK = 2_000_000
+#: Bytes of the word hashes that a Python worker keeps.
+WORD_BYTES = 48 << 20
 
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: list[Cache] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,9 +64,7 @@ def shingles(text: str, words: Cache) -> np.ndarray:
 
 def word_cache() -> Cache:
     """One cache of word hashes for all tasks of a Python worker."""
-    if not _WORDS:
-        _WORDS.append(Cache(word_hash))
-    return _WORDS[0]
+    return held(("words",), lambda: Cache(word_hash, WORD_BYTES))
 
 
 def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
@@ -64,11 +73,10 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
     Each element of a document sends arrivals as a Poisson process of the rate of its weight, seeded by the element
     alone, and each arrival falls into a random register. Registers of two documents agree with the probability
     Jaccard similarity of their weights. An element stops once its next arrival is later than the latest first arrival
-    in all of its document's registers. doc is sorted; every document has an element. At most 2048 registers, which is
-    what the eleven bits of an arrival that choose one can reach.
+    in all of its document's registers. doc is sorted; every document has an element.
     """
-    if not 0 < registers <= 2048:
-        raise ValueError("registers must be 1 to 2048")
+    if registers < 1:
+        raise ValueError("registers must be 1 or more")
     first = np.full(n_docs * registers, np.inf)
     by_doc = first.reshape(n_docs, registers)
     signature = np.zeros(n_docs * registers, np.uint64)
@@ -78,7 +86,11 @@ def prob_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_doc
         turn += 1
         random = mix(element + np.uint64(turn * int(GOLDEN) % 2**64))
         time = time - np.log1p(-((random >> np.uint64(11)) * 2.0**-53)) / weight
-        slot = doc * registers + ((random & np.uint64(2047)) * np.uint64(registers) >> np.uint64(11)).astype(np.int64)
+        if registers <= 2048:  # the bits that the time leaves are enough
+            place = (random & np.uint64(2047)) * np.uint64(registers) >> np.uint64(11)
+        else:
+            place = (mix(random) >> np.uint64(32)) * np.uint64(registers) >> np.uint64(32)
+        slot = doc * registers + place.astype(np.int64)
         np.minimum.at(first, slot, time)
         won = first[slot] == time
         signature[slot[won]] = element[won]
@@ -185,14 +197,15 @@ def classes_of_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
     named = labelled(members, labels).filter("id <> pivot")
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("k"))
-    return named.join(largest.filter("k > 1").select("bucket", F.col("most.label").alias("main")), "bucket")
+    # written, as are other tables with a row a bucket: AQE splits a hot bucket only where a join reads plain tables
+    return named.join(materialize(largest.filter("k > 1").select("bucket", F.col("most.label").alias("main"))), "bucket")
 
 
 def sampled_pairs(split: DataFrame) -> DataFrame:
     """Each member outside its bucket's main class with SAMPLE members of that class, the same for all of a bucket."""
     order = lambda k: F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"]
     chosen = split.filter("label = main").groupBy("bucket").agg(F.array(*map(order, range(SAMPLE))).alias("chosen"))
-    outside = split.filter("label <> main").join(chosen, "bucket")
+    outside = split.filter("label <> main").join(materialize(chosen), "bucket")
     return outside.select("id", F.explode("chosen").alias("pivot")).distinct()
 
 
@@ -240,7 +253,7 @@ def linked_in_blocks(split: DataFrame, sets: DataFrame, similarity: float) -> Da
         F.ceil(F.sum(F.when(F.col("host"), F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("hosts"),
         F.ceil(F.sum("n") / BLOCK).cast("int").alias("all"),
     )
-    placed = rows.join(blocks, "bucket")
+    placed = rows.join(materialize(blocks), "bucket")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     one = F.col("all") == 1
@@ -268,24 +281,31 @@ def classified(docs: DataFrame, similarity: float, bands: int, rows: int, key: s
     contents = materialize(contents.withColumn("id", F.monotonically_increasing_id()))
     entries = contents.select("id", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1")
-    members = materialize(entries.join(shared, "bucket").select("bucket", "id", "pivot").distinct())
+    shared = materialize(shared.select("bucket", "pivot"))
+    members = materialize(entries.join(shared, "bucket").select("bucket", "id", "pivot"))
+    discard(shared)
     needed = contents.select("id", "key", "content").join(members.select("id").distinct(), "id")
     keyed = docs.select(F.col(key).cast("long").alias("key"), digest(text).alias("content"), F.col(text).alias("text"))
     sets = shingle_sets(keyed.join(needed, ["key", "content"]), "id", "text")
     sets = materialize(sets.distinct())
 
+    as_edges = lambda pairs: pairs.select(F.col("id").alias("a"), F.col("pivot").alias("b"))
     pairs = members.filter("id <> pivot").select("id", "pivot").distinct()
     links = materialize(verified(pairs, sets, similarity))
+    labels = connected_components(as_edges(links))
+    discard(links)
     for compare in (lambda split: verified(sampled_pairs(split), sets, similarity), lambda split: linked_in_blocks(split, sets, similarity)):
-        labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
         split = materialize(classes_of_buckets(members, labels))
         if split.isEmpty():
+            discard(split)
             break
-        links = materialize(links.union(compare(split)).distinct())
-    labels = connected_components(links.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+        links = materialize(compare(split))
+        before, labels = labels, merged_components(labels, as_edges(links))
+        discard(before, links, split)
+    discard(members, sets)
 
     linked = labels.withColumnRenamed("v", "id").join(contents.select("id", "key", "content"), "id")
-    least = linked.groupBy("label").agg(F.min(F.struct("key", "content")).alias("least"))
+    least = materialize(linked.groupBy("label").agg(F.min(F.struct("key", "content")).alias("least")))
     of = linked.select("id", "label").join(least, "label").select("id", "least")
     classes = contents.join(of, "id", "left").select(
         "content",
@@ -326,14 +346,15 @@ def near_duplicates(
 def drop_near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """docs with one row of each class: the one with the smallest key, of equal rows by key and text the first in order.
+    """docs with one row of each class: the one with the smallest key.
 
-    Rows with a null key stay.
+    Of rows with one key and text, the one whose other columns come first as JSON. Rows with a null key stay.
     """
     kept = classified(docs, similarity, bands, rows, key, text).filter("kept").select("id", "content").distinct()
     keyed = docs.select(F.col(key).cast("long").alias("id"), digest(text).alias("content"), F.struct(*docs.columns).alias("row"))
-    one = keyed.join(kept, ["id", "content"], "left_semi").groupBy("id", "content").agg(F.min("row").alias("row")).select("row.*")
-    return one.unionByName(docs.filter(F.col(key).isNull()))
+    others = F.to_json(F.struct(F.lit(0), *[F.col(f"row.`{c}`") for c in docs.columns if c != text]))
+    one = keyed.join(kept, ["id", "content"], "left_semi").groupBy("id", "content").agg(F.min_by("row", others).alias("row"))
+    return one.select("row.*").unionByName(docs.filter(F.col(key).isNull()))
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.llm.bpe import Cache, merge
-from crease.llm.common import map_batches, read_table, texts_of
+from crease.llm.common import held, map_batches, read_table, texts_of
 
 #: Fixed value: the mark that stands for a space.
 SPACE = "▁"
@@ -158,16 +158,6 @@ class PieceModel:
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
-_MODELS: dict[str, PieceModel] = {}
-
-
-def model(path: str) -> PieceModel:
-    """One model with its cache for all tasks of a Python worker."""
-    if path not in _MODELS:
-        _MODELS[path] = PieceModel(path)
-    return _MODELS[path]
-
-
 def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, ids array<int> (with the end id), ends array<int>, decoded string.
 
@@ -180,7 +170,7 @@ def encode_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>, ends array<int>, decoded string"
 
     def start():
-        m = model(path)
+        m = held(("pieces", path), lambda: PieceModel(path))
 
         def each(batch: pa.RecordBatch):
             coded = [m.encode(x) for x in texts_of(batch, text)]

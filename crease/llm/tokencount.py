@@ -6,22 +6,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from crease.llm.bpe import ByteBpeCounter
-from crease.llm.common import map_batches, read_table, texts_of
-
-_COUNTERS: dict[str, ByteBpeCounter] = {}
-
-
-def counter(path: str) -> ByteBpeCounter:
-    """One counter with its cache for all tasks of a Python worker."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = ByteBpeCounter(path)
-    return _COUNTERS[path]
-
+from crease.llm.common import held, map_batches, read_table, texts_of
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
-    path: a byte-level BPE .json, present on every worker. A count is the bytes of a text's pre-tokens less the merges
+    path: a byte-level BPE .json, present on every worker; one that is cut into words or normalised otherwise, or has
+    other added tokens, is refused. A count is the bytes of a text's pre-tokens less the merges
     that a heap over a linked list makes; no ids are emitted. Special strings in a text count as one token each. A null
     text is empty (0 tokens); a null key stays null; repeated rows and repeated keys each give a row; other columns of
     docs are left out. An unbroken run of any length takes O(n log n).
@@ -29,7 +20,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
 
     def start():
-        count = counter(path).count
+        count = held(("counter", path), lambda: ByteBpeCounter(path)).count
 
         def each(batch: pa.RecordBatch):
             texts = texts_of(batch, text)

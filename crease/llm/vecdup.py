@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm.common import connected_components, hook, materialize, read_table
+from crease.llm.common import connected_components, discard, hook, materialize, read_table
 
 #: Vectors that a cell should have, and most cells: pivots are what the driver and every task hold.
 CELL, MAX_CELLS = 1000, 4096
@@ -112,9 +112,18 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
         & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
         & F.exists(v, lambda e: e != 0)
     )
-    rows = vectors.select(F.col(key).cast("long").alias("id"), v.cast("array<double>").alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    # equal vectors are told by 256 bits of digest, so the joins carry no vector
+    rows = materialize(
+        vectors.select(
+            F.col(key).cast("long").alias("id"),
+            F.when(usable, v.cast("array<double>")).alias("embedding"),
+            F.when(usable, F.unhex(F.sha2(F.array_join(v.cast("array<double>"), " "), 256))).alias("content"),
+        )
+    )
     distinct = materialize(
-        rows.filter("usable").groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").cast("long").alias("copies"))
+        rows.filter("content is not null")
+        .groupBy("content")
+        .agg(F.min("id").alias("id"), F.count("*").cast("long").alias("copies"), F.first("embedding").alias("embedding"))
     )
     n, width = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
     cells = max(1, min(MAX_CELLS, -(-n // CELL)))
@@ -166,18 +175,19 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
         .applyInArrow(lambda table: join_block(table, width, threshold), "id long, links long, root long")
     )
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
+    discard(placed)
     labels = connected_components(found.filter("root <> id").select(F.col("id").alias("a"), F.col("root").alias("b")))
     result = (
-        distinct.join(counts, "id", "left")
+        distinct.select("content", "id", "copies").join(counts, "id", "left")
         .join(labels.withColumnRenamed("v", "id"), "id", "left")
         .select(
-            "embedding",
+            "content",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
             F.coalesce("label", "id").alias("component_id"),
-            F.lit(True).alias("usable"),
         )
     )
-    out = rows.join(result, ["usable", "embedding"], "left")
+    alone = rows.filter("content is null").select("id", F.lit(0).alias("n_links"), F.col("id").alias("component_id"))
+    out = rows.select("id", "content").join(result, "content").drop("content").unionByName(alone)
     component = F.coalesce("component_id", "id")
     return out.select(
         F.col("id").cast(vectors.schema[key].dataType).alias(key),

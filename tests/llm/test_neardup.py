@@ -107,7 +107,8 @@ def test_weights_count():
 def test_registers_are_checked():
     one = np.ones(1, np.uint64)
     with pytest.raises(ValueError, match="registers"):
-        neardup.prob_minhash(np.zeros(1, int), one, np.ones(1), 1, 4000)
+        neardup.prob_minhash(np.zeros(1, int), one, np.ones(1), 1, 0)
+    assert (neardup.prob_minhash(np.zeros(1, int), one, np.ones(1), 1, 4000) == 1).all()
 
 
 def test_hosts_that_are_not_in_the_block(spark, monkeypatch):

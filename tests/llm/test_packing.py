@@ -89,7 +89,7 @@ def test_plan_places_everything(counts, capacity):
     assert all(sum(3 * n > capacity for _, n in x) <= 2 for x in taken.values())
 
 
-@pytest.mark.parametrize("capacity", [0, 70_000])
+@pytest.mark.parametrize("capacity", [0, -1])
 def test_capacity_is_checked(spark, capacity):
     with pytest.raises(ValueError, match="capacity"):
         packing.pack(edge_docs(spark), PATH, capacity)

@@ -170,20 +170,26 @@ ODD = [
 
 @pytest.mark.parametrize("text", ODD)
 def test_odd_texts_are_cut_as_the_libraries_do(text):
-    from crease.llm.packing import encoder
+    from crease.llm.bpe import ByteBpeCounter
+    from crease.llm.packing import Encoder
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
-    assert tokencount.counter(path).count(text) == len(ids)
+    assert ByteBpeCounter(path).count(text) == len(ids)
     import numpy as np
 
-    assert np.frombuffer(encoder(path).encode([text])[0], "<u4").tolist() == ids
+    assert np.frombuffer(Encoder(path).encode([text])[0], "<u4").tolist() == ids
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     want = library.encode(text, add_eos=True)
-    found, ends = sentencepieces.model(path).encode(text)
+    model = sentencepieces.PieceModel(path)
+    found, ends = model.encode(text)
     assert found.tolist() == want
-    assert sentencepieces.model(path).decode(want) == library.decode(want)
+    assert model.decode(want) == library.decode(want)
+    # every piece covers the same bytes of the source as in the library's own record
+    pieces = library.encode(text, return_type="proto").pieces
+    assert ends.tolist()[:-1] == [p.end for p in pieces]
+    assert [0, *ends.tolist()][: len(pieces)] == [p.begin for p in pieces]
     assert ends[-1] == len(text.encode()) and (ends[1:] >= ends[:-1]).all()
 
 
