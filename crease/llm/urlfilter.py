@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm.common import read_table
+from crease.llm.common import materialize, read_table
 from crease.llm.licenses import LOWER, UPPER
 
 #: The rules of the query (host, path, verdict).
@@ -20,11 +20,11 @@ RULES = [
 #: Characters of a hex digest that make the short prefix.
 PREFIX = 8
 
-#: Rule lists up to so many rows go to every executor; longer ones are joined by a shuffle.
-BROADCAST_RULES = 100_000
 
-#: Distinct lengths of rule paths that are tried; every URL is cut at each of them.
-PATH_LENGTHS = 2_000
+def _hashed(text: F.Column, name: str) -> list[F.Column]:
+    """The short prefix and the full digest of a text."""
+    digest = F.sha2(text, 256)
+    return [F.substring(digest, 1, PREFIX).alias("prefix"), digest.alias(name)]
 
 
 def judge_urls(
@@ -34,62 +34,55 @@ def judge_urls(
 
     rules: host, path, verdict. A rule fits its host and all subdomains if the URL's path starts with the rule's; of
     the fitting ones the longest (host and path together) wins, then the one with the longer host, then the verdict
-    that sorts last (block). Without one, rule is null and verdict the default. Each URL becomes its host suffixes
-    times its path prefixes, cut at the lengths that the rules' paths have; these are equi-joined with the rules on a
-    short hash prefix and confirmed by the full digest. Null URLs and those without :// have empty host and path.
-    Equal rows are counted first and given back at the end, so a hot URL costs one; keys may be null. Rules with a
-    null host, path or verdict are left out. An empty rule list gives every URL the default.
+    that sorts last (block). Without one, rule is null and verdict the default. Null URLs and those without :// have
+    empty host and path; keys may be null or repeat. Rules with a null host, path or verdict are left out. An empty
+    rule list gives every URL the default.
+
+    Each URL becomes its host suffixes, no longer than the longest rule host; those are equi-joined with the rules'
+    hosts on a short hash prefix and confirmed by the full digest. Each confirmed host then gives the path prefixes
+    of the lengths that this host's rules have, and host with path is joined with the rules in the same way. No list
+    of rules or lengths is gathered on the driver. Spark sends a side to all executors only where its size allows;
+    in the shuffled form every join reads a written table on one side, so AQE splits a prefix that many URLs share.
     """
-    rules = rules.filter("host is not null and path is not null and verdict is not null").select(
-        "host", "path", "verdict"
+    rules = rules.filter("host is not null and path is not null and verdict is not null")
+    rules = materialize(rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")))
+    labels_of = lambda h: F.split(h, r"\.", -1)
+    depth = rules.agg(F.max(F.size(labels_of(F.col("host"))))).first()[0] or 0
+    hosts = materialize(
+        rules.groupBy("host")
+        .agg(F.collect_set(F.length("path")).alias("lengths"))
+        .select(*_hashed(F.col("host"), "host_digest"), "lengths")
     )
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().limit(PATH_LENGTHS + 1).collect()]
-    if len(lengths) > PATH_LENGTHS:
-        raise ValueError(f"rule paths have more than {PATH_LENGTHS} distinct lengths")
-    digest = F.sha2(F.col("rule"), 256)
-    hashed = (
-        rules.withColumn("rule", F.concat("host", "path"))
-        .withColumn("rank", F.struct(F.length("rule").alias("n"), F.length("host").alias("h"), "verdict", "rule"))
-        .select(digest.alias("rule_digest"), F.substring(digest, 1, PREFIX).alias("prefix"), "rank")
+    rank = F.struct(
+        F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), "verdict", F.concat("host", "path").alias("rule")
     )
-    if rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        hashed = F.broadcast(hashed)
+    of_both = lambda host, path: F.concat(host, F.lit("\n"), path)
+    whole = materialize(rules.select(*_hashed(of_both(F.col("host"), F.col("path")), "rule_digest"), rank.alias("rank")))
 
     rest = F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://(.*)$", 1)
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), UPPER, LOWER)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    counted = (
-        pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-        .groupBy("key", "host", "path")
-        .agg(F.count("*").alias("copies"))
-    )
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)),
-        lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-    )
-    cuts = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("path"))
-    expressions = F.flatten(
-        F.transform(suffixes, lambda h: F.transform(cuts, lambda n: F.concat(h, F.substring(F.col("path"), F.lit(1), n))))
-    )
-    tried = (
-        counted.select("*", F.explode_outer(F.array_distinct(expressions)).alias("expression"))
-        .withColumn("url_digest", F.sha2("expression", 256))
-        .withColumn("prefix", F.substring("url_digest", 1, PREFIX))
-    )
+    judged = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
+
+    tried = judged.select("host", "path", F.explode(F.sequence(F.lit(1), F.least(F.size(labels_of(F.col("host"))), F.lit(depth)))).alias("k"))
+    tried = tried.filter(F.lit(depth) > 0).select("host", "path", F.expr("substring_index(host, '.', -k)").alias("suffix"))
+    tried = tried.select("*", *_hashed(F.col("suffix"), "digest")).join(hosts, "prefix").filter("digest = host_digest")
+    cuts = tried.select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    cut = F.expr("substring(path, 1, n)")
     best = (
-        tried.join(hashed, "prefix", "left")
-        .groupBy("key", "host", "path", "copies")
-        .agg(F.max(F.when(F.col("url_digest") == F.col("rule_digest"), F.col("rank"))).alias("best"))
+        cuts.select("host", "path", *_hashed(of_both(F.col("suffix"), cut), "digest"))
+        .join(whole, "prefix")
+        .filter("digest = rule_digest")
+        .groupBy("host", "path")
+        .agg(F.max("rank").alias("best"))
     )
-    return best.select(
+    return judged.join(best, ["host", "path"], "left").select(
         F.col("key").alias(key),
         "host",
         "path",
         F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    )
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ URLS = [
 ]
 
 
-def plain(url):
+def plain(url, rules=urlfilter.RULES):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = rest
     for c in "/?#":
@@ -20,8 +20,9 @@ def plain(url):
     for c in "?#":
         path = path.split(c)[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    fit = [(len(h + p), h + p, v) for h, p, v in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return (host, path, *(max(fit)[1:] if fit else (None, "allow")))
+    fit = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fit, default=None)
+    return (host, path, *((best[3], best[2]) if best else (None, "allow")))
 
 
 def test_table(spark, sf_dir):
@@ -40,8 +41,16 @@ def test_edges(spark):
     assert len(none) == len(rows) and all(r.rule is None and r.verdict == "allow" for r in none)
 
 
-def test_many_rules_by_shuffle(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 2)
-    df = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
-    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
-    assert {r[0]: tuple(r)[1:] for r in urlfilter.judge_urls(df, rules).collect()} == {i: plain(u) for i, u in enumerate(URLS)}
+def test_many_rules_by_shuffle(spark):
+    """More path lengths than any list on the driver would hold, rules of both verdicts, joins without broadcasts."""
+    df = spark.createDataFrame([*enumerate(URLS), *((100 + i, f"http://h{i}.x.net/{'y' * i}") for i in range(0, 2600, 13))], "page_id long, url string")
+    many = [("x.net", "/" + "y" * n, "block" if n % 3 else "allow") for n in range(2500)]
+    every = [*urlfilter.RULES, *many, ("com", "/", "block")]
+    rules = spark.createDataFrame(every, "host string, path string, verdict string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r[0]: tuple(r)[1:] for r in urlfilter.judge_urls(df, rules).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == {r.page_id: plain(r.url, every) for r in df.collect()}
