@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.llm.common import read_table
+from crease.llm.license_rules import signatures
 
 #: Phrases that are always reported, and their labels.
 BASE_PHRASES = {
@@ -14,109 +15,18 @@ BASE_PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
+#: Parts of many keywords: the test of a whole text for any keyword looks for these in their stead.
+STEMS = ("licen", "gpl", "bsd", "apache", "cc by", "commons", "public domain", "attribution no", "copyright")
+
 #: What is not a word, and the letters that are lower-cased.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: What stands before an identifier, and the keyword of the rules for identifiers.
-IDENTIFIER = "spdx license identifier"
-
-#: License families: label -> (keyword, name as a regular expression over words, SPDX identifier over words). The
-#: keyword is a plain string that every text which contains the name contains.
-FAMILIES = {
-    "apache-2": ("apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?", "apache 2 0"),
-    "apache-1.1": ("apache", "apache(?: software)?(?: license)?(?: version)? 1 1", "apache 1 1"),
-    "bsd-2-clause": ("bsd", "(?:simplified|freebsd|2 clause) bsd", "bsd 2 clause"),
-    "bsd-3-clause": ("bsd", "(?:new|modified|revised|3 clause) bsd", "bsd 3 clause"),
-    "bsd-4-clause": ("bsd", "(?:original|4 clause) bsd", "bsd 4 clause"),
-    "gpl-2": ("general public", "gnu general public license(?: gpl)?(?: version| v)? 2(?: 0)?", "gpl 2 0(?: only)?"),
-    "gpl-3": ("general public", "gnu general public license(?: gpl)?(?: version| v)? 3(?: 0)?", "gpl 3 0(?: only)?"),
-    "lgpl-2.1": ("lesser general", "gnu lesser general public license(?: version| v)? 2 1", "lgpl 2 1(?: only)?"),
-    "lgpl-3": ("lesser general", "gnu lesser general public license(?: version| v)? 3(?: 0)?", "lgpl 3 0(?: only)?"),
-    "agpl-3": ("affero", "gnu affero general public license(?: version| v)? 3(?: 0)?", "agpl 3 0(?: only)?"),
-    "gfdl-1.3": ("free documentation", "gnu free documentation license(?: version)? 1 3", "gfdl 1 3"),
-    "mpl-1.1": ("mozilla", "mozilla public license(?: version| v)? 1 1", "mpl 1 1"),
-    "mpl-2": ("mozilla", "mozilla public license(?: version| v)? 2(?: 0)?", "mpl 2 0"),
-    "epl-1": ("eclipse", "eclipse public license(?: version| v)? 1(?: 0)?", "epl 1 0"),
-    "epl-2": ("eclipse", "eclipse public license(?: version| v)? 2(?: 0)?", "epl 2 0"),
-    "cddl-1": ("common development", "common development and distribution license(?: version)?(?: 1 0)?", "cddl 1 0"),
-    "eupl-1.2": ("european union", "european union public licen[cs]e(?: version| v)? 1 2", "eupl 1 2"),
-    "boost-1": ("boost", "boost software license(?: version)?(?: 1 0)?", "bsl 1 0"),
-    "zlib": ("zlib", "zlib(?: libpng)?", "zlib"),
-    "unlicense": ("unlicense", "(?:the )?unlicense", "unlicense"),
-    "wtfpl": ("wtfpl", "wtfpl", "wtfpl"),
-    "artistic-2": ("artistic", "artistic license(?: version)? 2(?: 0)?", "artistic 2 0"),
-    "ofl-1.1": ("open font", "(?:sil )?open font license(?: version)?(?: 1 1)?", "ofl 1 1"),
-    "python-2": ("python software", "python software foundation(?: license)?(?: version 2)?", "psf 2 0"),
-    "postgresql": ("postgresql", "postgresql", "postgresql"),
-    "openssl": ("openssl", "openssl", "openssl"),
-    "ms-pl": ("microsoft", "microsoft public license", "ms pl"),
-    "odbl-1": ("open database", "open database license(?: v)?(?: 1 0)?", "odbl 1 0"),
-    "cc0-1": ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0 1 0"),
-    "cc-by": ("cc by", "cc by(?: [1-4] 0)?", "cc by [1-4] 0"),
-    "cc-by-sa": ("cc by sa", "cc by sa(?: [1-4] 0)?", "cc by sa [1-4] 0"),
-    "cc-by-nd": ("cc by nd", "cc by nd(?: [1-4] 0)?", "cc by nd [1-4] 0"),
-    "cc-by-nc": ("cc by nc", "cc by nc(?: [1-4] 0)?", "cc by nc [1-4] 0"),
-    "cc-by-nc-sa": ("cc by nc sa", "cc by nc sa(?: [1-4] 0)?", "cc by nc sa [1-4] 0"),
-    "cc-by-nc-nd": ("cc by nc nd", "cc by nc nd(?: [1-4] 0)?", "cc by nc nd [1-4] 0"),
-}
-
-#: Names that are also ordinary words: they count only beside another word, which is in the keyword.
-SHORT_NAMES = {"mit": "mit", "isc": "isc"}
-
-#: Ways to state a short name: (keyword, expression, score).
-SHORT_FORMS = [
-    ("identifier {name}", "spdx license identifier {name}", 1.0),
-    ("{name} licen", "(?:is |are )?(?:dual )?licen[cs]ed under (?:the terms of )?(?:the )?{name} licen[cs]e", 0.95),
-    ("under {name}", "licen[cs]ed under {name}", 0.9),
-    (
-        "{name} licen",
-        "(?:released|distributed|published|available|provided|covered) under (?:the terms of )?(?:the )?{name} licen[cs]e",
-        0.9,
-    ),
-    ("{name} licen", "under (?:the terms of )?(?:the )?{name} licen[cs]e", 0.85),
-    ("{name} licen", "subject to (?:the terms of )?(?:the )?{name} licen[cs]e", 0.8),
-    ("{name} licen", "{name} licen[cs]e", 0.7),
-]
-
-#: Families told by words instead of an identifier: label -> (keyword, expression).
-PHRASES = {
-    "cc-by-sa": ("creative commons", "creative commons attribution share ?alike(?: [1-4] 0)?"),
-    "cc-by-nc": ("creative commons", "creative commons attribution non ?commercial(?: [1-4] 0)?"),
-    "cc-by-nd": ("creative commons", "creative commons attribution no ?deriv(?:ative|ative works|s)(?: [1-4] 0)?"),
-    "cc-by": ("creative commons", "creative commons attribution(?: [1-4] 0)?"),
-    "public-domain": ("public domain", "(?:dedicated to|released into|in) the public domain"),
-    "all-rights-reserved": ("all rights reserved", "all rights reserved"),
-    "gpl": ("general public", "gnu general public license"),
-    "lgpl": ("lesser general", "gnu lesser general public license"),
-    "no-warranty": ("without warranty", "without warranty of any kind"),
-}
-
-#: Ways to state a license, best first: expression around the name, score of the statement.
-FORMS = [
-    (r"spdx license identifier {spdx}(?: or later)?", 1.0),
-    (r"(?:is |are )?(?:dual )?licen[cs]ed under (?:the terms of )?(?:the )?{name}(?: licen[cs]e)?", 0.95),
-    (r"(?:released|distributed|published|available|provided|covered) under (?:the terms of )?(?:the )?{name}(?: licen[cs]e)?", 0.9),
-    (r"under (?:the terms of )?(?:the )?{name}(?: licen[cs]e)", 0.85),
-    (r"subject to (?:the terms of )?(?:the )?{name}(?: licen[cs]e)?", 0.8),
-    (r"licen[cs]e(?:d)? (?:type )?{name}", 0.75),
-    (r"{name} licen[cs]e", 0.7),
-]
-
 
 def rules() -> list[tuple[str, str, int, str, float, bool]]:
     """The ordered rules: (keyword, label, priority, expression over words, score, base). Lower priority wins."""
     out = [(phrase, label, 0, phrase, 0.85, True) for phrase, label in BASE_PHRASES.items()]
-    for label, name in SHORT_NAMES.items():
-        for keyword, form, score in SHORT_FORMS:
-            out.append((keyword.format(name=name), label, len(out), form.format(name=name), score, False))
-    for form, score in FORMS:
-        for label, (keyword, name, spdx) in FAMILIES.items():
-            keyword = IDENTIFIER if "{spdx}" in form else keyword
-            out.append((keyword, label, len(out), form.format(name=f"(?:{name})", spdx=spdx), score, False))
-    for label, (keyword, phrase) in PHRASES.items():
-        out.append((keyword, label, len(out), phrase, 0.5, False))
-    return out
+    return out + [(k, label, i, e, score, False) for i, (label, score, k, e) in enumerate(signatures(), 1)]
 
 
 def _positions(words: Column, rule: Column) -> Column:
@@ -170,7 +80,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         )
         + ")"
     )
-    keywords = {k for k, *_ in table}
+    keywords = {next((stem for stem in STEMS if stem in k), k) for k, *_ in table}
     keywords = sorted(k for k in keywords if not any(x != k and x in k for x in keywords))
     df = docs.select(F.col(key), words.alias("words"))
     # a cheap test of the whole text for any keyword; few texts pass it

@@ -150,6 +150,71 @@ def test_licenses_edges(spark):
     assert [r.labels for r in rows] == ["mit", "apache-2", "cc-by-nc,gpl-3", "", "cc-by-sa"]
 
 
+PROBES = {
+    "Licensed under GPLv3": "gpl-3",
+    "licensed under the GPL-3.0": "gpl-3",
+    "released under the GNU GPL v2": "gpl-2",
+    "MPL-2.0 licensed": "mpl-2",
+    "the BSD License applies": "bsd",
+    "content is CC BY 4.0": "cc-by",
+    "this is MIT licensed": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+    "the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version": "gpl-3",
+    "BSD 3-Clause License": "bsd-3-clause",
+    "see the GNU Lesser General Public License v2.1": "lgpl-2.1",
+    "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+    "permit license": "",
+    "the apache people license horses": "",
+    "we cc by mail": "",
+}
+
+
+def test_license_probes(spark):
+    docs = spark.createDataFrame(list(enumerate(PROBES)), "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert [found[i] for i in range(len(PROBES))] == list(PROBES.values())
+
+
+def sample(tree, most):
+    """A text that a parsed expression matches: its shortest, or one with all that is optional."""
+    out = ""
+    for kind, value in tree:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "BRANCH":
+            out += sample(value[1][-1 if most else 0], most)
+        elif name == "SUBPATTERN":
+            out += sample(value[3], most)
+        elif name == "MAX_REPEAT":
+            out += sample(value[2], most) * (value[0] or int(most))
+        elif name == "IN":
+            kind, x = value[0]
+            out += chr(x if str(kind) == "LITERAL" else x[0])
+        else:
+            raise ValueError(name)
+    return out
+
+
+def test_every_license_rule_by_its_keyword(spark):
+    """Each rule's shortest and longest texts hold its keyword and are found; they are not once the keyword is broken."""
+    from crease.llm.license_rules import signatures
+
+    rules = signatures()
+    assert len(rules) > 250
+    cases = []
+    for label, _, keyword, expression in rules:
+        for most in (False, True):
+            text = sample(re._parser.parse(expression), most)
+            assert keyword in text and re.fullmatch(expression, text), (label, text)
+            cases.append(text)
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert licenses.scan_licenses(docs).filter("labels = ''").count() == 0
+    broken = docs.selectExpr("doc_id", "regexp_replace(text, '([a-z0-9])', '$1x') text")
+    assert licenses.scan_licenses(broken).filter("labels <> ''").count() == 0
+
+
 def test_token_counts(spark, sf_dir):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     size = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
