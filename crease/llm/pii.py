@@ -35,30 +35,46 @@ IBAN_LENGTHS = {
 }
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 NATIONAL_PHONE = re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{24})(?![A-Za-z0-9])")
-#: A value given to a name that ends in a context word of secrets.
+#: Keys and tokens of known formats: cloud, source hosting, payment, chat and package services, signed tokens, key files.
+SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:A(?:KIA|SIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,120}|glpat-[A-Za-z0-9_-]{20}"
+    r"|[sr]k_(?:live|test)_[A-Za-z0-9]{24,120}|sk-[A-Za-z0-9_-]{20,200}|xox[abeprs]-[A-Za-z0-9-]{10,200}|AIza[A-Za-z0-9_-]{35}"
+    r"|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,60}|eyJ[A-Za-z0-9_-]{8,2000}\.eyJ[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,2000})(?![A-Za-z0-9])"
+    r"|-----BEGIN (?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY-----"
+)
+#: A value given to a name that ends in a context word of secrets; passwords may be shorter.
 ASSIGNED = re.compile(
-    r"(?:key|token|secret|password)[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}([\"']?)([A-Za-z0-9_+/=.~-]{16,}+)\1(?![\"'A-Za-z0-9])",
+    r"(?:key|token|secret|credential|password|passwd|pwd)[\"']?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}([\"']?)([A-Za-z0-9_+/=.~!@#$%^&*-]{8,}+)\1(?![\"'A-Za-z0-9])",
     re.IGNORECASE,
 )
+PASSWORD = re.compile(r"pass|pwd", re.IGNORECASE)
 
 #: What a span scores before its context, and what a context word of the kind adds within WINDOW characters.
 START_SCORE = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.4, "national_phone": 0.4, "secret": 0.9}
 WINDOW, BONUS, MALUS, KEEP = 48, 0.35, 0.3, 0.6
 CONTEXT = {
-    "email": ("mail", "contact", "write"),
+    "email": ("mail", "e-mail", "email", "contact", "write"),
     "ip": ("ip", "address", "host", "server"),
     "card": ("card", "visa", "credit", "payment"),
-    "phone": ("phone", "call", "tel", "mobile", "fax"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "cell", "fax"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social security", "taxpayer"),
-    "national_phone": ("phone", "call", "tel", "mobile", "fax"),
+    "national_phone": ("phone", "telephone", "call", "tel", "mobile", "cell", "fax"),
     "secret": ("key", "token", "secret", "password"),
 }
 #: Words that speak against any kind.
 AGAINST = ("version", "isbn", "invoice no", "example only", "part number")
 
 
+def _whole(words: tuple[str, ...]) -> re.Pattern:
+    """Any of the words as a word of its own, or its plural."""
+    return re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, words)) + r")s?(?![a-z0-9])")
+
+
+_CONTEXT = {kind: _whole(words) for kind, words in CONTEXT.items()}
+_AGAINST = _whole(AGAINST)
+
+
 class Span(NamedTuple):
     kind: str
     start: int
@@ -130,15 +146,17 @@ def find_ibans(text: str) -> list[tuple[int, int]]:
 
 
 def find_secrets(text: str) -> list[tuple[int, int]]:
-    """Keys of known formats, and assigned values of 16 characters or more.
+    """Keys of known formats, and assigned values of 16 characters or more (8 for passwords).
 
     A quoted value needs two of lower case, upper case and digits; one without quotes a letter and a digit.
     """
     out = {m.span() for m in SECRET.finditer(text)}
     for m in ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
         value = m[2]
+        if len(value) < 16 and not PASSWORD.match(m[0]):
+            continue
         lower, upper, digit = (any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit))
-        if lower + upper + digit >= 2 and (m[1] or digit):
+        if lower + upper + digit >= 2 and (m[1] or (digit and (lower or upper))):
             out.add(m.span(2))
     return sorted(out)
 
@@ -164,7 +182,7 @@ def propose(text: str) -> list[tuple[str, int, int]]:
 
 def scored(text: str, kind: str, start: int, end: int) -> float:
     around = f"{text[max(0, start - WINDOW) : start]} {text[end : end + WINDOW]}".lower()
-    score = START_SCORE[kind] + BONUS * any(w in around for w in CONTEXT[kind]) - MALUS * any(w in around for w in AGAINST)
+    score = START_SCORE[kind] + BONUS * bool(_CONTEXT[kind].search(around)) - MALUS * bool(_AGAINST.search(around))
     return max(0.0, min(1.0, score))
 
 
@@ -284,4 +302,5 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(of_kinds([k])).cast("long").alias(f"n_{k}") for k in BASE_KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
