@@ -85,31 +85,41 @@ class PieceModel:
         self.plain = not self.map.units and self.dummy and self.escape and not self.squeeze
         self.words = Cache(lambda word: self.records(SPACE + word))
 
+    def prefix(self, raw: bytes, at: int) -> tuple[int, str]:
+        """Bytes taken at a place of the source and what they become: the map's longest prefix, else one character."""
+        hit = self.map.longest(raw, at)
+        if hit:
+            return hit[0], hit[1].decode()
+        lead = raw[at]
+        width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+        return width, raw[at : at + width].decode()
+
     def normalize(self, text: str) -> tuple[str, list[int]]:
-        """The normalised text and, for each of its characters and its end, the byte of the source it starts at."""
+        """The normalised text and, for each of its characters and its end, the byte of the source it starts at.
+
+        Where white space is squeezed, it goes at the start and the end, and at the start of what follows a space.
+        """
         raw, out, at, n = text.encode(), [], [], 0
+        if self.squeeze:
+            while n < len(raw) and (head := self.prefix(raw, n))[1] == " ":
+                n += head[0]
+        if n == len(raw):
+            return "", [n]
+        if self.dummy:
+            out, at = [" "], [n]
+        after_space = self.squeeze
         while n < len(raw):
-            hit = self.map.longest(raw, n)
-            if hit:
-                width, new = hit[0], hit[1].decode()
-            else:
-                lead = raw[n]
-                width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
-                new = raw[n : n + width].decode()
+            width, new = self.prefix(raw, n)
+            new = new.lstrip(" ") if after_space else new
             out.extend(new)
             at.extend([n] * len(new))
+            if new:
+                after_space = self.squeeze and new[-1] == " "
             n += width
-        if self.squeeze:
-            kept = [
-                i for i, c in enumerate(out) if c != " " or 0 < i and out[i - 1] != " "
-            ]
-            while kept and out[kept[-1]] == " ":
-                kept.pop()
-            out, at = [out[i] for i in kept], [at[i] for i in kept]
-        if self.dummy and out:
-            out, at = [" ", *out], [at[0], *at]
-        mark = SPACE if self.escape else " "
-        return "".join(out).replace(" ", mark), [*at, len(raw)]
+        while self.squeeze and out and out[-1] == " ":
+            out.pop()
+            n = at.pop()
+        return "".join(out).replace(" ", SPACE if self.escape else " "), [*at, n]
 
     def rank(self, left: str, right: str) -> float | None:
         return self.ranks.get(left + right)
@@ -196,4 +206,5 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.xxhash64("ends").alias("ends_hash"),
     )

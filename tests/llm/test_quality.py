@@ -60,3 +60,49 @@ def test_edges(spark, sf_dir):
 def test_isotonic_levels_are_the_least_squares_fit():
     found = quality.isotonic(np.array([1.0, 0, 3, 0, 2]), np.array([2.0, 2, 4, 0, 2]))
     assert np.allclose(found, [0.25, 0.25, 0.75, 0.875, 1.0])
+
+
+def test_scores_equal_a_plain_solution(spark, sf_dir):
+    """Statistics, features, normal equations, ridge and isotonic levels on one machine, by their definitions."""
+    import zlib
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in docs}
+    x = {i: np.array(quality.statistics(t)) for i, t in docs.items()}
+    known = [i for i in docs if labels.get(i) is not None and fold[i] != 0]
+    all_x = np.array([x[i] for i in known])
+    mean, scale = all_x.mean(0), all_x.std(0)
+    scale[scale < 1e-9] = 1
+    rng = np.random.default_rng(quality.SEED)
+    d, n = all_x.shape[1], quality.FEATURES
+    omega = rng.normal(0, 1 / (quality.WIDTH * np.sqrt(d / 4)), (d, n))
+    phase = rng.uniform(0, 2 * np.pi, n)
+
+    def expand(v):
+        return np.append(np.sqrt(2 / n) * np.cos(np.clip((v - mean) / scale, -8, 8) @ omega + phase), 1)
+
+    learn = [i for i in known if fold[i] != 1]
+    z, y = np.array([expand(x[i]) for i in learn]), np.array([labels[i] for i in learn], float)
+    ridge = np.full(n + 1, quality.PENALTY * len(learn) / n)
+    ridge[-1] = 1e-9 * len(learn)
+    weights = np.linalg.solve(z.T @ z + np.diag(ridge), z.T @ y)
+    place = lambda i: int(np.clip(np.round((expand(x[i]) @ weights + 0.5) * quality.BINS / 2), 0, quality.BINS - 1))
+    ones, count = np.zeros(quality.BINS), np.zeros(quality.BINS)
+    for i in known:
+        if fold[i] == 1:
+            ones[place(i)] += labels[i]
+            count[place(i)] += 1
+    full = np.flatnonzero(count)
+    mean_of = lambda j, k: ones[full[j : k + 1]].sum() / count[full[j : k + 1]].sum()
+    m = len(full)
+    rates = [max(min(mean_of(j, k) for k in range(i, m)) for j in range(i + 1)) for i in range(m)]
+    level = np.interp(np.arange(quality.BINS), full, rates)
+    found = {r.doc_id: (r.held_out, r.score, r.predicted) for r in quality.op8_quality(spark, sf_dir).collect()}
+    assert found.keys() == docs.keys()
+    for i, (held_out, score, predicted) in found.items():
+        assert held_out == (fold[i] == 0) and predicted == int(score >= 0.3)
+        near = level[max(0, place(i) - 1) : place(i) + 2]  # rounding may move a document by one bin
+        assert near.min() - 1e-6 <= score <= near.max() + 1e-6
+    exact = sum(abs(found[i][1] - level[place(i)]) < 1e-6 for i in docs)
+    assert exact >= 0.98 * len(docs)

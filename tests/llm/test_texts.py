@@ -319,3 +319,62 @@ def test_pieces(spark, sf_dir):
     got = sentencepieces.encode_pieces(docs, path).collect()
     assert sorted((len(r.ids), sha(" ".join(map(str, r.ids))), sha(r.decoded)) for r in got) == sorted(want(t) for _, t in texts(docs))
     assert sentencepieces.encode_pieces(no_docs(spark), path).count() == 0
+
+
+def char_map(pairs):
+    """A compiled character map: size, double-array units and replacements, for (text, replacement) pairs."""
+    import struct
+
+    units, values, blob = {0: 0}, {}, b""
+    for text, new in pairs.items():
+        values[text.encode()] = len(blob)
+        blob += new.encode() + b"\0"
+    nodes = {b""}
+    for k in values:
+        nodes |= {k[:i] for i in range(len(k) + 1)}
+    place, base, next_base = {b"": 0}, {}, 256
+    for node in sorted(nodes, key=len):
+        children = sorted(n for n in nodes if len(n) == len(node) + 1 and n.startswith(node))
+        base[node], next_base = next_base, next_base + 256
+        unit = (place[node] ^ base[node]) << 10 | (node[-1] if node else 0)
+        if node in values:
+            unit |= 1 << 8
+            units[base[node]] = values[node] | 1 << 31
+        units[place[node]] = unit
+        for c in children:
+            place[c] = base[node] ^ c[-1]
+    flat = [units.get(i, 0) for i in range(next_base)]
+    return struct.pack(f"<I{len(flat)}I", 4 * len(flat), *flat) + blob
+
+
+MAPPED = {"ﬁ": "fi", "ﬁx": "FX", "①": "1", "A": "a", "é": "e\u0301", "\u3000": " ", "​": "", "…": "...", "漢": "xyz"}
+MAPPED_TEXTS = ["", "ﬁx ﬁ ﬁn", "A①é", "…A  A…", "\u3000lead", "漢字漢", "​", "a​b", "plain words only", "ﬁxﬁﬁx", "é" * 50, " A  b "]
+
+
+def test_character_map_finds_longest_prefixes():
+    m = sentencepieces.CharMap(char_map(MAPPED))
+    for text in MAPPED_TEXTS:
+        raw = text.encode()
+        for at in range(len(raw)):
+            fits = [(len(k.encode()), v.encode()) for k, v in MAPPED.items() if raw.startswith(k.encode(), at)]
+            assert m.longest(raw, at) == max(fits, default=None)
+
+
+@pytest.mark.parametrize("squeeze", [False, True])
+def test_mapped_texts_are_encoded_as_the_library_does(tmp_path, squeeze):
+    from pathlib import Path
+
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes())
+    proto.normalizer_spec.precompiled_charsmap = char_map(MAPPED)
+    proto.normalizer_spec.remove_extra_whitespaces = squeeze
+    path = tmp_path / "mapped.model"
+    path.write_bytes(proto.SerializeToString())
+    library, model = sentencepiece.SentencePieceProcessor(model_file=str(path)), sentencepieces.PieceModel(str(path))
+    for text in MAPPED_TEXTS:
+        ids, ends = model.encode(text)
+        want = library.encode(text, return_type="proto").pieces
+        assert ids.tolist() == library.encode(text, add_eos=True), text
+        assert ends.tolist()[:-1] == [p.end for p in want], text
