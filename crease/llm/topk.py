@@ -15,9 +15,10 @@ from crease.llm.common import materialize, read_table
 from crease.llm.vecdup import matrix
 
 #: Entries of a page; least and most vectors of a tree, and how many trees there are in between; queries of a group.
-PAGE, LEAST, MOST, TREES, QUERIES = 64, 1024, 65_536, 64, 4096
-#: Room for rounding in distances that only decide what is skipped.
-SLACK = 1e-6
+PAGE, LEAST, MOST, TREES, QUERIES = 64, 1024, 65_536, 64, 16_384
+#: Room for rounding in distances that only decide what is skipped, as a share of the largest that can occur. A squared
+#: distance is a difference of numbers that may be far larger than it, hence the square root of double precision.
+SLACK = 1e-7
 
 
 class Node:
@@ -72,16 +73,17 @@ class MTree:
             return []
         square = float((query.astype(np.float64) ** 2).sum())
         far = lambda scores: np.sqrt(np.maximum(0.0, square + self.top - 2.0 * scores))
+        slack = SLACK * (1.0 + np.sqrt(square) + np.sqrt(self.top))
         best_score, best_id = np.empty(0, self.vectors.dtype), np.empty(0, np.int64)
         bound = np.inf
         order = count()
         first = float(far(np.array([self.vectors[self.root.center] @ query]).astype(np.float64))[0])
         heap = [(max(0.0, first - self.root.radius), next(order), first, self.root)]
-        while heap and heap[0][0] <= bound + SLACK:
+        while heap and heap[0][0] <= bound + slack:
             _, _, to_page, node = heappop(heap)
             if node.children is None:
                 # entries whose stored distance alone shows that they are too far are not computed
-                near = np.abs(to_page - node.distances) <= bound + SLACK
+                near = np.abs(to_page - node.distances) <= bound + slack
                 rows = node.rows[near]
                 rows = rows[self.ids[rows] != own]
                 scores = self.vectors[rows] @ query
@@ -96,11 +98,11 @@ class MTree:
                     if len(keep) == k:
                         bound = float(far(np.array([best_score[-1]]).astype(np.float64))[0])
                 continue
-            maybe = np.flatnonzero(np.abs(to_page - node.distances) - node.radii <= bound + SLACK)
+            maybe = np.flatnonzero(np.abs(to_page - node.distances) - node.radii <= bound + slack)
             to_child = far((self.vectors[node.rows[maybe]] @ query).astype(np.float64))
             low = np.maximum(0.0, to_child - node.radii[maybe])
             for j, d, least in zip(maybe.tolist(), to_child.tolist(), low.tolist(), strict=True):
-                if least <= bound + SLACK:
+                if least <= bound + slack:
                     heappush(heap, (least, next(order), d, node.children[j]))
         return list(zip(best_score.tolist(), best_id.tolist(), strict=True))
 

@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.llm.common import connected_components, discard, hook, materialize, read_table
+from crease.llm.common import connected_components, discard, hook, materialize, read_table, slices
 
-#: Vectors that a cell should have, and most cells: pivots are what the driver and every task hold.
+#: Vectors that a cell should have, and most cells: pivots are what the driver and every task hold. Beyond that many
+#: cells they grow, and are compared in more blocks each.
 CELL, MAX_CELLS = 1000, 4096
+#: Vectors that the pivots are chosen from.
+SAMPLE = 16_384
 #: Rows of one side of a block; a crowded cell is compared block by block in many tasks.
 BLOCK = 8192
 #: Rows that one matrix product takes at a time; pairs this near the threshold are computed again one by one.
@@ -36,19 +39,42 @@ def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> tuple[np.ndarray,
     return out, sizes
 
 
-def boundary(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """The cell (nearest pivot) of each unit vector, and a mask of the other cells it goes to as a guest.
+def spread(sample: np.ndarray, cells: int, seed: int = 1) -> np.ndarray:
+    """Pivots among unit vectors: each next one is drawn by the squared distance to the nearest pivot so far.
+
+    Dense regions get one pivot before any gets a second; fewer pivots than `cells` if the sample has fewer places.
+    """
+    rng = np.random.default_rng(seed)
+    chosen = [int(rng.integers(len(sample)))]
+    gap = np.maximum(0, 2 - 2 * (sample @ sample[chosen[0]]))
+    while len(chosen) < cells and gap.sum() > 1e-9:
+        chosen.append(int(np.searchsorted(np.cumsum(gap), rng.random() * gap.sum()).clip(0, len(sample) - 1)))
+        gap = np.minimum(gap, np.maximum(0, 2 - 2 * (sample @ sample[chosen[-1]])))
+        gap[chosen[-1]] = 0
+    return sample[chosen]
+
+
+def homes(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell (nearest pivot) of each unit vector, and the distance to its pivot."""
+    near = x @ pivots.T
+    return near.argmax(1), np.sqrt(np.maximum(0, 2 - 2 * near.max(1)))
+
+
+def boundary(x: np.ndarray, home: np.ndarray, pivots: np.ndarray, radii: np.ndarray, reach: float) -> np.ndarray:
+    """A mask of the other cells that each unit vector of cell `home` goes to as a guest.
 
     A segment from x in cell i to y in cell j crosses the bisector of their pivots at some z, and by the triangle
     inequality |x - y| = |x - z| + |z - y| is at least the sum of both distances to the bisector. So if |x - y| <= r,
-    one of the two lies within r / 2 of it, and a guest in the other's cell: the pair meets there.
+    one of the two lies within r / 2 of it, and a guest in the other's cell: the pair meets there. And a cell whose
+    members are at most R from their pivot has no member within r of a vector that is farther than R + r from it.
     """
     near = x @ pivots.T
-    home = near.argmax(1)
-    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))[home]
-    guest = near.max(1)[:, None] - near <= (reach / 2) * apart + 1e-9
+    own = near[np.arange(len(x)), home]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * pivots[home] @ pivots.T))
+    guest = own[:, None] - near <= (reach / 2) * apart + 1e-9
+    guest &= np.sqrt(np.maximum(0, 2 - 2 * near)) <= radii + reach + 1e-9
     guest[np.arange(len(x)), home] = False
-    return home, guest
+    return guest
 
 
 def join_block(table: pa.Table, width: int, threshold: float) -> pa.Table:
@@ -98,8 +124,8 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
     component_id. Equal vectors are one in the join and counted by their copies. The key is an integer; a row with a
     null key links with nothing (component_id and kept null). Other columns are left out.
 
-    Pivots partition the vectors into cells by the nearest one; the triangle inequality says which vectors near a
-    cell's boundary go to it as guests too; then cells are joined independently, a crowded one in blocks. A block
+    Pivots, spread over a sample, partition the vectors into cells by the nearest one; the triangle inequality, by the
+    bisector and by the cell's covering radius, says which vectors go to a cell as guests too; then cells are joined independently, a crowded one in blocks. A block
     returns one row per linked vector, its count and one spanning edge, however many links it has.
     """
     if not -1 < threshold <= 1:
@@ -126,25 +152,41 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
         .agg(F.min("id").alias("id"), F.count("*").cast("long").alias("copies"), F.first("embedding").alias("embedding"))
     )
     n, width = distinct.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    cells = max(1, min(MAX_CELLS, -(-n // CELL)))
-    chosen = distinct.orderBy(F.xxhash64("embedding"), "id").limit(cells).select("embedding").toArrow()
     width = width or 1
-    pivots = unit(matrix(chosen.column("embedding"), width)[0]) if n else np.zeros((1, width))
+    # pivots come from a bounded sample; every vector is placed and compared
+    cells = max(1, min(MAX_CELLS, -(-n // CELL)))
+    chosen = distinct.orderBy(F.xxhash64("content"), "id").limit(SAMPLE).select("embedding").toArrow()
+    pivots = spread(unit(matrix(chosen.column("embedding"), width)[0]), cells) if n else np.zeros((1, width))
     reach = math.sqrt(max(0.0, 2 - 2 * threshold))
-    kinds = "id long, copies long, embedding array<double>, home int, guests array<int>"
+
+    def measure(batches):
+        widest = np.full(len(pivots), -1.0)
+        for batch in batches:
+            for part in slices(batch):
+                home, away = homes(unit(matrix(part.column("embedding"), width)[0]), pivots)
+                np.maximum.at(widest, home, away)
+        full = np.flatnonzero(widest >= 0)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(widest[full])], ["cell", "radius"])
+
+    measured = distinct.select("embedding").mapInArrow(measure, "cell int, radius double")
+    radii = np.full(len(pivots), -10.0)
+    for cell, radius in measured.groupBy("cell").agg(F.max("radius")).collect():  # a row per cell
+        radii[cell] = radius
 
     def place(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                home, guest = boundary(unit(matrix(batch.column("embedding"), width)[0]), pivots, reach)
+        for batch in batches:
+            for part in slices(batch):
+                x = unit(matrix(part.column("embedding"), width)[0])
+                home, _ = homes(x, pivots)
+                guest = boundary(x, home, pivots, radii, reach)
                 offsets = np.concatenate([[0], np.cumsum(guest.sum(1))])
                 guests = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.nonzero(guest)[1], pa.int32()))
                 yield pa.RecordBatch.from_arrays(
-                    [*map(batch.column, ("id", "copies", "embedding")), pa.array(home, pa.int32()), guests],
+                    [*map(part.column, ("id", "copies", "embedding")), pa.array(home, pa.int32()), guests],
                     ["id", "copies", "embedding", "home", "guests"],
                 )
 
+    kinds = "id long, copies long, embedding array<double>, home int, guests array<int>"
     placed = materialize(distinct.select("id", "copies", "embedding").mapInArrow(place, kinds))
     visits = placed.select("home", F.explode(F.concat(F.array("home"), "guests")).alias("cell"))
     sizes = visits.groupBy("cell").agg(F.sum(F.when(F.col("home") == F.col("cell"), 1).otherwise(0)).alias("hosts"), F.count("*").alias("all"))

@@ -70,6 +70,40 @@ def test_top_k_of_large_components(spark):
     assert found == [(q, n, i) for q, n, i, _ in brute_top(rows, rows[:1], 3)]
 
 
+def test_top_k_of_large_components_over_many_pages(spark):
+    """Distances of 1e9 and more, more rows than pages hold, many of them nearly equal: only the tree decides what is skipped."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(-(10**6), 10**6, (12, 3))
+    rows = [(i, [float(b) + float(e) / 1024 for b, e in zip(base[i % 12], rng.integers(-3, 4, 3), strict=True)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asks = [x for x in rows if x[0] % 90 == 0]
+    assert got_top(top_k(df, df.filter("vec_id % 90 = 0"), 10)) == brute_top(rows, asks, 10)
+
+
+def test_copies_stay_bounded_as_vectors_grow():
+    """Cells and copies a vector for 1,000 to 100,000 made vectors in groups: ten times the rows, no more copies each."""
+    from crease.llm import vecdup
+
+    rng = np.random.default_rng(4)
+    centers = vecdup.unit(rng.normal(size=(150, 64)))
+    reach, copies = math.sqrt(0.1), []
+    for n in (1_000, 10_000, 100_000):
+        x = vecdup.unit(centers[rng.integers(0, len(centers), n)] + rng.normal(size=(n, 64)) * 0.02)
+        pivots = vecdup.spread(x[: vecdup.SAMPLE], -(-n // vecdup.CELL))
+        home, away = vecdup.homes(x, pivots)
+        radii = np.array([away[home == c].max(initial=-10.0) for c in range(len(pivots))])
+        copies.append(1 + np.concatenate([vecdup.boundary(x[i : i + 4096], home[i : i + 4096], pivots, radii, reach).sum(1) for i in range(0, n, 4096)]).mean())
+        print(n, "vectors,", len(pivots), "cells,", round(copies[-1], 2), "copies a vector")
+    assert max(copies) < 10
+
+
+def test_spread_pivots_on_few_places():
+    from crease.llm import vecdup
+
+    sample = vecdup.unit(np.repeat(np.eye(3), 10, 0))
+    assert len(vecdup.spread(sample, 8)) == 3 and len(vecdup.spread(sample[:1], 5)) == 1
+
+
 def brute_links(rows, threshold=0.95):
     """(key, links, component, kept) by all pairs."""
     n = len(rows)
