@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crease.functions import rules
-from crease.operators.scorecards import count_if
+from crease.operators.scorecards import count_if, player_innings
 
 KEY = ["player_id", "match_class"]
 
@@ -17,103 +17,55 @@ def appearances(balls: DataFrame, *columns: str) -> DataFrame:
     return take("batter_id").union(take("bowler_id")).distinct()
 
 
-def batting_innings(balls: DataFrame) -> DataFrame:
-    """Innings of each striker, with whether they were out in it."""
-    out = (
-        balls.filter("player_out_id is not null")
-        .select("match_id", "innings_no", F.col("player_out_id").alias("player_id"))
-        .distinct()
-        .withColumn("was_out", F.lit(1))
-    )
-    innings = (
-        balls.filter("batter_id is not null")
-        .groupBy("match_id", "innings_no", F.col("batter_id").alias("player_id"))
-        .agg(
-            F.min("match_class").alias("match_class"),
-            F.sum("runs_batter").alias("runs"),
-            count_if(rules.is_faced(F.col("extra_type"))).alias("balls"),
-            count_if(F.col("runs_batter") == 4).alias("fours"),
-            count_if(F.col("runs_batter") == 6).alias("sixes"),
-        )
-    )
-    return innings.join(out, ["match_id", "innings_no", "player_id"], "left").withColumn(
-        "is_out", F.coalesce("was_out", F.lit(0))
-    )
-
-
-def bowling_innings(balls: DataFrame) -> DataFrame:
-    return (
-        balls.filter("bowler_id is not null")
-        .groupBy("match_id", "innings_no", F.col("bowler_id").alias("player_id"))
-        .agg(
-            F.min("match_class").alias("match_class"),
-            count_if(rules.is_legal(F.col("extra_type"))).alias("balls"),
-            F.sum(rules.charged_runs(F.col("runs_batter"), F.col("extra_type"), F.col("runs_extras"))).alias("runs"),
-            count_if(rules.bowler_wicket(F.col("dismissal_kind"))).alias("wickets"),
-        )
-    )
-
+def career_stats(balls: DataFrame) -> DataFrame:
+    """Batting and bowling careers by player and class; a player may have either alone."""
+    return careers_of(player_innings(balls))
 
-def batting_careers(balls: DataFrame) -> DataFrame:
-    """Per player and class; the highest score's not-out flag comes from one max over (runs, not out)."""
-    runs, out = F.col("runs"), F.col("is_out")
-    best = F.max(F.struct("runs", (1 - out).alias("notout")))
-    return (
-        batting_innings(balls)
-        .groupBy(*KEY)
-        .agg(
-            F.count("*").alias("bat_innings"),
-            F.sum("runs").alias("runs"),
-            F.sum("balls").alias("balls_faced"),
-            F.sum(1 - out).alias("not_outs"),
-            best.alias("best"),
-            count_if((runs >= 50) & (runs < 100)).alias("fifties"),
-            count_if(runs >= 100).alias("hundreds"),
-            count_if((runs == 0) & (out == 1)).alias("ducks"),
-            F.sum("fours").alias("fours"),
-            F.sum("sixes").alias("sixes"),
-        )
-        .withColumn("high_score", F.col("best.runs"))
-        .withColumn("high_score_not_out", F.col("best.notout") == 1)
-        .drop("best")
-    )
 
+def careers_of(lines: DataFrame) -> DataFrame:
+    """career_stats from player_innings(): one more aggregation, by player and class.
 
-def bowling_careers(balls: DataFrame) -> DataFrame:
-    best = F.max(F.struct("wickets", (-F.col("runs")).alias("saved")))
-    return (
-        bowling_innings(balls)
+    The highest score's not-out flag and the best figures come from maxima over structs.
+    """
+    runs, out, col = F.col("runs"), F.col("was_out"), F.col
+    bats, bowls = col("strikes") > 0, col("bowl_first").isNotNull()
+    summed = lambda when, x: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
+    table = (
+        lines.filter(bats | bowls)
         .groupBy(*KEY)
         .agg(
-            F.count("*").alias("bowl_innings"),
-            F.sum("balls").alias("balls_bowled"),
-            F.sum("runs").alias("runs_conceded"),
-            F.sum("wickets").alias("wickets"),
-            count_if(F.col("wickets") >= 5).alias("five_wickets"),
-            best.alias("best"),
+            F.count_distinct("match_id").alias("matches"),
+            count_if(bats).alias("bat_innings"),
+            summed(bats, runs).alias("runs"),
+            summed(bats, col("balls")).alias("balls_faced"),
+            count_if(bats & ~out).alias("not_outs"),
+            F.max(F.when(bats, F.struct(runs.alias("n"), (~out).alias("not_out")))).alias("high"),
+            count_if(bats & (runs >= 50) & (runs < 100)).alias("fifties"),
+            count_if(bats & (runs >= 100)).alias("hundreds"),
+            count_if(bats & (runs == 0) & out).alias("ducks"),
+            summed(bats, col("fours")).alias("fours"),
+            summed(bats, col("sixes")).alias("sixes"),
+            count_if(bowls).alias("bowl_innings"),
+            summed(bowls, col("bowl_balls")).alias("balls_bowled"),
+            summed(bowls, col("conceded")).alias("runs_conceded"),
+            summed(bowls, col("wickets")).alias("wickets"),
+            F.max(F.when(bowls, F.struct(col("wickets").alias("n"), (-col("conceded")).alias("saved")))).alias("best"),
+            count_if(bowls & (col("wickets") >= 5)).alias("five_wickets"),
         )
-        .withColumn("best_bowling_wkts", F.col("best.wickets"))
-        .withColumn("best_bowling_runs", -F.col("best.saved"))
-        .drop("best")
     )
-
-
-def career_stats(balls: DataFrame) -> DataFrame:
-    """Batting and bowling careers together; a player may have either alone."""
-    matches = appearances(balls, "match_class").groupBy(*KEY).agg(F.count_distinct("match_id").alias("matches"))
-    both = batting_careers(balls).join(
-        bowling_careers(balls).withColumnRenamed("runs", "bowl_runs"), KEY, "full_outer"
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    col = F.col
-    return both.join(matches, KEY, "left").select(
+    zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return table.select(
         *KEY,
-        *map(zero, ["matches", "bat_innings", "runs", "balls_faced", "not_outs", "high_score"]),
-        F.coalesce("high_score_not_out", F.lit(False)).alias("high_score_not_out"),
-        *map(zero, ["fifties", "hundreds", "ducks", "fours", "sixes"]),
+        *["matches", "bat_innings", "runs", "balls_faced", "not_outs"],
+        zero(col("high.n"), "high_score"),
+        F.coalesce("high.not_out", F.lit(False)).alias("high_score_not_out"),
+        *["fifties", "hundreds", "ducks", "fours", "sixes"],
         rules.ratio2(col("runs"), col("bat_innings") - col("not_outs")).alias("batting_avg"),
         rules.ratio2(col("runs") * 100, col("balls_faced")).alias("strike_rate"),
-        *map(zero, ["bowl_innings", "balls_bowled", "runs_conceded", "wickets", "best_bowling_wkts", "best_bowling_runs", "five_wickets"]),
+        *["bowl_innings", "balls_bowled", "runs_conceded", "wickets"],
+        zero(col("best.n"), "best_bowling_wkts"),
+        zero(-col("best.saved"), "best_bowling_runs"),
+        "five_wickets",
         rules.ratio2(col("runs_conceded"), col("balls_bowled") / 6.0, col("balls_bowled") > 0).alias("economy"),
         rules.ratio2(col("runs_conceded"), col("wickets")).alias("bowling_avg"),
         rules.ratio2(col("balls_bowled"), col("wickets")).alias("bowling_sr"),
@@ -121,43 +73,46 @@ def career_stats(balls: DataFrame) -> DataFrame:
 
 
 def career_players(balls: DataFrame, players: DataFrame) -> DataFrame:
-    """One row per player who appeared: identity and whole-career totals."""
-    seen = appearances(balls, "gender").groupBy("player_id").agg(
-        F.count_distinct("match_id").alias("career_matches"), F.min("gender").alias("gender")
-    )
-    runs = balls.filter("batter_id is not null").groupBy(F.col("batter_id").alias("player_id")).agg(F.sum("runs_batter").alias("career_runs"))
-    wickets = (
-        balls.filter("bowler_id is not null")
-        .groupBy(F.col("bowler_id").alias("player_id"))
-        .agg(count_if(rules.bowler_wicket(F.col("dismissal_kind"))).alias("career_wickets"))
+    return players_of(player_innings(balls), players)
+
+
+def players_of(lines: DataFrame, players: DataFrame) -> DataFrame:
+    """One row per player who batted or bowled: identity and whole-career totals."""
+    totals = (
+        lines.filter("strikes > 0 or bowl_first is not null")
+        .groupBy("player_id")
+        .agg(
+            F.min("gender").alias("gender"),
+            F.count_distinct("match_id").alias("career_matches"),
+            F.coalesce(F.sum("runs"), F.lit(0)).alias("career_runs"),
+            F.sum("wickets").alias("career_wickets"),
+        )
     )
     known = players.groupBy("player_id").agg(F.min("name").alias("name"), F.min("external_id").alias("external_id"))
-    return (
-        seen.join(known, "player_id", "left")
-        .join(runs, "player_id", "left")
-        .join(wickets, "player_id", "left")
-        .select(
-            "player_id",
-            F.coalesce("name", "player_id").alias("name"),
-            "external_id",
-            "gender",
-            "career_matches",
-            F.coalesce("career_runs", F.lit(0)).alias("career_runs"),
-            F.coalesce("career_wickets", F.lit(0)).alias("career_wickets"),
-        )
+    return totals.join(known, "player_id", "left").select(
+        "player_id", F.coalesce("name", "player_id").alias("name"), "external_id", "gender", "career_matches", "career_runs", "career_wickets"
     )
 
 
 def career_coverage(balls: DataFrame) -> DataFrame:
-    """First and last date and number of the matches each (player, class) is known from."""
+    return coverage_of(player_innings(balls))
+
+
+#: Where the coverage comes from and what is said of it.
+COVERAGE_SOURCE, COVERAGE_NOTE = "BALL_BY_BALL", "Open ball-by-ball coverage only; not an official complete career total."
+
+
+def coverage_of(lines: DataFrame) -> DataFrame:
+    """First and last date and number of the matches each (player, class) is known from, with source and note."""
     return (
-        appearances(balls, "match_class", "match_date")
+        lines.filter("strikes > 0 or bowl_first is not null")
         .groupBy(*KEY)
         .agg(
             F.min("match_date").alias("first_match_date"),
             F.max("match_date").alias("last_match_date"),
             F.count_distinct("match_id").alias("matches_covered"),
         )
+        .withColumns({"source": F.lit(COVERAGE_SOURCE), "coverage_note": F.lit(COVERAGE_NOTE)})
     )
 
 

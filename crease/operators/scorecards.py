@@ -58,71 +58,81 @@ def match_summary(matches: DataFrame, balls: DataFrame) -> DataFrame:
     return matches.join(scores, "match_id", "left")
 
 
-def numbered(balls: DataFrame) -> DataFrame:
-    """Balls with their number s in the innings."""
-    in_order = W.partitionBy(*INNINGS).orderBy("over_no", "ball_in_over")
-    return balls.withColumn("s", F.row_number().over(in_order))
+def player_innings(balls: DataFrame) -> DataFrame:
+    """Batting and bowling figures of each player in each innings, by one aggregation over the roles of every ball.
+
+    A ball counts for its striker (role 0), non-striker (1), dismissed player (2) and bowler (3), with a shuffle of
+    partly summed rows only. Cards, careers and coverage are all taken from this table. `bat_first` and `bowl_first`
+    are the first ball at either end and as bowler; `was_out` and `dismissal` tell of the first dismissal.
+    """
+    role = lambda n, who, name: F.struct(F.lit(n).alias("role"), F.col(who).alias("player_id"), name.alias("name"))
+    roles = F.array(
+        role(0, "batter_id", F.col("batter_name")),
+        role(1, "non_striker_id", F.col("non_striker_name")),
+        role(2, "player_out_id", F.lit(None).cast("string")),
+        role(3, "bowler_id", F.col("bowler_name")),
+    )
+    rows = balls.select(
+        *INNINGS,
+        *["match_class", "gender", "match_date", "over_no", "ball_in_over", "runs_batter", "runs_extras", "extra_type", "dismissal_kind"],
+        F.inline(roles),
+    ).filter("player_id is not null")
+    is_role = lambda *n: F.col("role").isin(*n)
+    strikes, bowls = is_role(0), is_role(3)
+    only = lambda when, x: F.when(when, x)
+    ball = F.struct("over_no", "ball_in_over")
+    return rows.groupBy(*INNINGS, "player_id").agg(
+        *[F.min(c).alias(c) for c in ("match_class", "gender", "match_date")],
+        F.min(only(is_role(0, 1), F.col("name"))).alias("bat_name"),
+        F.min(only(is_role(0, 1), F.struct("over_no", "ball_in_over", "role"))).alias("bat_first"),
+        count_if(strikes).alias("strikes"),
+        F.sum(only(strikes, F.col("runs_batter"))).alias("runs"),
+        count_if(strikes & rules.is_faced(F.col("extra_type"))).alias("balls"),
+        count_if(strikes & (F.col("runs_batter") == 4)).alias("fours"),
+        count_if(strikes & (F.col("runs_batter") == 6)).alias("sixes"),
+        (count_if(is_role(2)) > 0).alias("was_out"),
+        F.min_by(only(is_role(2), F.col("dismissal_kind")), only(is_role(2), ball)).alias("dismissal"),
+        F.min(only(bowls, ball)).alias("bowl_first"),
+        count_if(bowls & rules.is_legal(F.col("extra_type"))).alias("bowl_balls"),
+        F.sum(only(bowls, rules.charged_runs(F.col("runs_batter"), F.col("extra_type"), F.col("runs_extras")))).alias("conceded"),
+        count_if(bowls & rules.bowler_wicket(F.col("dismissal_kind"))).alias("wickets"),
+    )
 
 
 def dismissals(balls: DataFrame) -> DataFrame:
     """How each dismissed player of an innings was first out."""
     return (
-        numbered(balls)
-        .filter("player_out_id is not null")
+        balls.filter("player_out_id is not null")
         .groupBy(*INNINGS, F.col("player_out_id").alias("player_id"))
-        .agg(F.min_by("dismissal_kind", "s").alias("dismissal"))
+        .agg(F.min_by("dismissal_kind", F.struct("over_no", "ball_in_over")).alias("dismissal"))
     )
 
 
 def batting_order(balls: DataFrame) -> DataFrame:
     """Players of an innings by first appearance, strikers before non-strikers of the same ball, then by id."""
-    seen = F.explode(
-        F.array(
-            F.struct(F.col("batter_id").alias("player_id"), F.col("batter_name").alias("name"), F.lit(0).alias("end")),
-            F.struct(F.col("non_striker_id").alias("player_id"), F.col("non_striker_name").alias("name"), F.lit(1).alias("end")),
-        )
-    )
-    first = (
-        numbered(balls)
-        .select(*INNINGS, "s", seen.alias("seen"))
-        .select(*INNINGS, "s", "seen.*")
-        .filter("player_id is not null")
-        .groupBy(*INNINGS, "player_id")
-        .agg(F.min(F.struct("s", "end")).alias("first"), F.min("name").alias("name"))
+    return card_of_batting(player_innings(balls)).select(*INNINGS, "player_id", "name", F.col("batting_pos").alias("pos"))
+
+
+def card_of_batting(lines: DataFrame) -> DataFrame:
+    """The batting card from player_innings()."""
+    place = W.partitionBy(*INNINGS).orderBy("bat_first", "player_id")
+    return lines.filter("bat_first is not null").select(
+        *INNINGS,
+        F.row_number().over(place).alias("batting_pos"),
+        "player_id",
+        F.col("bat_name").alias("name"),
+        F.coalesce("runs", F.lit(0)).alias("runs"),
+        "balls",
+        "fours",
+        "sixes",
+        rules.ratio2(F.col("runs") * 100, F.col("balls")).alias("strike_rate"),
+        F.col("was_out").alias("out"),
+        "dismissal",
     )
-    place = W.partitionBy(*INNINGS).orderBy("first", "player_id")
-    return first.select(*INNINGS, "player_id", "name", F.row_number().over(place).alias("pos"))
 
 
 def batting_card(balls: DataFrame) -> DataFrame:
-    figures = (
-        balls.filter("batter_id is not null")
-        .groupBy(*INNINGS, F.col("batter_id").alias("player_id"))
-        .agg(
-            F.sum("runs_batter").alias("runs"),
-            count_if(rules.is_faced(F.col("extra_type"))).alias("balls"),
-            count_if(F.col("runs_batter") == 4).alias("fours"),
-            count_if(F.col("runs_batter") == 6).alias("sixes"),
-        )
-    )
-    key = [*INNINGS, "player_id"]
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    outs = dismissals(balls).withColumn("was_out", F.lit(True))
-    return (
-        batting_order(balls)
-        .join(figures, key, "left")
-        .join(outs, key, "left")
-        .select(
-            *INNINGS,
-            F.col("pos").alias("batting_pos"),
-            "player_id",
-            "name",
-            *map(zero, ["runs", "balls", "fours", "sixes"]),
-            rules.ratio2(F.col("runs") * 100, F.col("balls")).alias("strike_rate"),
-            F.coalesce("was_out", F.lit(False)).alias("out"),
-            "dismissal",
-        )
-    )
+    return card_of_batting(player_innings(balls))
 
 
 def bowler_overs(balls: DataFrame) -> DataFrame:
@@ -135,6 +145,7 @@ def bowler_overs(balls: DataFrame) -> DataFrame:
             count_if(rules.is_legal(F.col("extra_type"))).alias("legal"),
             count_if(rules.bowler_wicket(F.col("dismissal_kind"))).alias("w"),
             F.min("bowler_name").alias("name"),
+            F.min("ball_in_over").alias("first_ball"),
         )
     )
 
@@ -149,12 +160,12 @@ def maiden_overs(balls: DataFrame, least_balls: int = 6) -> DataFrame:
 
 
 def bowling_card(balls: DataFrame, least_balls: int = 6, balls_per_over: int = 6) -> DataFrame:
-    """Bowlers of an innings in order of their first over; figures and maidens come from one rollup by over."""
+    """Bowlers of an innings in order of their first ball; figures and maidens come from one rollup by over."""
     figures = (
         bowler_overs(balls)
         .groupBy(*INNINGS, "player_id")
         .agg(
-            F.min("over_no").alias("first"),
+            F.min(F.struct("over_no", "first_ball")).alias("first"),
             F.min("name").alias("name"),
             F.sum("legal").alias("balls"),
             count_if((F.col("r") == 0) & (F.col("legal") >= least_balls)).alias("maidens"),

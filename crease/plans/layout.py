@@ -43,15 +43,16 @@ def read_silver(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return tables
 
 
-def gold_tables(silver: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Every gold table as a DataFrame over silver."""
+def gold_tables(silver: dict[str, DataFrame], lines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Every gold table as a DataFrame over silver; lines: player_innings() where it has been written already."""
     balls, matches, players = silver["deliveries"], silver["matches"], silver["players"]
+    lines = scorecards.player_innings(balls) if lines is None else lines
     return {
-        "careers": careers.career_stats(balls),
-        "career_players": careers.career_players(balls, players),
-        "career_coverage": careers.career_coverage(balls),
+        "careers": careers.careers_of(lines),
+        "career_players": careers.players_of(lines, players),
+        "career_coverage": careers.coverage_of(lines),
         "innings": scorecards.innings_totals(balls),
-        "batting": scorecards.batting_card(balls),
+        "batting": scorecards.card_of_batting(lines),
         "bowling": scorecards.bowling_card(balls),
         "matches": scorecards.match_summary(matches, balls),
         "overs": scorecards.overs_json(balls),
@@ -59,9 +60,11 @@ def gold_tables(silver: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def write_gold(silver: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Replace all gold tables; returns their row counts."""
+    """Replace all gold tables; returns their row counts. The players' innings are written once and feed four tables."""
     spark = silver["deliveries"].sparkSession
-    for name, table in gold_tables(silver).items():
+    scorecards.player_innings(silver["deliveries"]).write.mode("overwrite").parquet(f"{path}/player_innings")
+    lines = spark.read.parquet(f"{path}/player_innings")
+    for name, table in gold_tables(silver, lines).items():
         table.write.mode("overwrite").parquet(f"{path}/{name}")
     return {name: spark.read.parquet(f"{path}/{name}").count() for name in GOLD}
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Balls after which a wicket has fallen, and those of an innings that loses all ten.
+FALLS, ALL_OUT = (2, 6, 12, 20, 32, 110), (2, 6, 12, 20, 32, 42, 54, 68, 84, 110)
+
 ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate"]
 
 
@@ -48,7 +51,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
             _text("T", away).alias("team_away"),
             _text("T", F.when(m % 2 == 0, home).otherwise(away)).alias("toss_winner"),
             F.when(m % 3 == 0, "bat").otherwise("field").alias("toss_decision"),
-            F.when(m % 5 != 4, _text("T", F.when(m % 2 == 0, home).otherwise(away))).alias("outcome_winner"),
+            F.when(m % 5 != 4, _text("T", F.when(m % 3 == 0, home).otherwise(away))).alias("outcome_winner"),
             (m % 3 + 1).cast("int").alias("revision"),
         )
     )
@@ -68,16 +71,20 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     c.pop("match_id")
     first = (m + inn) % 2 == 1
     bats, bowls = F.when(first, home).otherwise(away), F.when(first, away).otherwise(home)
-    spell = F.lit(6)
-    for least, k in ((110, 5), (32, 4), (20, 3), (12, 2), (6, 1), (2, 0)):
-        spell = F.when(rn < least, k).otherwise(spell)
-    bowler = F.when(m % 10 == 0, 4).otherwise(4 + over % 5)
+    # a wicket falls on the last ball before each of these; innings of every sixth match lose all ten
+    fall = lambda ends: sum((rn >= e).cast("int") for e in ends)
+    all_out = m % 6 == 1
+    spell = F.when(all_out, F.least(fall(ALL_OUT), F.lit(9))).otherwise(fall(FALLS))
+    # one bowler an over, but in some matches another bowls its first two balls
+    bowler = F.when(m % 10 == 0, 4).when((m % 9 == 4) & (over == 0) & (rn < 2), 6).otherwise(4 + over % 5)
     player = lambda team, k: _text("P", team * 11 + k)
     extras = F.array(*map(F.lit, ["wides", "noballs", "byes", "legbyes"]))
     extra = F.when(F.col("l_returnflag") == "R", F.get(extras, F.col("l_linenumber") - 1))
     quantity = F.col("l_quantity").cast("int")
-    kinds = F.array(*map(F.lit, ["bowled", "caught", "run out", "lbw"]))
-    wicket = rn.isin(1, 5, 11, 19, 31, 109)
+    kinds = F.array(*map(F.lit, ["bowled", "caught", "run out", "lbw", "stumped", "caught and bowled", "hit wicket"]))
+    wicket = F.when(all_out, rn.isin(*(e - 1 for e in ALL_OUT))).otherwise(rn.isin(*(e - 1 for e in FALLS)))
+    # the other end may be run out
+    out_k = F.when((quantity % 7 == 2) & (m % 3 == 0), F.col("k") + 1).otherwise(F.col("k"))
     return (
         rows.withColumn("extra_type", extra)
         .withColumn("bat_team", bats)
@@ -105,8 +112,8 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("runs_batter") + F.col("runs_extras")).alias("runs_total"),
             "extra_type",
             "is_wicket",
-            F.when(F.col("is_wicket"), F.get(kinds, quantity % 4)).alias("dismissal_kind"),
-            F.when(F.col("is_wicket"), player(F.col("bat_team"), F.col("k"))).alias("player_out_id"),
+            F.when(F.col("is_wicket"), F.get(kinds, quantity % 7)).alias("dismissal_kind"),
+            F.when(F.col("is_wicket"), player(F.col("bat_team"), out_k)).alias("player_out_id"),
         )
     )
 
@@ -141,7 +148,7 @@ matches AS (
     CAST(m % 50 AS INTEGER) AS event_match_number, 'T' || home AS team_home, 'T' || away AS team_away,
     'T' || CASE WHEN m % 2 = 0 THEN home ELSE away END AS toss_winner,
     CASE WHEN m % 3 = 0 THEN 'bat' ELSE 'field' END AS toss_decision,
-    CASE WHEN m % 5 = 4 THEN NULL ELSE 'T' || CASE WHEN m % 2 = 0 THEN home ELSE away END END AS outcome_winner,
+    CASE WHEN m % 5 = 4 THEN NULL ELSE 'T' || CASE WHEN m % 3 = 0 THEN home ELSE away END END AS outcome_winner,
     CAST(m % 3 + 1 AS INTEGER) AS revision
   FROM keyed),
 numbered AS (
@@ -151,13 +158,13 @@ placed AS (
   SELECT n.rn, n.inn, n.l_quantity, k.*,
     CASE WHEN (n.m + n.inn) % 2 = 1 THEN home ELSE away END AS bat,
     CASE WHEN (n.m + n.inn) % 2 = 1 THEN away ELSE home END AS bowl,
-    CASE WHEN rn < 2 THEN 0 WHEN rn < 6 THEN 1 WHEN rn < 12 THEN 2 WHEN rn < 20 THEN 3 WHEN rn < 32 THEN 4
-      WHEN rn < 110 THEN 5 ELSE 6 END AS spell,
-    CASE WHEN n.m % 10 = 0 THEN 4 ELSE 4 + (rn // 6) % 5 END AS b,
+    CASE WHEN n.m % 6 = 1 THEN least(9, len(list_filter([2, 6, 12, 20, 32, 42, 54, 68, 84, 110], lambda e: e <= rn)))
+      ELSE len(list_filter([2, 6, 12, 20, 32, 110], lambda e: e <= rn)) END AS spell,
+    CASE WHEN n.m % 10 = 0 THEN 4 WHEN n.m % 9 = 4 AND rn < 2 THEN 6 ELSE 4 + (rn // 6) % 5 END AS b,
     CASE WHEN l_returnflag = 'R' THEN
       CASE l_linenumber WHEN 1 THEN 'wides' WHEN 2 THEN 'noballs' WHEN 3 THEN 'byes' WHEN 4 THEN 'legbyes' END
     END AS extra_type,
-    CAST(floor(l_quantity) AS INTEGER) AS q, rn IN (1, 5, 11, 19, 31, 109) AS is_wicket
+    CAST(floor(l_quantity) AS INTEGER) AS q, rn IN (1, 5, 11, 19, 31, 109) OR n.m % 6 = 1 AND rn IN (41, 53, 67, 83) AS is_wicket
   FROM numbered n JOIN keyed k USING (m)),
 balls AS (
   SELECT *, CASE WHEN extra_type IS NOT NULL OR q <= 25 THEN 0 ELSE q % 7 END AS runs_batter,
@@ -169,9 +176,9 @@ deliveries AS MATERIALIZED (
     'P' || (bat * 11 + spell + 1) AS non_striker_id, 'Player ' || (bat * 11 + spell + 1) AS non_striker_name,
     'P' || (bowl * 11 + b) AS bowler_id, 'Player ' || (bowl * 11 + b) AS bowler_name,
     runs_batter, runs_extras, runs_batter + runs_extras AS runs_total, extra_type, is_wicket,
-    CASE WHEN is_wicket THEN CASE q % 4 WHEN 0 THEN 'bowled' WHEN 1 THEN 'caught' WHEN 2 THEN 'run out' ELSE 'lbw' END
+    CASE WHEN is_wicket THEN (['bowled','caught','run out','lbw','stumped','caught and bowled','hit wicket'])[q % 7 + 1]
     END AS dismissal_kind,
-    CASE WHEN is_wicket THEN 'P' || (bat * 11 + spell) END AS player_out_id
+    CASE WHEN is_wicket THEN 'P' || (bat * 11 + spell + CASE WHEN q % 7 = 2 AND m % 3 = 0 THEN 1 ELSE 0 END) END AS player_out_id
   FROM balls),
 players AS (
   SELECT 'P' || i AS player_id, 'Player ' || i AS name, CASE WHEN i % 4 = 0 THEN NULL ELSE 'X' || (i * 7) END AS external_id
