@@ -94,3 +94,113 @@ def fresh_snapshots(snapshots: DataFrame, now: Column, max_age_seconds: int) ->
 def crawl_frontier(jobs: DataFrame, seen: DataFrame) -> DataFrame:
     """New jobs, each (page_type, params) once, at its least depth."""
     return jobs.groupBy("page_type", "params").agg(F.min("depth").alias("depth")).join(seen, ["page_type", "params"], "left_anti")
+
+
+def pending_players(players: DataFrame, done: DataFrame, force: bool = False, limit: int | None = None) -> DataFrame:
+    """Players with an external id that have not been enriched yet, most runs first."""
+    rows = players.filter("external_id is not null")
+    if not force:
+        rows = rows.join(done.select("player_id"), "player_id", "left_anti")
+    rows = rows.orderBy(F.desc("career_runs"), "player_id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def batches(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """Distinct keys dealt over `count` batches by hash: a batch that failed is found again by its number."""
+    return rows.select(key).distinct().withColumn("batch", F.pmod(F.xxhash64(key), F.lit(count)).cast("int"))
+
+
+def propagate_profiles(players: DataFrame, parsed: DataFrame, known: DataFrame) -> DataFrame:
+    """Profiles (role, batting_style, bowling_style) of players: parsed ones, by external id, over the known ones.
+
+    One external id may belong to several players; a null of the parsed profile never overwrites a known value.
+    """
+    fields = ["role", "batting_style", "bowling_style"]
+    found = players.filter("external_id is not null").select("player_id", "external_id").join(parsed.select("external_id", *fields), "external_id")
+    return merge_keep_known(known.select("player_id", "external_id", *fields), found, ["player_id"])
+
+
+def refresh_plan(feeds: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
+    """What to do with each offered feed (feed, etag, last_modified): fetch it, or nothing if its marks are the known ones."""
+    known = state.select("feed", F.col("etag").alias("known_etag"), F.col("last_modified").alias("known_modified"))
+    same = lambda mark, old: F.col(mark).isNotNull() & (F.col(mark) == F.col(old))
+    unchanged = F.coalesce(same("etag", "known_etag") | same("last_modified", "known_modified"), F.lit(False))
+    action = F.when(F.lit(force) | ~unchanged, "fetch").otherwise("not-modified")
+    return feeds.join(known, "feed", "left").select(*feeds.columns, action.alias("action"))
+
+
+def ingest_plan(entries: DataFrame, known: DataFrame, sweep: bool = True, from_cache: bool = False, dry_run: bool = False) -> DataFrame:
+    """What happens to each entry of a feed: ingest, would-ingest in a dry run, or skip.
+
+    Everything is taken again from a cache; else unknown matches, and in a sweep those of a higher revision.
+    """
+    have = known.groupBy("match_id").agg(F.max("revision").alias("known_revision"))
+    new = F.col("known_revision").isNull() | F.lit(from_cache)
+    if sweep:
+        new = new | (F.col("revision") > F.col("known_revision"))
+    take = "would-ingest" if dry_run else "ingest"
+    return entries.join(have, "match_id", "left").select(*entries.columns, F.when(new, take).otherwise("skip").alias("action"))
+
+
+def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:
+    """Jobs (job, every_seconds, enabled, running, last_run) that a tick should start: due, switched on, not still running."""
+    due = F.col("last_run").isNull() | (now.cast("timestamp").cast("long") - F.col("last_run").cast("timestamp").cast("long") >= F.col("every_seconds"))
+    return jobs.filter(F.col("enabled") & ~F.col("running") & due)
+
+
+def crawl_jobs(matches: DataFrame, mode: str, depth: int = 0) -> DataFrame:
+    """Scorecard jobs from the matches of a fixtures page: with a scorecard and both slugs, in LIVE mode only live ones.
+
+    Live matches are fetched again whatever is cached; others come from the cache if they are there.
+    """
+    live = F.coalesce(F.col("state") == "LIVE", F.lit(False))
+    wanted = F.coalesce("has_scorecard", F.lit(False)) & (live | F.lit(mode != "LIVE"))
+    some = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    return matches.filter(wanted & some("slug") & some("series_slug") & some("series_id")).select(
+        F.lit("scorecard").alias("page_type"),
+        F.concat_ws("/", F.concat_ws("-", "series_slug", "series_id"), F.concat_ws("-", "slug", "match_id")).alias("params"),
+        F.lit(mode).alias("mode"),
+        F.lit(depth + 1).alias("depth"),
+        live.alias("force_refetch"),
+    )
+
+
+def crawl(seed: DataFrame, expand, limit: int = 10) -> DataFrame:
+    """Breadth-first closure of jobs (page_type, params, depth): each found once, at its least depth.
+
+    expand(frontier) gives the jobs that pages of the frontier link to. A round keeps only what no round had before;
+    the rounds (at most `limit`, the depth of the site) are the driver's only loop.
+    """
+    key = ["page_type", "params"]
+    seen = frontier = crawl_frontier(seed, seed.select(*key).limit(0))
+    for _ in range(limit):
+        frontier = crawl_frontier(expand(frontier), seen.select(*key)).checkpoint()
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def class_batches(classified: DataFrame, key: str) -> DataFrame:
+    """Rows of each class to be written back: their number and the range of their keys."""
+    return classified.groupBy("match_class").agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
+
+
+def feed_totals(results: DataFrame) -> DataFrame:
+    """Sums over the feeds of one run."""
+    return results.agg(F.coalesce(F.sum("imported"), F.lit(0)).alias("imported"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
+
+
+def register_sources(known: DataFrame, new: DataFrame) -> DataFrame:
+    """Sources by key, new ones added, known ones updated where the new row says something."""
+    return merge_keep_known(known, new, ["source"])
+
+
+def contract(rows: DataFrame, checks: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """Rows that keep all (name, condition) checks, and the others with the names of those they break.
+
+    A condition that is null counts as broken.
+    """
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks]))
+    judged = rows.withColumn("broken", broken)
+    return judged.filter(F.size("broken") == 0).drop("broken"), judged.filter(F.size("broken") > 0)

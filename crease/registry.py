@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease import oracles
+from crease import oracles, oracles_lists, registry_lists
 from crease.functions import rules
 from crease.ml import chase
 from crease.operators import careers, editions, identity, ratings, scorecards
@@ -161,7 +161,7 @@ def _career_players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     newest = editions.newest_first
-    return {
+    return registry_lists.queries() | {
         "over_rollup": _balls(scorecards.over_rollup),
         "over_cumulative": _balls(scorecards.over_cumulative),
         "overs_json": _balls(scorecards.overs_json),
@@ -204,7 +204,7 @@ def queries() -> dict[str, Query]:
         ),
         "format_leaders_runs": _balls(lambda b: editions.format_leaders(careers.career_stats(b), "runs")),
         "format_leaders_wickets": _balls(lambda b: editions.format_leaders(careers.career_stats(b), "wickets")),
-        "elo_ratings": _matches(lambda m: ratings.elo_ratings(m, min_matches=5)),
+        "elo_ratings": _matches(lambda m: ratings.elo_ratings(m, min_matches=5).drop("raw_rating")),
         "match_class_rules": _match_rules,
         "dismissal_rules": _dismissal_rules,
         "name_normalise": _names,
@@ -234,4 +234,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.SQL
+    return oracles.SQL | oracles_lists.ORACLES

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crease.functions import rules
+from crease.functions import rules, texts
 
 
 def embedded_json(html: Column, element_id: str) -> Column:
@@ -33,45 +36,159 @@ def titles(pages: DataFrame) -> DataFrame:
 
 
 def fixtures(pages: DataFrame, element_id: str, base: str) -> DataFrame:
-    """Matches listed in a fixtures page's embedded JSON."""
+    """Matches listed in a fixtures page's embedded JSON, with teams, venue and series; fields may go by several names."""
     rows = pages.select("page_id", F.explode(F.from_json(F.get_json_object("data", f"$.{base}"), "array<string>")).alias("m"))
     pick = lambda *paths: first_path(F.col("m"), [f"$.{p}" for p in paths])
+    text = lambda *paths: rules.text_or_null(pick(*paths))
+    state = F.when(pick("state").isin("PRE", "LIVE", "POST"), pick("state"))
+    cancelled = only_boolean(F.col("m"), "$.isCancelled")
     return rows.select(
         "page_id",
-        rules.text_or_null(pick("objectId", "id")).alias("match_id"),
-        pick("title").alias("title"),
+        text("objectId", "id").alias("match_id"),
+        text("slug").alias("slug"),
+        text("title").alias("title"),
         rules.page_format(pick("format", "internationalClassId")).alias("format"),
-        rules.match_state(pick("state"), pick("isCancelled").cast("boolean")).alias("state"),
+        rules.match_state(state, cancelled).alias("state"),
+        text("statusText", "status").alias("status_text"),
         rules.toss_decision(pick("tossWinnerChoice").try_cast("int")).alias("toss_decision"),
         F.try_to_timestamp(pick("startTime", "startDate")).alias("start_time"),
-        F.coalesce(pick("hasScorecard").cast("boolean"), F.lit(False)).alias("has_scorecard"),
+        texts.day_night(pick("floodlit")).alias("day_night"),
+        text("series.slug").alias("series_slug"),
+        text("series.objectId", "series.id").alias("series_id"),
+        text("ground.longName", "ground.name").alias("venue"),
+        text("teams[0].team.longName", "teams[0].team.name").alias("team_home"),
+        text("teams[1].team.longName", "teams[1].team.name").alias("team_away"),
+        F.coalesce(only_boolean(F.col("m"), "$.hasScorecard"), F.lit(False)).alias("has_scorecard"),
     )
 
 
-#: Fields of a batting line, each with its names by preference.
-BATTING_FIELDS = {
-    "runs": ("runs",),
-    "balls": ("balls", "ballsFaced"),
-    "fours": ("fours",),
-    "sixes": ("sixes",),
-}
+def only_boolean(json: Column, path: str) -> Column:
+    """A JSON true or false; null for anything else, the texts "true" and "false" among them."""
+    value = F.try_variant_get(F.try_parse_json(json), path, "variant")
+    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.get_json_object(json, path) == "true")
+
+
+#: Where a scorecard page keeps its innings, and an innings its lines.
+INNINGS_PATHS = ["scorecard.innings", "innings", "match.innings"]
+BATTING_PATHS = ["$.inningBatsmen", "$.batsmen", "$.batting"]
+BOWLING_PATHS = ["$.inningBowlers", "$.bowlers", "$.bowling"]
+
+
+def _innings(pages: DataFrame, base: str) -> DataFrame:
+    """A row for each innings of scorecard pages, with its number: the one given, else its place."""
+    given = first_path(F.col("data"), [f"$.{base}.{p}" if base else f"$.{p}" for p in INNINGS_PATHS])
+    rows = pages.select("page_id", F.posexplode(F.from_json(given, "array<string>")).alias("i", "innings"))
+    number = first_path(F.col("innings"), ["$.inningNumber", "$.inningsNumber"])
+    return rows.select("page_id", F.coalesce(rules.number_or_null(number).cast("int"), F.col("i") + 1).alias("innings_no"), "innings")
+
+
+def page_innings(pages: DataFrame, base: str) -> DataFrame:
+    """Totals of the innings of scorecard pages."""
+    of = lambda path: F.get_json_object("innings", f"$.{path}")
+    return _innings(pages, base).select(
+        "page_id",
+        "innings_no",
+        rules.number_or_null(of("runs")).cast("int").alias("runs"),
+        rules.number_or_null(of("wickets")).cast("int").alias("wickets"),
+        rules.text_or_null(of("overs")).alias("overs"),
+    )
+
+
+def _lines(pages: DataFrame, base: str, paths: list[str], place: str) -> DataFrame:
+    lines = F.from_json(first_path(F.col("innings"), paths), "array<string>")
+    rows = _innings(pages, base).select("page_id", "innings_no", F.posexplode(lines).alias("p", "line"))
+    return rows.withColumn(place, F.col("p") + 1)
 
 
 def batting_lines(pages: DataFrame, base: str) -> DataFrame:
-    """Batting lines of a scorecard page's innings; fields may go by several names."""
-    innings = F.from_json(F.get_json_object("data", f"$.{base}"), "array<string>")
-    rows = pages.select("page_id", F.posexplode(innings).alias("i", "innings"))
-    lines = F.from_json(F.get_json_object("innings", "$.inningBatsmen"), "array<string>")
-    rows = rows.select("page_id", (F.col("i") + 1).alias("innings_no"), F.posexplode(lines).alias("p", "line"))
-    number = lambda names: first_path(F.col("line"), [f"$.{n}" for n in names]).try_cast("int")
-    return rows.select(
+    """Batting lines of scorecard pages; runs and balls are 0 where they are missing."""
+    pick = lambda *paths: first_path(F.col("line"), [f"$.{p}" for p in paths])
+    number = lambda *paths: rules.number_or_null(pick(*paths))
+    out = only_boolean(F.col("line"), "$.isOut")
+    said = rules.text_or_null(pick("dismissalText.long", "dismissalText.short", "dismissalText.commentary", "dismissalText"))
+    return _lines(pages, base, BATTING_PATHS, "batting_pos").select(
+        "page_id",
+        "innings_no",
+        "batting_pos",
+        number("player.objectId", "batsman.objectId").cast("long").alias("source_id"),
+        rules.text_or_null(pick("player.longName", "player.name", "batsman.longName", "batsman.name")).alias("name"),
+        F.coalesce(number("runs"), F.lit(0)).cast("int").alias("runs"),
+        F.coalesce(number("balls", "ballsFaced"), F.lit(0)).cast("int").alias("balls"),
+        number("fours").cast("int").alias("fours"),
+        number("sixes").cast("int").alias("sixes"),
+        number("strikerate", "strikeRate").alias("strike_rate"),
+        out.alias("out"),
+        rules.dismissal_text(said, out).alias("dismissal"),
+    )
+
+
+def bowling_lines(pages: DataFrame, base: str) -> DataFrame:
+    """Bowling lines of scorecard pages; wickets and runs are 0 where they are missing."""
+    pick = lambda *paths: first_path(F.col("line"), [f"$.{p}" for p in paths])
+    number = lambda *paths: rules.number_or_null(pick(*paths))
+    return _lines(pages, base, BOWLING_PATHS, "bowling_pos").select(
         "page_id",
         "innings_no",
-        (F.col("p") + 1).alias("batting_pos"),
-        first_path(F.col("line"), ["$.player.longName", "$.player.name"]).alias("name"),
-        *[number(names).alias(c) for c, names in BATTING_FIELDS.items()],
-        F.get_json_object("line", "$.isOut").cast("boolean").alias("out"),
-        rules.dismissal_text(
-            first_path(F.col("line"), ["$.dismissalText.long", "$.dismissalText.short"]), F.get_json_object("line", "$.isOut").cast("boolean")
-        ).alias("dismissal"),
+        "bowling_pos",
+        number("player.objectId", "bowler.objectId").cast("long").alias("source_id"),
+        rules.text_or_null(pick("player.longName", "player.name", "bowler.longName", "bowler.name")).alias("name"),
+        F.coalesce(number("wickets"), F.lit(0)).cast("int").alias("wickets"),
+        F.coalesce(number("conceded", "runs"), F.lit(0)).cast("int").alias("runs"),
+        rules.text_or_null(pick("overs")).alias("overs"),
+        number("balls").cast("int").alias("balls"),
+        number("maidens").cast("int").alias("maidens"),
+        number("economy").alias("economy"),
     )
+
+
+def player_profiles(pages: DataFrame, base: str) -> DataFrame:
+    """Profiles of player pages (page_id, data)."""
+    pick = lambda *paths: first_path(F.col("data"), [f"$.{base}.{p}" if base else f"$.{p}" for p in paths])
+    text = lambda *paths: rules.text_or_null(pick(*paths))
+    return pages.select(
+        "page_id",
+        rules.number_or_null(pick("objectId", "id")).cast("long").cast("string").alias("external_id"),
+        text("longName", "name").alias("name"),
+        text("country.name", "teamName").alias("country"),
+        text("playingRole", "role").alias("role"),
+        text("longBattingStyles[0]", "battingStyle").alias("batting_style"),
+        text("longBowlingStyles[0]", "bowlingStyle").alias("bowling_style"),
+    )
+
+
+def fixtures_url(base: str, slug: Column, number: Column) -> Column:
+    return F.concat(F.lit(f"{base}/series/"), slug, F.lit("-"), number.cast("string"), F.lit("/match-schedule-fixtures-and-results"))
+
+
+def scorecard_url(base: str, series_slug: Column, series: Column, slug: Column, match: Column) -> Column:
+    series, match = F.concat_ws("-", series_slug, series.cast("string")), F.concat_ws("-", slug, match.cast("string"))
+    return F.concat(F.lit(f"{base}/series/"), series, F.lit("/"), match, F.lit("/full-scorecard"))
+
+
+def profile_url(base: str, slug: Column, number: Column) -> Column:
+    return F.concat(F.lit(f"{base}/cricketers/"), slug, F.lit("-"), number.cast("string"))
+
+
+class PageSource(NamedTuple):
+    """What is known of a type of page: how to read it from (page_id, data) and which pages it leads to."""
+
+    parse: Callable[[DataFrame, str], DataFrame]
+    leads_to: tuple[str, ...]
+
+
+#: Types of pages; others are added with register_source().
+SOURCES: dict[str, PageSource] = {
+    "series-fixtures": PageSource(lambda pages, base: fixtures(pages, "", f"{base}.matches" if base else "matches"), ("scorecard",)),
+    "scorecard": PageSource(batting_lines, ()),
+    "player-profile": PageSource(player_profiles, ()),
+}
+
+
+def register_source(page_type: str, source: PageSource) -> None:
+    SOURCES[page_type] = source
+
+
+def source_of(page_type: str) -> PageSource:
+    if page_type not in SOURCES:
+        raise KeyError(f"no source is registered for pages of type {page_type}")
+    return SOURCES[page_type]
