@@ -86,3 +86,38 @@ def match_tree(matches: DataFrame, innings: DataFrame, batting: DataFrame, bowli
     rest = [c for c in full.columns if c not in key]
     nested = full.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("innings_no", *rest))).alias("innings"))
     return matches.join(nested, "match_id", "left")
+
+
+def write_ndjson(rows: DataFrame, path: str) -> None:
+    """Rows as newline-delimited JSON, nulls kept."""
+    as_json(rows).select("json").write.mode("overwrite").text(path)
+
+
+def append_snapshots(rows: DataFrame, path: str) -> None:
+    """Page snapshots (page_type, url, fetched_at, payload) added to those that are there; the newest one is read."""
+    rows.write.mode("append").partitionBy("page_type").parquet(path)
+
+
+#: Gold tables in the order in which a relational store is filled: parents before children; emptied the other way.
+STORE_ORDER = ["career_players", "careers", "career_coverage", "matches", "innings", "batting", "bowling", "overs"]
+
+
+def replace_in_store(tables: dict[str, DataFrame], url: str, properties: dict[str, str] | None = None, batch: int = 1000) -> dict[str, int]:
+    """Replace relational tables by JDBC, in batched inserts by all tasks; tables keep their definition. Returns row counts.
+
+    A table is written from its own files: give tables that have been written, not plans that are worked out twice.
+    """
+    options = {"url": url, "batchsize": str(batch), "truncate": "true", **(properties or {})}
+    names = [n for n in STORE_ORDER if n in tables] + [n for n in tables if n not in STORE_ORDER]
+    spark = next(iter(tables.values())).sparkSession
+    for name in names:
+        tables[name].write.format("jdbc").options(**options, dbtable=name).mode("overwrite").save()
+    return {n: read_store(spark, url, n, properties).count() for n in names}
+
+
+def read_store(spark: SparkSession, url: str, table: str, properties: dict[str, str] | None = None, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 8) -> DataFrame:
+    """A relational table by JDBC; with an integer key and its bounds, in parts by ranges of the key."""
+    options = {"url": url, "dbtable": table, **(properties or {})}
+    if key:
+        options |= {"partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**options).load()

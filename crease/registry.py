@@ -141,9 +141,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("fetched_at"),
         F.concat(F.col("event_id").cast("string"), F.lit(":"), "props").alias("payload"),
     )
-    now = events.agg(F.max("fetched_at").alias("now"))
-    # one row, the latest time
-    rows = identity.fresh_snapshots(events, F.lit(now.first()["now"]), 6 * 3600)
+    rows = identity.fresh_snapshots(events, events.agg(F.max("fetched_at")).scalar(), 6 * 3600)
     return rows.select("page_type", "key", "payload")
 
 

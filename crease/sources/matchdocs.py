@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,24 +52,59 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.lower(name) != "readme.json").withColumn("match_id", stem(name))
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The still compressed bytes of each JSON member of archives, with its method."""
     for batch in batches:
         for content in batch["content"]:
             with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for name in archive.namelist():
-                    base = name.rsplit("/", 1)[-1]
+                for info in archive.infolist():
+                    base = info.filename.rsplit("/", 1)[-1]
                     if base.lower().endswith(".json") and base.lower() != "readme.json":
-                        yield pd.DataFrame({"match_id": [base[:-5]], "text": [archive.read(name).decode("utf-8", "replace")]})
+                        # behind the local header: 30 bytes, a name and an extra field of the lengths at 26 and 28
+                        at = info.header_offset
+                        start = at + 30 + int.from_bytes(content[at + 26 : at + 28], "little") + int.from_bytes(content[at + 28 : at + 30], "little")
+                        raw = content[start : start + info.compress_size]
+                        yield pd.DataFrame({"match_id": [base[:-5]], "method": [info.compress_type], "raw": [raw]})
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Documents inside zip archives; an archive is a task's work, its members come out one by one."""
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        texts = [
+            (raw if method == zipfile.ZIP_STORED else zlib.decompress(raw, -zlib.MAX_WBITS)).decode("utf-8", "replace")
+            for raw, method in zip(batch["raw"], batch["method"], strict=True)
+        ]
+        yield pd.DataFrame({"match_id": batch["match_id"], "text": texts})
+
+
+def read_archives(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Documents inside zip archives (deflated or stored members).
+
+    One task reads an archive and hands its members on as they are, compressed; they are dealt over all tasks, which
+    unpack and parse them. An archive is one cell of Spark's file reader, so it must be below 2 GB.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    texts = files.mapInPandas(_members, "match_id string, text string")
+    packed = files.mapInPandas(_packed_members, "match_id string, method int, raw binary")
+    dealt = packed.repartition(partitions) if partitions else packed.repartition("match_id")
+    texts = dealt.mapInPandas(_unpacked, "match_id string, text string")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
     return texts.select("match_id", F.from_json("text", SCHEMA, options).alias("d")).select("match_id", "d.*")
 
 
+def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of newline-delimited JSON with the given column types; nothing is inferred."""
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def cached_register(spark: SparkSession, cache: str, download: Callable[[str], None], max_age_seconds: int = 7 * 86400, force: bool = False, **columns: str) -> DataFrame:
+    """read_register() of a cached file, which download(cache) writes anew if it is missing, too old or forced."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fresh = store.exists(target) and time.time() - store.getFileStatus(target).getModificationTime() / 1000 < max_age_seconds
+    if force or not fresh:
+        download(cache)
+    return read_register(spark, cache, **columns)
+
+
 def split_valid(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that can be used, and the rest with the reason; one broken file stops nothing else."""
     reason = (

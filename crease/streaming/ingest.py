@@ -38,26 +38,39 @@ def new_documents(docs: DataFrame, known: DataFrame, sweep: bool = True) -> Data
     return pending(newest, known, "match_id", sweep)
 
 
-def ingest(spark: SparkSession, landing: str, silver: str, checkpoint: str, handle: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Take up all landed documents in micro-batches and rewrite the matches they hold.
+def ingest(
+    spark: SparkSession, landing: str, silver: str, checkpoint: str, handle: Callable[[DataFrame, int], None] | None = None, sweep: bool = True
+) -> StreamingQuery:
+    """Take up landed documents in micro-batches: unknown matches, and in a sweep higher revisions of known ones.
 
-    A batch's rows go to a folder of its own number, so that a batch that is run again overwrites itself; readers take
-    each match's rows of the highest (revision, batch).
+    A batch's rows go to a folder of its own number, so that a batch that is run again overwrites itself; what earlier
+    batches hold is known from a small table of (match_id, revision), not from the documents.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         good, bad = matchdocs.split_valid(batch)
-        revision = F.greatest(F.lit(1), F.coalesce(F.col("meta.revision"), F.lit(1)))
-        good = good.withColumn("batch", F.lit(number)).withColumn("rev", revision)
-        good.write.mode("overwrite").parquet(f"{silver}/documents/batch={number}")
+        known = known_matches(spark, silver).filter(F.col("batch") < number).select("match_id", "revision")
+        new = new_documents(good, known, sweep).withColumn("rev", F.col("revision")).drop("revision")
+        new.write.mode("overwrite").parquet(f"{silver}/documents/batch={number}")
         bad.write.mode("overwrite").parquet(f"{silver}/rejected/batch={number}")
+        written = spark.read.parquet(f"{silver}/documents/batch={number}")
+        written.select("match_id", F.col("rev").alias("revision")).write.mode("overwrite").parquet(f"{silver}/known/batch={number}")
         if handle:
-            handle(good, number)
+            handle(written, number)
 
     query = document_stream(spark, landing).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return query.trigger(availableNow=True).start()
 
 
+def known_matches(spark: SparkSession, silver: str) -> DataFrame:
+    """match_id, revision and batch of everything ingested; empty before the first batch."""
+    schema = "match_id string, revision int, batch int"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{silver}/known")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{silver}/known")
+
+
 def current_documents(spark: SparkSession, silver: str) -> DataFrame:
     """The latest revision of each ingested match."""
     rows = spark.read.parquet(f"{silver}/documents")
