@@ -317,6 +317,7 @@ SELECT o_orderkey, 'https://site.example/series/cup-' || o_orderkey || '/match-s
   a.external_id AS batter_external, b.external_id AS bowler_external
 FROM deliveries d LEFT JOIN players a ON a.player_id = batter_id LEFT JOIN players b ON b.player_id = bowler_id""",
     "document_matches": VIEWS + "SELECT *, 6 AS balls_per_over FROM matches",
+    "document_innings": _with(INNINGS) + "SELECT *, balls // 6 || '.' || balls % 6 AS overs_text FROM innings_sums",
     "document_players": VIEWS
     + """, seen AS (
   SELECT batter_id AS player_id, batter_name AS name FROM deliveries UNION SELECT bowler_id, bowler_name FROM deliveries

@@ -24,8 +24,13 @@ def session(builder: SparkSession.Builder | None = None) -> SparkSession:
     return builder.config(map=SETTINGS).getOrCreate()
 
 
-def write_silver(deliveries: DataFrame, matches: DataFrame, players: DataFrame, path: str) -> None:
-    """Replace the silver layer: deliveries by class and season, zstd; rows of a partition are brought together first."""
+def write_silver(deliveries: DataFrame, matches: DataFrame, players: DataFrame, path: str, single_files: bool = False) -> None:
+    """Replace the silver layer: deliveries by class and season, zstd; rows of a partition are brought together first.
+
+    single_files: matches and players as one file each, for readers that want that; one task then writes each.
+    """
+    if single_files:
+        matches, players = matches.coalesce(1), players.coalesce(1)
     out = deliveries.repartition("match_class", "season", F.pmod(F.xxhash64("match_id"), F.lit(16)))
     out.sortWithinPartitions("match_class", "season", "match_id", "innings_no", "over_no", "ball_in_over").write.partitionBy(
         "match_class", "season"

@@ -354,5 +354,6 @@ def queries() -> dict[str, Query]:
         "document_deliveries": _doc_deliveries,
         "document_matches": _doc_matches,
         "document_players": _doc_players,
+        "document_innings": lambda s, d: matchdocs.innings(made.documents(s, d)),
         "document_squads": lambda s, d: matchdocs.squads(made.documents(s, d)),
     }

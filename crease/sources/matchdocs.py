@@ -189,6 +189,24 @@ def deliveries(docs: DataFrame, crosswalk: DataFrame | None = None) -> DataFrame
     return flat
 
 
+def innings(docs: DataFrame) -> DataFrame:
+    """Totals of each innings, added up inside its nested overs: nothing is exploded to balls or shuffled."""
+    rows = docs.select("match_id", F.posexplode("innings").alias("i", "inn"))
+    balls = F.flatten(F.transform(F.coalesce("inn.overs", F.array()), lambda o: F.coalesce(o["deliveries"], F.array())))
+    added = lambda f: F.aggregate("balls", F.lit(0).cast("long"), lambda acc, d: acc + f(d))
+    part = lambda d, name: F.coalesce(d["runs"][name], F.lit(0))
+    legal = lambda d: rules.is_legal(F.get(F.map_keys(d["extras"]), 0))
+    table = rows.withColumn("balls", balls).select(
+        "match_id",
+        (F.col("i") + 1).alias("innings_no"),
+        F.coalesce(rules.text_or_null(F.col("inn.team")), F.lit("Unknown team")).alias("batting_team"),
+        added(lambda d: F.coalesce(d["runs"]["total"], part(d, "batter") + part(d, "extras"))).alias("runs"),
+        added(lambda d: F.when(F.get(d["wickets"], 0).isNotNull(), 1).otherwise(0)).alias("wickets"),
+        added(lambda d: F.when(legal(d), 1).otherwise(0)).alias("balls"),
+    )
+    return table.withColumn("overs_text", rules.overs_text(F.col("balls")))
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """One row per document."""
     info = F.col("info")

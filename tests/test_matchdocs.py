@@ -120,6 +120,8 @@ def test_silver_and_gold(spark, docs, tmp_path):
     good = docs[0]
     silver = str(tmp_path / "silver")
     layout.write_silver(matchdocs.deliveries(good, crosswalk), matchdocs.matches(good), matchdocs.players(good, crosswalk), silver)
+    layout.write_silver(matchdocs.deliveries(good, crosswalk), matchdocs.matches(good), matchdocs.players(good, crosswalk), silver, single_files=True)
+    assert len(list((tmp_path / "silver" / "players").glob("*.parquet"))) == 1
     tables = layout.read_silver(spark, silver)
     assert tables["deliveries"].first().season == "2007/08"
     counts = layout.write_gold(tables, str(tmp_path / "gold"))
