@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from crease.llm.common import materialize, read_table
 from crease.llm.vecdup import matrix
 
-#: Entries of a page; least and most vectors of a tree, and how many trees there are in between; queries of a group.
-PAGE, LEAST, MOST, TREES, QUERIES = 64, 1024, 65_536, 64, 16_384
+#: Entries of a page; least and most vectors of a tree, and how many trees there are in between; queries of a group. To
+#: build a tree takes as long as some 20 to 50 searches of it, so each group of queries builds the trees it meets.
+PAGE, LEAST, MOST, TREES, QUERIES = 512, 1024, 65_536, 64, 16_384
 #: Room for rounding in distances that only decide what is skipped, as a share of the largest that can occur. A squared
 #: distance is a difference of numbers that may be far larger than it, hence the square root of double precision.
 SLACK = 1e-7
@@ -48,6 +49,22 @@ class MTree:
         self.top = float(squares.max()) if len(x) else 0.0
         self.points = np.hstack([x, np.sqrt(self.top - squares)[:, None]])
         self.root = self._build(np.arange(len(x)), 0) if len(x) else None
+        if self.root:
+            self._lay_out()
+
+    def _lay_out(self) -> None:
+        """Put the vectors of a page side by side, pages one after another."""
+        nodes = [self.root]
+        for node in nodes:
+            nodes += node.children or []
+        leaves = [n for n in nodes if n.children is None]
+        order = np.concatenate([n.rows for n in leaves])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.ids, self.vectors, self.points = self.ids[order], self.vectors[order], self.points[order]
+        for node in nodes:
+            node.center = int(place[node.center])
+            node.rows = place[node.rows]
 
     def _distances(self, rows: np.ndarray, center: int) -> np.ndarray:
         return np.sqrt(((self.points[rows] - self.points[center]) ** 2).sum(1))
@@ -84,15 +101,15 @@ class MTree:
             if node.children is None:
                 # entries whose stored distance alone shows that they are too far are not computed
                 near = np.abs(to_page - node.distances) <= bound + slack
-                rows = node.rows[near]
-                rows = rows[self.ids[rows] != own]
-                scores = self.vectors[rows] @ query
+                first = int(node.rows[0])
+                rows = slice(first, first + len(near)) if near.all() else first + np.flatnonzero(near)
+                scores, ids = self.vectors[rows] @ query, self.ids[rows]
+                good = ids != own
                 if len(best_score) == k:
-                    good = scores >= best_score[-1]
-                    rows, scores = rows[good], scores[good]
-                if len(rows):
-                    best_score = np.concatenate([best_score, scores])
-                    best_id = np.concatenate([best_id, self.ids[rows]])
+                    good &= scores >= best_score[-1]
+                if good.any():
+                    best_score = np.concatenate([best_score, scores[good]])
+                    best_id = np.concatenate([best_id, ids[good]])
                     keep = np.lexsort((best_id, -best_score))[:k]
                     best_score, best_id = best_score[keep], best_id[keep]
                     if len(keep) == k:
