@@ -310,6 +310,23 @@ SELECT c_custkey AS page_id, CAST(c_custkey AS VARCHAR) AS external_id, c_name A
 SELECT o_orderkey, 'https://site.example/series/cup-' || o_orderkey || '/match-schedule-fixtures-and-results' AS fixtures,
   'https://site.example/series/cup-' || o_custkey || '/a-v-b-' || o_orderkey || '/full-scorecard' AS scorecard,
   'https://site.example/cricketers/some-one-' || o_orderkey AS profile FROM orders""",
+    "profile_bindings": """
+SELECT CAST(c_custkey AS VARCHAR) AS external_id, 'Q' || c_custkey AS entity, CASE WHEN c_custkey % 2 = 0 THEN 'A ' || c_custkey || '.jpg' END AS image,
+  '1990-01-01' AS born, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END AS birth_place, CASE WHEN c_custkey % 5 = 0 THEN 'bowler' END AS role FROM customer""",
+    "image_licenses": """SELECT c_custkey || '.png' AS file, c_name AS credit, CASE WHEN c_custkey % 2 = 0 THEN 'CC BY' END AS license
+FROM customer WHERE c_custkey % 5 <> 0""",
+    "match_objects": """
+WITH o AS (SELECT *, o_orderkey AS k FROM orders)
+SELECT k AS match_id, '{"id":' || k || ',"title":"Match ' || k || '","season":' || CASE WHEN k % 2 = 0 THEN '"2024"' ELSE 'null' END || ',"statusText":"' || o_orderstatus
+  || '","format":"ODI","state":"LIVE","startTime":' || CASE WHEN k % 5 <> 0 THEN strftime(o_orderdate, '"%Y-%m-%dT%H:%M:%S.000Z"') ELSE 'null' END
+  || ',"series":' || CASE WHEN k % 2 = 0 THEN '{"name":"Cup","slug":"cup"}' ELSE 'null' END
+  || ',"venue":' || CASE WHEN k % 3 = 0 THEN '{"name":"Ground ' || k || '","city":null}' ELSE 'null' END
+  || ',"teams":[{"name":"H' || k || '","shortName":"H","score":"10/1","primaryColor":null,"logoUrl":"https://img.example/h' || k || '"}'
+  || CASE WHEN k % 4 <> 0 THEN ',{"name":"A' || k || '","shortName":"A","score":null,"primaryColor":null,"logoUrl":"http://a/' || k || '"}' ELSE '' END || ']}' AS json FROM o""",
+    "innings_rewrite": VIEWS
+    + """SELECT match_id, innings_no, over_no, ball_in_over,
+  runs_total + CASE WHEN innings_no = 2 AND CAST(substr(match_id, 2) AS INTEGER) % 3 = 0 THEN 1 ELSE 0 END AS runs_total FROM deliveries
+WHERE NOT (innings_no = 2 AND CAST(substr(match_id, 2) AS INTEGER) % 3 = 0 AND over_no >= 10)""",
     "document_deliveries": VIEWS
     + """SELECT d.match_id, match_class, gender, season, event_name, venue, city, match_date, innings_no, over_no, ball_in_over, batting_team, bowling_team,
   batter_id, batter_name, bowler_id, bowler_name, non_striker_id, non_striker_name, runs_batter, runs_extras, runs_total, extra_type, is_wicket, dismissal_kind,

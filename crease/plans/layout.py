@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crease.functions import texts
 from crease.operators import careers, scorecards
 
 #: Settings the engine relies on; shuffle partitions follow the cluster, AQE joins small ones and splits skewed ones.
@@ -79,6 +80,43 @@ def as_json(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def match_objects(matches: DataFrame, image_base: str) -> DataFrame:
+    """Matches as nested JSON for a client: id, text fields, start in ISO form, series, venue and the teams that are known.
+
+    matches: match_id, title, status_text, format, state, start_time, the structs series (name, slug, season), venue
+    (name, city), home and away (name, short_name, primary_color, image), each null if unknown, and both scores.
+    """
+    iso = F.date_format("start_time", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+    def team(side: str) -> Column:
+        t = F.col(side)
+        logo = texts.full_image_url(t["image"], image_base)
+        value = F.struct(
+            t["name"].alias("name"), t["short_name"].alias("shortName"), F.col(f"{side}_score").alias("score"), t["primary_color"].alias("primaryColor"), logo.alias("logoUrl")
+        )
+        return F.when(t.isNotNull(), value)
+
+    series, venue = F.col("series"), F.col("venue")
+    value = F.struct(
+        F.col("match_id").alias("id"),
+        "title",
+        series["season"].alias("season"),
+        F.col("status_text").alias("statusText"),
+        "format",
+        "state",
+        iso.alias("startTime"),
+        F.when(series.isNotNull(), F.struct(series["name"].alias("name"), series["slug"].alias("slug"))).alias("series"),
+        F.when(venue.isNotNull(), F.struct(venue["name"].alias("name"), venue["city"].alias("city"))).alias("venue"),
+        F.array_compact(F.array(team("home"), team("away"))).alias("teams"),
+    )
+    return matches.select("match_id", F.to_json(value, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def replace_groups(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """old with every group (such as an innings) that new has rows of replaced by those rows; the same again if run again."""
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+
+
 def match_tree(matches: DataFrame, innings: DataFrame, batting: DataFrame, bowling: DataFrame) -> DataFrame:
     """Each match with its innings, and in them the batting and bowling lines in order, as nested arrays."""
     key = ["match_id", "innings_no"]

@@ -299,6 +299,58 @@ def _doc_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matchdocs.players(made.documents(spark, sf_dir), adapter.players(spark, sf_dir).select("player_id", "external_id"))
 
 
+def _bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of 50 customers each; every third customer is answered twice."""
+    c = _table(spark, sf_dir, "customer").withColumn("again", F.explode(F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    k = F.col("c_custkey").cast("string")
+    value = lambda x: F.struct(x.alias("value"))
+    binding = F.struct(
+        value(k).alias("cid"),
+        value(F.concat(F.lit("http://e/entity/Q"), k)).alias("item"),
+        F.when(F.col("c_custkey") % 2 == 0, value(F.concat(F.lit("http://e/Special:FilePath/A%20"), k, F.lit(".jpg")))).alias("image"),
+        value(F.concat(F.lit("1990-01-0"), (F.col("again") + 1).cast("string"), F.lit("T00:00:00Z"))).alias("dob"),
+        value(F.when(F.col("c_custkey") % 4 == 0, "Q12").otherwise(F.col("c_mktsegment"))).alias("birthPlaceLabel"),
+        F.when(F.col("c_custkey") % 5 == 0, value(F.lit("bowler"))).alias("roleLabel"),
+    )
+    ordered = F.array_sort(F.collect_list(F.struct("c_custkey", "again", binding.alias("b"))))
+    answers = c.groupBy(F.floor(F.col("c_custkey") / 50)).agg(ordered.alias("all"))
+    return pages.profile_bindings(answers.select(F.to_json(F.struct(F.struct(F.col("all.b").alias("bindings")).alias("results"))).alias("json")))
+
+
+def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("string")
+    value = lambda x: F.struct(x.alias("value"))
+    meta = F.struct(value(F.concat(F.lit("<a href='x'>"), "c_name", F.lit("</a>"))).alias("Artist"), F.when(F.col("c_custkey") % 2 == 0, value(F.lit("CC <b>BY</b>"))).alias("LicenseShortName"))
+    info = F.when(F.col("c_custkey") % 5 != 0, F.array(F.struct(meta.alias("extmetadata"))))
+    page = F.struct(F.concat(F.lit("File:"), k, F.lit(".png")).alias("title"), info.alias("imageinfo"))
+    answers = c.groupBy(F.floor(F.col("c_custkey") / 50)).agg(F.map_from_entries(F.collect_list(F.struct(k, page))).alias("pages"))
+    return pages.image_licenses(answers.select(F.to_json(F.struct(F.struct("pages").alias("query"))).alias("json")))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    text = lambda p: F.concat(F.lit(p), k.cast("string"))
+    team = lambda p, image: F.struct(text(p).alias("name"), F.lit(p).alias("short_name"), F.lit(None).cast("string").alias("primary_color"), image.alias("image"))
+    rows = o.select(
+        k.alias("match_id"), text("Match ").alias("title"), F.col("o_orderstatus").alias("status_text"), F.lit("ODI").alias("format"), F.lit("LIVE").alias("state"),
+        F.when(k % 5 != 0, F.col("o_orderdate")).alias("start_time"),
+        F.when(k % 2 == 0, F.struct(F.lit("Cup").alias("name"), F.lit("cup").alias("slug"), F.lit("2024").alias("season"))).alias("series"),
+        F.when(k % 3 == 0, F.struct(text("Ground ").alias("name"), F.lit(None).cast("string").alias("city"))).alias("venue"),
+        team("H", text("/h")).alias("home"), F.when(k % 4 != 0, team("A", text("http://a/"))).alias("away"),
+        F.lit("10/1").alias("home_score"), F.lit(None).cast("string").alias("away_score"),
+    )
+    return layout.match_objects(rows, IMAGES)
+
+
+def _rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Innings 2 of every third match comes again with one run more a ball, and less balls."""
+    balls = adapter.deliveries(spark, sf_dir).select("match_id", "innings_no", "over_no", "ball_in_over", "runs_total")
+    new = balls.filter((F.col("innings_no") == 2) & (F.expr("cast(substring(match_id, 2) as int)") % 3 == 0) & (F.col("over_no") < 10))
+    return layout.replace_groups(balls, new.withColumn("runs_total", F.col("runs_total") + 1), ["match_id", "innings_no"])
+
+
 def queries() -> dict[str, Query]:
     return {
         "number_texts": _number_texts,
@@ -351,6 +403,10 @@ def queries() -> dict[str, Query]:
         "scorecard_innings": lambda s, d: pages.page_innings(made.scorecard_pages(s, d), made.BASE),
         "player_profile_pages": lambda s, d: pages.source_of("player-profile").parse(made.profile_pages(s, d), made.BASE),
         "page_urls": _urls,
+        "profile_bindings": _bindings,
+        "image_licenses": _licenses,
+        "match_objects": _objects,
+        "innings_rewrite": _rewrite,
         "document_deliveries": _doc_deliveries,
         "document_matches": _doc_matches,
         "document_players": _doc_players,

@@ -192,3 +192,46 @@ def source_of(page_type: str) -> PageSource:
     if page_type not in SOURCES:
         raise KeyError(f"no source is registered for pages of type {page_type}")
     return SOURCES[page_type]
+
+
+def blank_null(x: Column) -> Column:
+    return F.nullif(x, F.lit(""))
+
+
+_BINDING = "struct<cid:struct<value:string>,item:struct<value:string>,image:struct<value:string>,dob:struct<value:string>,birthPlaceLabel:struct<value:string>,roleLabel:struct<value:string>>"
+
+
+def profile_bindings(responses: DataFrame) -> DataFrame:
+    """Profiles from answers (json) of a knowledge base, in the SPARQL result format; the first binding of an id counts.
+
+    Labels that are only an entity's number say nothing and become null.
+    """
+    parsed = F.from_json("json", f"results struct<bindings:array<{_BINDING}>>")
+    rows = responses.select(parsed["results"]["bindings"].alias("all")).select(F.posexplode("all").alias("at", "b"))
+    named = lambda field: F.when(~F.col(f"b.{field}.value").rlike(r"^Q\d+$"), blank_null(F.col(f"b.{field}.value")))
+    picked = rows.select(
+        blank_null(F.col("b.cid.value")).alias("external_id"),
+        F.struct(
+            "at",
+            rules.last_segment(F.coalesce("b.item.value", F.lit(""))).alias("entity"),
+            texts.image_file(blank_null(F.col("b.image.value"))).alias("image"),
+            texts.first_day(blank_null(F.col("b.dob.value"))).alias("born"),
+            named("birthPlaceLabel").alias("birth_place"),
+            named("roleLabel").alias("role"),
+        ).alias("row"),
+    ).filter("external_id is not null")
+    first = picked.groupBy("external_id").agg(F.min("row").alias("row"))
+    return first.select("external_id", "row.*").drop("at")
+
+
+def image_licenses(responses: DataFrame) -> DataFrame:
+    """Author and license of image files from answers (json) of a media archive, tags stripped."""
+    meta = "struct<Artist:struct<value:string>,LicenseShortName:struct<value:string>>"
+    page = f"struct<title:string,imageinfo:array<struct<extmetadata:{meta}>>>"
+    pages = F.from_json("json", f"query struct<pages:map<string,{page}>>")["query"]["pages"]
+    rows = responses.select(F.explode(F.map_values(pages)).alias("p"))
+    info = F.get(F.col("p.imageinfo"), 0)["extmetadata"]
+    said = lambda part: rules.strip_tags(blank_null(info[part]["value"]))
+    file = blank_null(F.regexp_replace("p.title", "^File:", ""))
+    found = rows.filter(info.isNotNull()).select(file.alias("file"), said("Artist").alias("credit"), said("LicenseShortName").alias("license"))
+    return found.filter("file is not null")
