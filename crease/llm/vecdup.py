@@ -138,11 +138,13 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
         & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
         & F.exists(v, lambda e: e != 0)
     )
+    # single precision stays as it is on the way and becomes double, exactly, inside the tasks
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     # equal vectors are told by 256 bits of digest, so the joins carry no vector
     rows = materialize(
         vectors.select(
             F.col(key).cast("long").alias("id"),
-            F.when(usable, v.cast("array<double>")).alias("embedding"),
+            F.when(usable, v.cast(kind)).alias("embedding"),
             F.when(usable, F.unhex(F.sha2(F.array_join(v.cast("array<double>"), " "), 256))).alias("content"),
         )
     )
@@ -186,7 +188,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id
                     ["id", "copies", "embedding", "home", "guests"],
                 )
 
-    kinds = "id long, copies long, embedding array<double>, home int, guests array<int>"
+    kinds = f"id long, copies long, embedding {kind}, home int, guests array<int>"
     placed = materialize(distinct.select("id", "copies", "embedding").mapInArrow(place, kinds))
     visits = placed.select("home", F.explode(F.concat(F.array("home"), "guests")).alias("cell"))
     sizes = visits.groupBy("cell").agg(F.sum(F.when(F.col("home") == F.col("cell"), 1).otherwise(0)).alias("hosts"), F.count("*").alias("all"))
