@@ -69,7 +69,7 @@ def judge_urls(
     tried = tried.select("*", *_hashed(F.col("suffix"), "digest")).join(hosts, "prefix").filter("digest = host_digest")
     cuts = tried.select("host", "path", "suffix", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
     cut = F.expr("substring(path, 1, n)")
-    best = (
+    best = materialize(
         cuts.select("host", "path", *_hashed(of_both(F.col("suffix"), cut), "digest"))
         .join(whole, "prefix")
         .filter("digest = rule_digest")
