@@ -76,7 +76,8 @@ def judge_urls(
         .groupBy("host", "path")
         .agg(F.max("rank").alias("best"))
     )
-    return judged.join(best, ["host", "path"], "left").select(
+    # it grows with the pages, however small its files are: never broadcast it
+    return judged.join(best.hint("merge"), ["host", "path"], "left").select(
         F.col("key").alias(key),
         "host",
         "path",
