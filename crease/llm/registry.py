@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import licenses, neardup, packing, pii, quality, sentencepieces, tokencount, topk, urlfilter, variants, vecdup
+from crease.llm import licenses, neardup, packing, pii, prefixtrie, quality, sentencepieces, tokencount, topk, urlfilter, variants, vecdup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_links": vecdup.op9_vector_links,
         "op10_packing": packing.op10_packing,
         "op12_spelling_variants": variants.op12_spelling_variants,
+        "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlfilter.OP6_SQL}
+    return {"op6_url_filter": urlfilter.OP6_SQL, "op13_prefix_trie": prefixtrie.OP13_SQL}
