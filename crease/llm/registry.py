@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import licenses, neardup, packing, pii, prefixtrie, quality, sentencepieces, tokencount, topk, urlfilter, variants, vecdup
+from crease.llm import katz, licenses, neardup, packing, pii, prefixtrie, quality, sentencepieces, tokencount, topk, urlfilter, variants, vecdup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_vector_links": vecdup.op9_vector_links,
         "op10_packing": packing.op10_packing,
+        "op11_katz_scores": katz.op11_katz_scores,
         "op12_spelling_variants": variants.op12_spelling_variants,
         "op13_prefix_trie": prefixtrie.op13_prefix_trie,
     }
