@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -51,6 +52,15 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes the shuffle files of plans that nothing refers to any more.
+
+    Else they stay until the driver happens to be short of memory, which on executors' disks may be too late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `rows` rows and about `size` bytes of text and binary values."""
     wide = np.zeros(batch.num_rows, np.int64)

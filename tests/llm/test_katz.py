@@ -5,8 +5,10 @@ import re
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from llm_helpers import edge_docs, no_docs, sample_docs
+from llm_helpers import TEXTS, edge_docs, no_docs, sample_docs
 from pyspark.sql import functions as F
 
 from crease.llm import katz
@@ -101,7 +103,7 @@ def test_probabilities_sum_to_one():
 def test_edges(spark, small, monkeypatch):
     """Odd documents; then with few frequent words, small partitions and slices, so that every way is taken."""
     if small:
-        for name, value in (("HOT", 40), ("SLICE", 20_000), ("BUCKET", 100_000)):
+        for name, value in (("HOT_WORDS", 40), ("HOT_PAIRS", 20), ("SLICE", 20_000), ("BUCKET", 100_000)):
             monkeypatch.setattr(katz, name, value)
     docs = edge_docs(spark).unionByName(spark.createDataFrame([(100 + i, f"w{i % 7} w{i % 11} w{i % 5} x{i} the end" * (i % 3), None, None, None) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long"), allowMissingColumns=True)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
@@ -115,8 +117,9 @@ def test_hot_rare_unknown(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     monkeypatch.setattr(katz, "BUCKET", 5_000)
     monkeypatch.setattr(katz, "SLICE", 3_000)
-    for hot in (1, 10, 65_536):
-        monkeypatch.setattr(katz, "HOT", hot)
+    for words, pairs in ((1, 1), (10, 20), (65_536, 10)):
+        monkeypatch.setattr(katz, "HOT_WORDS", words)
+        monkeypatch.setattr(katz, "HOT_PAIRS", pairs)
         same(katz.katz_scores(docs, F.col("doc_id") % 4 != 0), rows, lambda i: i % 4 != 0)
 
 
@@ -130,8 +133,25 @@ def test_nothing_to_learn_from(spark):
 
 
 def test_packing():
-    import numpy as np
-
     x = np.array([3, 5, 5, 2**63, 2**64 - 1], np.uint64)
-    assert (katz.unpack(katz.pack(x, True), np.uint64, True) == x).all() and (katz.unpack(katz.pack(x), np.uint64) == x).all()
-    assert len(katz.unpack(katz.pack(x[:0], True), np.uint64, True)) == 0
+    assert (katz.unpack(katz.pack(x, True), True) == x).all() and (katz.unpack(katz.pack(x)) == x).all()
+    assert len(katz.unpack(katz.pack(x[:0], True), True)) == 0 and katz.unpack(katz.pack(np.array([1, 255]))).dtype == np.uint8
+    hot = katz.Frequent(x[:2], np.array([1, 2]))
+    assert (katz.decoded(katz.encoded(x[::-1], hot), hot) == x[::-1]).all()
+    w, v = np.array([9, 9, 1, 9, 1, 9], np.uint64), np.array([1, 2, 1, 1, 1, 2], np.uint64)
+    a, b, n, place = katz.merge_pairs(w, v, np.arange(6))
+    assert sorted(zip(a.tolist(), b.tolist(), n.tolist())) == [(1, 1, 6), (9, 1, 3), (9, 2, 6)] and (a[place] == w).all() and (b[place] == v).all()
+
+
+def test_tokens_equal_a_plain_split():
+    odd = ["", " ", "A b\tC\n\x0b\x0c\r d ", "É À\x1c\x85\xa0x", "\n\na  b", "İSTANBUL ẞ", "x" * 1000, *[t or "" for t in TEXTS]]
+    t = katz.tokenised(pa.table({"text": odd}))
+    kinds = sorted({w for x in odd for w in tokens(x)[:-1]})
+    names = dict(zip(katz.word_hashes(kinds), kinds, strict=True))
+    names = {int(h): w for h, w in names.items()} | {int(katz.END_HASH): None}
+    found = [[] for _ in odd]
+    for d, w in zip(t.doc.tolist(), t.hashes[t.words].tolist()):
+        found[d].append(names[w])
+    assert found == [tokens(x) for x in odd]
+    firsts = np.flatnonzero(np.diff(t.doc, prepend=-1))
+    assert (t.hashes[t.before[firsts]] == katz.BEGIN_HASH).all() and (np.delete(t.before, firsts) == np.delete(np.roll(t.words, 1), firsts)).all()
