@@ -22,24 +22,32 @@ def career_stats(balls: DataFrame) -> DataFrame:
     return careers_of(player_innings(balls))
 
 
-def careers_of(lines: DataFrame) -> DataFrame:
-    """career_stats from player_innings(): one more aggregation, by player and class.
+#: What a career adds up, and its extremes with the way they are taken.
+SUMS = [
+    *["lines", "matches", "bat_innings", "runs", "balls_faced", "not_outs", "fifties", "hundreds", "ducks", "fours", "sixes", "bowl_innings"],
+    *["balls_bowled", "runs_conceded", "wickets", "five_wickets", "all_runs", "all_wickets"],
+]
+EXTREMES = {"high": F.max, "best": F.max, "first_date": F.min, "last_date": F.max, "gender": F.min}
+
 
-    The highest score's not-out flag and the best figures come from maxima over structs.
+def career_sums(lines: DataFrame) -> DataFrame:
+    """Sums and extremes of each player and class from player_innings(); the other columns of a career follow from them.
+
+    The innings of a player go to one place once: matches are told apart there, before they are counted.
     """
     runs, out, col = F.col("runs"), F.col("was_out"), F.col
     bats, bowls = col("strikes") > 0, col("bowl_first").isNotNull()
     summed = lambda when, x: F.coalesce(F.sum(F.when(when, x)), F.lit(0))
-    table = (
+    by_match = (
         lines.filter(bats | bowls)
-        .groupBy(*KEY)
+        .repartition("player_id")
+        .groupBy(*KEY, "match_id")
         .agg(
-            F.count_distinct("match_id").alias("matches"),
+            F.count("*").alias("lines"),
             count_if(bats).alias("bat_innings"),
             summed(bats, runs).alias("runs"),
             summed(bats, col("balls")).alias("balls_faced"),
             count_if(bats & ~out).alias("not_outs"),
-            F.max(F.when(bats, F.struct(runs.alias("n"), (~out).alias("not_out")))).alias("high"),
             count_if(bats & (runs >= 50) & (runs < 100)).alias("fifties"),
             count_if(bats & (runs >= 100)).alias("hundreds"),
             count_if(bats & (runs == 0) & out).alias("ducks"),
@@ -49,12 +57,57 @@ def careers_of(lines: DataFrame) -> DataFrame:
             summed(bowls, col("bowl_balls")).alias("balls_bowled"),
             summed(bowls, col("conceded")).alias("runs_conceded"),
             summed(bowls, col("wickets")).alias("wickets"),
-            F.max(F.when(bowls, F.struct(col("wickets").alias("n"), (-col("conceded")).alias("saved")))).alias("best"),
             count_if(bowls & (col("wickets") >= 5)).alias("five_wickets"),
+            F.coalesce(F.sum("runs"), F.lit(0)).alias("all_runs"),
+            F.coalesce(F.sum("wickets"), F.lit(0)).alias("all_wickets"),
+            F.max(F.when(bats, F.struct(runs.alias("n"), (~out).alias("not_out")))).alias("high"),
+            F.max(F.when(bowls, F.struct(col("wickets").alias("n"), (-col("conceded")).alias("saved")))).alias("best"),
+            F.min("match_date").alias("first_date"),
+            F.max("match_date").alias("last_date"),
+            F.min("gender").alias("gender"),
         )
     )
+    return by_match.groupBy(*KEY).agg(
+        *[(F.count("*") if c == "matches" else F.sum(c)).alias(c) for c in SUMS], *[f(c).alias(c) for c, f in EXTREMES.items()]
+    )
+
+
+def changed_sums(state: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """career_sums() after innings have been added and others removed, with `lost`: only a removed innings is known to have held an extreme.
+
+    Careers without innings are left out. The extremes of lost rows are those of what was there before or is added.
+    """
+    tagged = lambda rows, tag: rows.select(*KEY, F.lit(tag).alias("tag"), *SUMS, *EXTREMES)
+    rows = tagged(state, "state").unionByName(tagged(added, "added")).unionByName(tagged(removed, "removed"))
+    gone = F.col("tag") == "removed"
+    signed = lambda c: F.sum(F.when(gone, -F.col(c)).otherwise(F.col(c))).alias(c)
+    kept = lambda c: F.when(~gone, F.col(c))
+    of = lambda tag: [f(F.when(F.col("tag") == tag, F.col(c))).alias(f"{tag}_{c}") for c, f in EXTREMES.items()]
+    sums = rows.groupBy(*KEY).agg(*map(signed, SUMS), *[f(kept(c)).alias(c) for c, f in EXTREMES.items()], *of("removed"), *of("added"))
+    at = lambda tag, c: F.coalesce(F.col(f"{tag}_{c}") == F.col(c), F.lit(False))
+    held = [at("removed", c) & ~at("added", c) for c in EXTREMES]
+    lost = held[0]
+    for x in held[1:]:
+        lost = lost | x
+    return sums.filter("lines > 0").select(*KEY, *SUMS, *EXTREMES, lost.alias("lost"))
+
+
+def with_extremes(sums: DataFrame, again: DataFrame) -> DataFrame:
+    """changed_sums() with the extremes of lost rows taken from career_sums() of these careers' innings."""
+    fresh = again.select(*KEY, *[F.col(c).alias(f"new_{c}") for c in EXTREMES])
+    return sums.join(fresh, KEY, "left").select(*KEY, *SUMS, *[F.when(F.col("lost"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in EXTREMES])
+
+
+def careers_of(lines: DataFrame) -> DataFrame:
+    """career_stats from player_innings()."""
+    return career_lines(career_sums(lines))
+
+
+def career_lines(sums: DataFrame) -> DataFrame:
+    """career_stats from career_sums(). The highest score's not-out flag and the best figures come from maxima over structs."""
+    col = F.col
     zero = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
-    return table.select(
+    return sums.select(
         *KEY,
         *["matches", "bat_innings", "runs", "balls_faced", "not_outs"],
         zero(col("high.n"), "high_score"),
@@ -78,15 +131,16 @@ def career_players(balls: DataFrame, players: DataFrame) -> DataFrame:
 
 def players_of(lines: DataFrame, players: DataFrame) -> DataFrame:
     """One row per player who batted or bowled: identity and whole-career totals."""
-    totals = (
-        lines.filter("strikes > 0 or bowl_first is not null")
-        .groupBy("player_id")
-        .agg(
-            F.min("gender").alias("gender"),
-            F.count_distinct("match_id").alias("career_matches"),
-            F.coalesce(F.sum("runs"), F.lit(0)).alias("career_runs"),
-            F.sum("wickets").alias("career_wickets"),
-        )
+    return players_from(career_sums(lines), players)
+
+
+def players_from(sums: DataFrame, players: DataFrame) -> DataFrame:
+    """players_of() from career_sums(): a match is of one class, so matches add up over classes."""
+    totals = sums.groupBy("player_id").agg(
+        F.min("gender").alias("gender"),
+        F.sum("matches").alias("career_matches"),
+        F.sum("all_runs").alias("career_runs"),
+        F.sum("all_wickets").alias("career_wickets"),
     )
     known = players.groupBy("player_id").agg(F.min("name").alias("name"), F.min("external_id").alias("external_id"))
     return totals.join(known, "player_id", "left").select(
@@ -104,15 +158,17 @@ COVERAGE_SOURCE, COVERAGE_NOTE = "BALL_BY_BALL", "Open ball-by-ball coverage onl
 
 def coverage_of(lines: DataFrame) -> DataFrame:
     """First and last date and number of the matches each (player, class) is known from, with source and note."""
-    return (
-        lines.filter("strikes > 0 or bowl_first is not null")
-        .groupBy(*KEY)
-        .agg(
-            F.min("match_date").alias("first_match_date"),
-            F.max("match_date").alias("last_match_date"),
-            F.count_distinct("match_id").alias("matches_covered"),
-        )
-        .withColumns({"source": F.lit(COVERAGE_SOURCE), "coverage_note": F.lit(COVERAGE_NOTE)})
+    return coverage_from(career_sums(lines))
+
+
+def coverage_from(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        *KEY,
+        F.col("first_date").alias("first_match_date"),
+        F.col("last_date").alias("last_match_date"),
+        F.col("matches").alias("matches_covered"),
+        F.lit(COVERAGE_SOURCE).alias("source"),
+        F.lit(COVERAGE_NOTE).alias("coverage_note"),
     )
 
 

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import time
-import zipfile
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.functions import rules
+from crease.sources import archives
 
 _PEOPLE = "map<string,string>"
 _WICKET = "struct<kind:string,player_out:string,fielders:array<struct<name:string>>>"
@@ -52,42 +49,17 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.lower(name) != "readme.json").withColumn("match_id", stem(name))
 
 
-def _packed_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The still compressed bytes of each JSON member of archives, with its method."""
-    for batch in batches:
-        for content in batch["content"]:
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for info in archive.infolist():
-                    base = info.filename.rsplit("/", 1)[-1]
-                    if base.lower().endswith(".json") and base.lower() != "readme.json":
-                        # behind the local header: 30 bytes, a name and an extra field of the lengths at 26 and 28
-                        at = info.header_offset
-                        start = at + 30 + int.from_bytes(content[at + 26 : at + 28], "little") + int.from_bytes(content[at + 28 : at + 30], "little")
-                        raw = content[start : start + info.compress_size]
-                        yield pd.DataFrame({"match_id": [base[:-5]], "method": [info.compress_type], "raw": [raw]})
+def read_archives(spark: SparkSession, path: str, match_ids: list[str] | None = None, **options: int) -> DataFrame:
+    """Documents inside zip archives, read by all tasks by ranges of members; `broken` tells of members that are not JSON or cannot be unpacked.
 
-
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        texts = [
-            (raw if method == zipfile.ZIP_STORED else zlib.decompress(raw, -zlib.MAX_WBITS)).decode("utf-8", "replace")
-            for raw, method in zip(batch["raw"], batch["method"], strict=True)
-        ]
-        yield pd.DataFrame({"match_id": batch["match_id"], "text": texts})
-
-
-def read_archives(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Documents inside zip archives (deflated or stored members).
-
-    One task reads an archive and hands its members on as they are, compressed; they are dealt over all tasks, which
-    unpack and parse them. An archive is one cell of Spark's file reader, so it must be below 2 GB.
+    match_ids: only these; the others' bytes are left alone where spark.sql.python.filterPushdown.enabled is set.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("content")
-    packed = files.mapInPandas(_packed_members, "match_id string, method int, raw binary")
-    dealt = packed.repartition(partitions) if partitions else packed.repartition("match_id")
-    texts = dealt.mapInPandas(_unpacked, "match_id string, text string")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
-    return texts.select("match_id", F.from_json("text", SCHEMA, options).alias("d")).select("match_id", "d.*")
+    members = archives.read_members(spark, path, **options)
+    if match_ids is not None:
+        members = members.filter(F.col("match_id").isin(match_ids))
+    parsed = F.from_json("text", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    docs = members.select("match_id", "error", parsed.alias("d")).select("match_id", "error", "d.*")
+    return docs.withColumn("broken", F.coalesce("error", "broken")).drop("error")
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
