@@ -129,11 +129,11 @@ def test_a_small_batch_touches_little(spark, sf_dir, tmp_path):
     balls, matches = written(adapter.deliveries(spark, sf_dir)), written(adapter.matches(spark, sf_dir))
     gold = upkeep.store(spark, str(tmp_path / "gold"))
     upkeep.apply_batch(gold, matches, balls)
-    one = matches.filter("match_id = 'M40'")
-    better = balls.filter("match_id = 'M40'").withColumn("runs_batter", F.col("runs_batter") + 100).withColumn("runs_total", F.col("runs_total") + 100)
+    one = matches.filter("match_id = 'M10'")
+    better = balls.filter("match_id = 'M10'").withColumn("runs_batter", F.col("runs_batter") + 100).withColumn("runs_total", F.col("runs_total") + 100)
     done = upkeep.apply_batch(gold, written(one), written(better))
     for name in ("deliveries", "matches", "innings", "batting", "bowling", "overs", "summary"):
         assert done[name]["partitions"] == 1, name
     assert done["deliveries"]["rows"] < balls.count() / 4
-    kept = balls.filter("match_id <> 'M40'").unionByName(better)
+    kept = balls.filter("match_id <> 'M10'").unionByName(better)
     assert rows_of(careers.career_lines(gold.read("careers"))) == rows_of(careers.career_stats(kept))
