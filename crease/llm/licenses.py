@@ -23,38 +23,48 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Before every match a mark is put, so that the words of a text, counted once, tell where the matches start.
+MARK = "\x01"
+
+#: What identifiers of one header start with; those after the first follow OR or AND.
+HEADER = "spdx license identifier "
+
+
 def rules() -> list[tuple[str, str, int, str, float, bool]]:
-    """The ordered rules: (keyword, label, priority, expression over words, score, base). Lower priority wins."""
+    """The ordered rules: (keyword, label, priority, expression over words, score, base). Lower priority wins.
+
+    A rule of an identifier in a file header also takes it after others, of up to 100 letters, that OR or AND join to it.
+    """
     out = [(phrase, label, 0, phrase, 0.85, True) for phrase, label in BASE_PHRASES.items()]
-    return out + [(k, label, i, e, score, False) for i, (label, score, k, e) in enumerate(signatures(), 1)]
+    found = signatures()
+    for i, (label, score, k, e) in enumerate(found, 1):
+        if e.startswith(HEADER):
+            own = e.removeprefix(HEADER)
+            e = f"{e}|(?:{own})(?<={HEADER}[a-z0-9 ]{{2,100}} (?:or|and) (?:{own}))"
+        out.append((k, label, i, e, score, False))
+    return out
 
 
 def _positions(words: Column, rule: Column) -> Column:
     """Spans (start, not_end, priority, label, score, base) of a rule's matches; words count from 0, ends are inclusive.
 
-    not_end is the negated end, so that sorted spans have the longest of one start first.
+    not_end is the negated end, so that sorted spans have the longest of one start first. The time is linear in the text.
     """
-    parts = F.split(words, rule["pattern"], -1)
     found = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
-    spaces = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
-    pairs = F.arrays_zip(
-        F.transform(F.slice(parts, 1, F.size(found)), spaces).alias("gap"), F.transform(found, spaces).alias("wide")
-    )
-    empty = F.array().cast("array<struct<start:int,not_end:int,priority:int,label:string,score:double,base:boolean>>")
-
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        span = F.struct(
-            start.alias("start"),
-            (-(start + x["wide"])).alias("not_end"),
+    marked = F.split(F.regexp_replace(words, rule["pattern"], F.lit(MARK + "$0")), " ", -1)
+    starts = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i)), lambda i: i.isNotNull())
+    wide = F.transform(found, lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))))
+    return F.transform(
+        F.arrays_zip(starts.alias("start"), wide.alias("wide")),
+        lambda x: F.struct(
+            x["start"].alias("start"),
+            (-(x["start"] + x["wide"])).alias("not_end"),
             rule["priority"].alias("priority"),
             rule["label"].alias("label"),
             rule["score"].alias("score"),
             rule["base"].alias("base"),
-        )
-        return F.struct((start + x["wide"]).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+        ),
+    )
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,7 +121,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 (-x["not_end"]).alias("reach"),
                 (acc["n"] + 1).alias("n"),
                 F.greatest(acc["score"], x["score"]).alias("score"),
-                F.array_union(acc["labels"], F.array(x["label"])).alias("labels"),
+                F.when(F.array_contains(acc["labels"], x["label"]), acc["labels"]).otherwise(F.array_append(acc["labels"], x["label"])).alias("labels"),
             ),
         ).otherwise(acc)
 

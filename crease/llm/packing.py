@@ -6,6 +6,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,12 @@ class Encoder:
     """Token ids of texts as bytes of little-endian uint32, as the tokenizers library gives them for a .json file.
 
     A plain byte-level BPE whose ids rise with its merges is encoded by tiktoken, which makes the same ids some eight
-    times faster; any other file goes through the tokenizers library itself. Nothing is kept between texts.
+    times faster; any other file goes through the tokenizers library itself, and so does a text that tiktoken's
+    expressions give up on, such as a run of a million spaces. Nothing is kept between texts.
     """
 
     def __init__(self, path: str):
+        self.path, self.fast = path, None
         try:
             spec = read_byte_bpe(path)
         except (KeyError, TypeError, ValueError):
@@ -45,14 +48,22 @@ class Encoder:
             byte = byte_letters()
             special = {t["content"]: t["id"] for t in spec["added_tokens"]}
             ranks = {bytes(map(byte.__getitem__, x)): i for x, i in vocabulary.items() if x not in special}
-            fast = tiktoken.Encoding(path, pat_str=CUT, mergeable_ranks=ranks, special_tokens=special)
-            self.encode_one = lambda text: fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
-        else:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-
-            slow = Tokenizer.from_file(path)
-            self.encode_one = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.fast = tiktoken.Encoding(path, pat_str=CUT, mergeable_ranks=ranks, special_tokens=special)
+
+    @cached_property
+    def slow(self):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def encode_one(self, text: str) -> bytes:
+        if self.fast:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+            except ValueError:  # "Max stack size exceeded for backtracking"
+                pass
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return list(map(self.encode_one, texts))

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_helpers import edge_docs, no_docs, sample_docs, texts
+from llm_helpers import WIDE, edge_docs, no_docs, sample_docs, texts
 from tokenizers import Tokenizer
 
 from crease.llm import packing
@@ -60,6 +60,15 @@ def test_edges(spark):
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in with_ids)
 
 
+def test_millions_of_white_space(spark):
+    """Texts that the fast encoder gives up on have the library's ids, alone and as a stage of the pipeline."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([*enumerate(WIDE), (9, "some words")], "doc_id long, text string")
+    for rows in (packing.pack(docs, PATH), corpus_pipeline.packing(spark, docs, "")):
+        check(rows.collect(), texts(docs), 2048)
+
+
 def test_ranks_across_ranges(spark, monkeypatch, sf_dir):
     monkeypatch.setattr(packing, "RANGE", 7)
     docs = sample_docs(spark, sf_dir).repartition(3)
