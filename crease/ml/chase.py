@@ -46,16 +46,21 @@ def chase_features(balls: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
-def train(features: DataFrame, depth: int = 4, rounds: int = 150, seed: int = 42):
-    """Fit on four fifths of the rows: the model, accuracy and area under the curve on the rest, importances."""
+def split(features: DataFrame, test_share: float = 0.2) -> DataFrame:
+    """The rows with `held_out`: by a hash of the match, so that the balls of a match stand on one side, however the rows are partitioned."""
+    return features.withColumn("held_out", F.conv(F.substring(F.md5("match_id"), 1, 8), 16, 10).cast("long") % 1000 < round(test_share * 1000))
+
+
+def train(features: DataFrame, depth: int = 4, rounds: int = 150, seed: int = 42, test_share: float = 0.2):
+    """Fit on the matches that are not held out: the model, accuracy and area under the curve on the others, importances."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(features).select("features", F.col("won").cast("double").alias("label"))
-    fit, test = rows.randomSplit([0.8, 0.2], seed)
-    model = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=seed).fit(fit)
-    scored = model.transform(test)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(split(features, test_share))
+    rows = rows.select("features", F.col("won").cast("double").alias("label"), "held_out")
+    model = GBTClassifier(maxDepth=depth, maxIter=rounds, seed=seed).fit(rows.filter("NOT held_out").drop("held_out"))
+    scored = model.transform(rows.filter("held_out"))
     accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
     area = BinaryClassificationEvaluator().evaluate(scored)
     return model, accuracy, area, dict(zip(FEATURES, model.featureImportances.toArray().tolist(), strict=True))

@@ -239,12 +239,6 @@ def page_of(page: int, total: int, size: int) -> tuple[int, int]:
     return min(max(1, page), pages), pages
 
 
-def paged(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page of rows in a total order; the count decides which."""
-    shown, _ = page_of(page, rows.count(), size)
-    return rows.orderBy(*order).offset((shown - 1) * size).limit(size)
-
-
 def search_matches(matches: DataFrame, query: str | None = None, match_class: str | None = None, event: str | None = None, season: str | None = None, team: str | None = None) -> DataFrame:
     """Matches that fit all given filters; '' asks for a null event or season."""
     hit = F.lit(True)

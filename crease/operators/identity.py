@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crease.functions import rules
+from crease.plans.shared import new_folder, written
 
 
 def merge_keep_known(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -165,20 +168,23 @@ def crawl_jobs(matches: DataFrame, mode: str, depth: int = 0) -> DataFrame:
     )
 
 
-def crawl(seed: DataFrame, expand, limit: int = 10) -> DataFrame:
+def crawl(seed: DataFrame, expand: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Breadth-first closure of jobs (page_type, params, depth): each found once, at its least depth.
 
-    expand(frontier) gives the jobs that pages of the frontier link to. A round keeps only what no round had before;
-    the rounds (at most `limit`, the depth of the site) are the driver's only loop.
+    expand(frontier) gives the jobs that pages of the frontier link to. A round expands only what the round before has
+    found for the first time, and writes what is new into a folder of its own; it ends when a round finds nothing, on
+    any graph, as pages are finite and none is expanded twice. The rounds, as many as the site is deep, are the driver's
+    only loop; the pages stay on the cluster.
     """
-    key = ["page_type", "params"]
-    seen = frontier = crawl_frontier(seed, seed.select(*key).limit(0))
-    for _ in range(limit):
-        frontier = crawl_frontier(expand(frontier), seen.select(*key)).checkpoint()
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen
+    spark = seed.sparkSession
+    path, key = new_folder(spark), ["page_type", "params"]
+    frontier, number = crawl_frontier(seed, seed.select(*key).limit(0)), 0
+    while True:
+        found = written(frontier, f"{path}/round={number}")
+        seen = spark.read.schema(found.schema).parquet(path)
+        if found.isEmpty():
+            return seen
+        frontier, number = crawl_frontier(expand(found), seen.select(*key)), number + 1
 
 
 def class_batches(classified: DataFrame, key: str) -> DataFrame:

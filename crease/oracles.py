@@ -52,12 +52,12 @@ parts AS (
 lines AS (
   SELECT match_id, innings_no, player_id, min(match_class) AS match_class, min(gender) AS gender, min(match_date) AS match_date,
     min(called) FILTER (WHERE kind IN ('on strike', 'waiting')) AS bat_name, min(called) FILTER (WHERE kind = 'bowling') AS bowl_name,
-    min(over_no * 100 + ball_in_over * 10 + CASE kind WHEN 'waiting' THEN 1 ELSE 0 END) FILTER (WHERE kind IN ('on strike', 'waiting')) AS bat_at,
-    min(over_no * 100 + ball_in_over) FILTER (WHERE kind = 'bowling') AS bowl_at,
+    min(over_no * 10000 + ball_in_over * 10 + CASE kind WHEN 'waiting' THEN 1 ELSE 0 END) FILTER (WHERE kind IN ('on strike', 'waiting')) AS bat_at,
+    min(over_no * 1000 + ball_in_over) FILTER (WHERE kind = 'bowling') AS bowl_at,
     count_if(kind = 'on strike') AS strikes, {_n("coalesce(sum(runs_batter) FILTER (WHERE kind = 'on strike'), 0)")} AS runs,
     {_n("count_if(kind = 'on strike' AND faced)")} AS balls, {_n("count_if(kind = 'on strike' AND runs_batter = 4)")} AS fours,
     {_n("count_if(kind = 'on strike' AND runs_batter = 6)")} AS sixes, bool_or(kind = 'leaving') AS was_out,
-    arg_min(dismissal_kind, over_no * 100 + ball_in_over) FILTER (WHERE kind = 'leaving') AS dismissal,
+    arg_min(dismissal_kind, over_no * 1000 + ball_in_over) FILTER (WHERE kind = 'leaving') AS dismissal,
     {_n("count_if(kind = 'bowling' AND legal)")} AS bowl_balls, {_n("coalesce(sum(charged) FILTER (WHERE kind = 'bowling'), 0)")} AS conceded,
     {_n("count_if(kind = 'bowling' AND credited)")} AS wickets
   FROM parts GROUP BY match_id, innings_no, player_id)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from crease.oracles import BATTING, BOWLING, CAREERS, FLAGS, INNINGS, LINES, LINES_ON, OVERS, PLAYERS, SQL, VIEWS, _n, _with
+from crease.sources import shape
 from crease.sources.teams import NATIONAL_TEAMS
 
 
@@ -25,10 +26,10 @@ TOKEN = """CASE dismissal_kind WHEN 'bowled' THEN 'BOWLED' WHEN 'caught' THEN 'C
 #: Performance lines: what a player does on strike and when leaving, numbered by ball.
 PERFORMANCES = f"""
 events_of AS (
-  SELECT match_id, innings_no, match_class, match_date, batter_id AS player_id, over_no * 100 + ball_in_over * 10 AS moment, runs_batter AS r,
+  SELECT match_id, innings_no, match_class, match_date, batter_id AS player_id, over_no * 10000 + ball_in_over * 10 AS moment, runs_batter AS r,
     faced AS f, NULL AS gone FROM flagged
   UNION ALL
-  SELECT match_id, innings_no, match_class, match_date, player_out_id, over_no * 100 + ball_in_over * 10 + 1, NULL, NULL, {TOKEN}
+  SELECT match_id, innings_no, match_class, match_date, player_out_id, over_no * 10000 + ball_in_over * 10 + 1, NULL, NULL, {TOKEN}
   FROM flagged WHERE is_wicket),
 bat_perf AS (
   SELECT match_id, innings_no, player_id, min(match_class) AS match_class, min(match_date) AS match_date,
@@ -66,6 +67,7 @@ FROM bowl_perf GROUP BY {key}"""
 ZERO = ["innings", "not_outs", "runs", "balls", "fifties", "hundreds", "zeros", "fours", "sixes"]
 CLASS_RANK = "CAST(list_position(['TEST','ODI','T20I','FIRST_CLASS','LIST_A','T20','T10','HUNDRED','OTHER'], match_class) - 1 AS INTEGER)"
 
+REASONS = "[" + ", ".join("''" if r.how == "maybe" else f"'{r.reason}'" for r in shape.rules()) + ", '']"
 SIDES = ", ".join(f"('{side}', {'NULL' if iso is None else repr(iso)}, '{country}', '{color}')" for side, iso, country, color in NATIONAL_TEAMS)
 NAMES = "[" + ", ".join(f"' {side.upper().replace(' ', '  ')}'" for side, *_ in NATIONAL_TEAMS[:18]) + "]"
 TEAMS = f"""
@@ -344,4 +346,25 @@ SELECT s.player_id, min(s.name) AS name, any_value(p.external_id) AS external_id
     + """, seen AS (
   SELECT match_id, batter_name AS name FROM deliveries UNION SELECT match_id, bowler_name FROM deliveries UNION SELECT match_id, non_striker_name FROM deliveries)
 SELECT match_id, team_home AS team, name FROM seen JOIN matches USING (match_id)""",
+    "crawl_closure": """
+WITH RECURSIVE links AS (
+  SELECT DISTINCT o_custkey AS a, o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN -10 WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS b FROM orders),
+reach(c, depth) AS (
+  SELECT c_custkey, 0 FROM customer WHERE c_custkey <= 2
+  UNION SELECT b, depth + 1 FROM reach JOIN links ON a = c WHERE b BETWEEN 1 AND 129 AND depth < 130)
+SELECT 'profile' AS page_type, CAST(c AS VARCHAR) AS params, min(depth) AS depth FROM reach GROUP BY c""",
+    "career_upkeep": _with(LINES, CAREERS) + "SELECT * FROM career_rows",
+    "document_rules": f"SELECT o_orderkey, ({REASONS})[CAST(o_orderkey % len({REASONS}) AS INTEGER) + 1] AS reasons FROM orders",
+    "chase_split": "SELECT match_id, ball, CAST('0x' || substr(md5(match_id), 1, 8) AS BIGINT) % 1000 < 200 AS held_out FROM (" + SQL["chase_features"] + ")",
+    "competition_places": VIEWS
+    + """, c AS (SELECT coalesce(event_name, 'Other / Bilateral matches') AS name, count(*) AS total FROM matches GROUP BY event_name)
+SELECT name, total, row_number() OVER (ORDER BY total DESC, name) AS place FROM c""",
+    "team_places": TEAMS + "SELECT display_name, match_count, row_number() OVER (ORDER BY match_count DESC, display_name) AS place FROM profiles",
+    "canonical_places": """SELECT o_orderkey AS match_id,
+  row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END NULLS LAST, o_orderkey) AS place FROM orders""",
+    "match_page_written": """
+WITH p AS (
+  SELECT o_orderkey AS match_id, row_number() OVER (ORDER BY CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END NULLS LAST, o_orderkey) AS place FROM orders),
+n AS (SELECT *, (place - 1) // 37 + 1 AS page FROM p)
+SELECT match_id, place, page FROM n WHERE page = least(30, (SELECT max(page) FROM n))""",
 }

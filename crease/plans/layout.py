@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from crease.functions import texts
 from crease.operators import careers, scorecards
+from crease.plans.shared import rows_seen
 
 #: Settings the engine relies on; shuffle partitions follow the cluster, AQE joins small ones and splits skewed ones.
 SETTINGS = {
@@ -66,13 +67,16 @@ def gold_tables(silver: dict[str, DataFrame], lines: DataFrame | None = None) ->
 
 
 def write_gold(silver: dict[str, DataFrame], path: str) -> dict[str, int]:
-    """Replace all gold tables; returns their row counts. The players' innings are written once and feed four tables."""
+    """Replace all gold tables; returns their row counts, taken while they are written. The players' innings are written once and feed four tables."""
     spark = silver["deliveries"].sparkSession
     scorecards.player_innings(silver["deliveries"]).write.mode("overwrite").parquet(f"{path}/player_innings")
     lines = spark.read.parquet(f"{path}/player_innings")
+    counts = {}
     for name, table in gold_tables(silver, lines).items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-    return {name: spark.read.parquet(f"{path}/{name}").count() for name in GOLD}
+        seen = Observation()
+        table.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/{name}")
+        counts[name] = rows_seen(seen)
+    return counts
 
 
 def as_json(rows: DataFrame) -> DataFrame:

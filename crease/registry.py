@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crease import oracles, oracles_lists, registry_lists
 from crease.functions import rules
 from crease.ml import chase
-from crease.operators import careers, editions, identity, ratings, scorecards
+from crease.operators import careers, editions, identity, paging, ratings, scorecards
 from crease.sources import adapter, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,12 +192,12 @@ def queries() -> dict[str, Query]:
         "team_record": _matches(editions.team_record),
         "team_counts": _matches(identity.team_counts),
         "match_search_page": _matches(
-            lambda m: editions.paged(editions.search_matches(m, "LEAGUE 1", "ODI"), newest(), 2, 5).select("match_id", "match_date")
+            lambda m: paging.paged(editions.search_matches(m, "LEAGUE 1", "ODI"), newest(), 2, 5).select("match_id", "match_date")
         ),
         "team_matches_page": _matches(
-            lambda m: editions.paged(editions.search_matches(m, team="T3"), newest(), 99, 7).select("match_id", "match_date")
+            lambda m: paging.paged(editions.search_matches(m, team="T3"), newest(), 99, 7).select("match_id", "match_date")
         ),
-        "player_page": lambda spark, sf_dir: editions.paged(
+        "player_page": lambda spark, sf_dir: paging.paged(
             _career_players(spark, sf_dir), [F.desc("career_runs"), F.asc("player_id")], 2, 36
         ),
         "format_leaders_runs": _balls(lambda b: editions.format_leaders(careers.career_stats(b), "runs")),

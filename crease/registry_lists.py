@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crease.functions import rules, texts
-from crease.operators import careers, editions, identity, lists, performances, ratings, scorecards
-from crease.plans import layout
-from crease.sources import adapter, made, matchdocs, pages, teams
+from crease.ml import chase
+from crease.operators import careers, editions, identity, lists, paging, performances, ratings, scorecards
+from crease.plans import layout, upkeep
+from crease.plans.shared import new_folder, written
+from crease.sources import adapter, made, matchdocs, pages, shape, teams
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGS = "https://flags.example"
@@ -351,8 +353,66 @@ def _rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.replace_groups(balls, new.withColumn("runs_total", F.col("runs_total") + 1), ["match_id", "innings_no"])
 
 
+def _crawl_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of customers: an order of c links to c + 1, of some to c + 2 or c - 10, below 130: chains with cycles, from two seeds."""
+    o = _table(spark, sf_dir, "orders")
+    step = F.when(F.col("o_orderkey") % 5 == 0, -10).when(F.col("o_orderkey") % 7 == 0, 2).otherwise(1)
+    links = o.select(F.col("o_custkey").cast("string").alias("params"), (F.col("o_custkey") + step).alias("next")).filter("next between 1 and 129")
+    seed = _table(spark, sf_dir, "customer").filter("c_custkey <= 2").select(F.lit("profile").alias("page_type"), F.col("c_custkey").cast("string").alias("params"), F.lit(0).alias("depth"))
+    expand = lambda found: found.join(links, "params").select("page_type", F.col("next").cast("string").alias("params"), (F.col("depth") + 1).alias("depth"))
+    return identity.crawl(seed, expand).select("page_type", "params", "depth")
+
+
+def _upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Careers after two batches: first most matches, some with other scores and seasons and one that is to vanish; then the rest and the corrections."""
+    balls, matches = written(adapter.deliveries(spark, sf_dir)), written(adapter.matches(spark, sf_dir))
+    number = F.expr("cast(substring(match_id, 2) as int)")
+    early, revised = number % 5 != 0, number % 7 == 3
+    other = lambda df: df.withColumn("season", F.when(revised, "1999").otherwise(F.col("season")))
+    copy = lambda df: df.filter(number == 3).withColumn("match_id", F.lit("X3"))
+    scored = balls.filter(early).withColumn("runs_batter", F.when(revised, F.col("runs_batter") + 3).otherwise(F.col("runs_batter")))
+    gold = upkeep.store(spark, new_folder(spark))
+    upkeep.apply_batch(gold, written(other(matches.filter(early)).unionByName(copy(matches))), written(other(scored).unionByName(copy(balls))))
+    late = ~early | revised
+    upkeep.apply_batch(gold, written(matches.filter(late)), written(balls.filter(late)), spark.createDataFrame([("X3",)], "match_id string"))
+    return careers.career_lines(gold.read("careers"))
+
+
+def _shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = shape.rules()
+    return made.odd_documents(spark, sf_dir, table).select("o_orderkey", F.array_join(shape.reasons(table), "; ").alias("reasons"))
+
+
+def _chase_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = chase.chase_features(adapter.deliveries(spark, sf_dir), adapter.matches(spark, sf_dir))
+    return chase.split(features).select("match_id", "ball", "held_out")
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("match_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("start_time"))
+
+
+def _competitions(m: DataFrame) -> DataFrame:
+    return m.groupBy("event_name").agg(F.count("*").alias("total")).withColumn("name", F.coalesce("event_name", F.lit(lists.OTHER_LABEL)))
+
+
+def _late_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark)
+    paging.write_pages(_starts(spark, sf_dir), [F.asc_nulls_last("start_time"), F.asc("match_id")], 37, path)
+    return paging.read_page(spark.read.parquet(path), 30).select("match_id", "place", "page")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "crawl_closure": _crawl_closure,
+        "career_upkeep": _upkeep,
+        "document_rules": _shape,
+        "chase_split": _chase_split,
+        "competition_places": _matches(lambda m: paging.placed(_competitions(m), [F.desc("total"), F.asc("name")]).select("name", "total", "place")),
+        "team_places": lambda s, d: paging.placed(_profiles(s, d), [F.desc("match_count"), F.asc("display_name")]).select("display_name", "match_count", "place"),
+        "canonical_places": lambda s, d: paging.placed(_starts(s, d), [F.asc_nulls_last("start_time"), F.asc("match_id")]).select("match_id", "place"),
+        "match_page_written": _late_page,
         "number_texts": _number_texts,
         "scalar_texts": _scalar_texts,
         "date_texts": _date_texts,

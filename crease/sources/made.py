@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crease.sources import adapter, matchdocs
+from crease.sources import adapter, matchdocs, shape
 
 #: What the page parsers look for.
 ELEMENT, BASE = "PAGE_DATA", "props.content"
@@ -146,3 +148,49 @@ def profile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 1, "rhb").alias("battingStyle"),
     )
     return c.select(k.alias("page_id"), F.to_json(F.struct(F.struct(player.alias("content")).alias("props"))).alias("data"))
+
+
+def second_if_longer(items: list) -> dict:
+    """Of balls the second, which has all the fields; of other lists the first."""
+    return items[1] if len(items) > 1 and "bowler" in items[1] else items[0]
+
+
+def odd_documents(spark: SparkSession, sf_dir: str, table: list[shape.Rule]) -> DataFrame:
+    """Hand-written documents, one an order: order k breaks rule number k % (number of rules + 1), the last of these none."""
+    texts, names = [], []
+    for rule in [*table, None]:
+        document = {
+            "meta": {"revision": 2, "version": "1.1"},
+            "info": {
+                "match_type": "ODI", "dates": ["2024-05-01"], "event": {"name": "Cup", "match_number": 3, "stage": "Final"}, "teams": ["Reds", "Blues"],
+                "toss": {"winner": "Reds", "decision": "Bat"}, "outcome": {"by": {"runs": 3}, "winner": "Reds"}, "player_of_match": ["Ash"],
+                "players": {"Reds": ["Ash"], "Blues": ["Ed"]}, "registry": {"people": {"Ash": "a1", "Ed": "e1"}}, "balls_per_over": 6,
+            },
+            "innings": [
+                {"team": "Reds", "overs": [{"over": 0, "deliveries": [
+                    {"batter": "Ash", "bowler": "Ed", "non_striker": "Bo", "runs": {"batter": 4, "extras": 0, "total": 4}},
+                    {"batter": "Ash", "bowler": "Ed", "runs": {"total": 1}, "extras": {"wides": 1}, "review": {"by": "Reds"}, "wickets": [{"kind": "run out", "fielders": [{}]}]},
+                ]}], "powerplays": []},
+                {"team": "Blues", "overs": []},
+            ],
+        }
+        name = "m"
+        if rule is not None:
+            how = rule.how.split(" ")[0]
+            bad = int(rule.how.split(" ")[1]) - 1 if how == "least" else {"filled": " ", "one": "toss a coin"}.get(how)
+            if rule.path == "match_id":
+                name = ""
+            else:
+                *way, last = shape._steps(rule.path)
+                node = document
+                for step in way:
+                    node = second_if_longer(node) if step == "[]" else next(iter(node.values())) if step == "{}" else node[step]
+                node[0 if last == "[]" else next(iter(node)) if last == "{}" else last] = bad
+        texts.append(json.dumps(document))
+        names.append(name)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    at = (F.col("o_orderkey") % len(texts)).cast("int")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), at)
+    name = F.when(pick(names) == "", "").otherwise(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")))
+    parsed = F.from_json(pick(texts), shape.schema([r for r in table if r.path != "match_id"]))
+    return orders.select("o_orderkey", name.alias("match_id"), parsed.alias("d")).select("o_orderkey", "match_id", "d.*")

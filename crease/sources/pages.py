@@ -29,6 +29,16 @@ def first_path(json: Column, paths: list[str]) -> Column:
     return F.coalesce(*[F.get_json_object(json, p) for p in paths])
 
 
+def first_value(value: Column, paths: list[str]) -> Column:
+    """The first of the paths of a parsed value that is there, as text."""
+    return F.coalesce(*[F.try_variant_get(value, p, "string") for p in paths])
+
+
+def first_list(value: Column, paths: list[str]) -> Column:
+    """The first of the paths of a parsed value that is a list, as parsed values."""
+    return F.coalesce(*[F.try_variant_get(value, p, "array<variant>") for p in paths])
+
+
 def titles(pages: DataFrame) -> DataFrame:
     """Title of each page, tags and entities aside, white space collapsed; null without one."""
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
@@ -36,12 +46,15 @@ def titles(pages: DataFrame) -> DataFrame:
 
 
 def fixtures(pages: DataFrame, element_id: str, base: str) -> DataFrame:
-    """Matches listed in a fixtures page's embedded JSON, with teams, venue and series; fields may go by several names."""
-    rows = pages.select("page_id", F.explode(F.from_json(F.get_json_object("data", f"$.{base}"), "array<string>")).alias("m"))
-    pick = lambda *paths: first_path(F.col("m"), [f"$.{p}" for p in paths])
+    """Matches listed in a fixtures page's embedded JSON, with teams, venue and series; fields may go by several names.
+
+    A page is parsed once; its fields are then looked up in the parsed values.
+    """
+    rows = pages.select("page_id", F.explode(first_list(F.try_parse_json("data"), [f"$.{base}"])).alias("m"))
+    pick = lambda *paths: first_value(F.col("m"), [f"$.{p}" for p in paths])
     text = lambda *paths: rules.text_or_null(pick(*paths))
     state = F.when(pick("state").isin("PRE", "LIVE", "POST"), pick("state"))
-    cancelled = only_boolean(F.col("m"), "$.isCancelled")
+    cancelled = parsed_boolean(F.col("m"), "$.isCancelled")
     return rows.select(
         "page_id",
         text("objectId", "id").alias("match_id"),
@@ -58,14 +71,19 @@ def fixtures(pages: DataFrame, element_id: str, base: str) -> DataFrame:
         text("ground.longName", "ground.name").alias("venue"),
         text("teams[0].team.longName", "teams[0].team.name").alias("team_home"),
         text("teams[1].team.longName", "teams[1].team.name").alias("team_away"),
-        F.coalesce(only_boolean(F.col("m"), "$.hasScorecard"), F.lit(False)).alias("has_scorecard"),
+        F.coalesce(parsed_boolean(F.col("m"), "$.hasScorecard"), F.lit(False)).alias("has_scorecard"),
     )
 
 
 def only_boolean(json: Column, path: str) -> Column:
     """A JSON true or false; null for anything else, the texts "true" and "false" among them."""
-    value = F.try_variant_get(F.try_parse_json(json), path, "variant")
-    return F.when(F.schema_of_variant(value) == "BOOLEAN", F.get_json_object(json, path) == "true")
+    return parsed_boolean(F.try_parse_json(json), path)
+
+
+def parsed_boolean(value: Column, path: str) -> Column:
+    """only_boolean() of a parsed value."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(found) == "BOOLEAN", F.try_variant_get(value, path, "boolean"))
 
 
 #: Where a scorecard page keeps its innings, and an innings its lines.
@@ -75,16 +93,16 @@ BOWLING_PATHS = ["$.inningBowlers", "$.bowlers", "$.bowling"]
 
 
 def _innings(pages: DataFrame, base: str) -> DataFrame:
-    """A row for each innings of scorecard pages, with its number: the one given, else its place."""
-    given = first_path(F.col("data"), [f"$.{base}.{p}" if base else f"$.{p}" for p in INNINGS_PATHS])
-    rows = pages.select("page_id", F.posexplode(F.from_json(given, "array<string>")).alias("i", "innings"))
-    number = first_path(F.col("innings"), ["$.inningNumber", "$.inningsNumber"])
+    """A row for each innings of scorecard pages, parsed, with its number: the one given, else its place."""
+    given = first_list(F.try_parse_json("data"), [f"$.{base}.{p}" if base else f"$.{p}" for p in INNINGS_PATHS])
+    rows = pages.select("page_id", F.posexplode(given).alias("i", "innings"))
+    number = first_value(F.col("innings"), ["$.inningNumber", "$.inningsNumber"])
     return rows.select("page_id", F.coalesce(rules.number_or_null(number).cast("int"), F.col("i") + 1).alias("innings_no"), "innings")
 
 
 def page_innings(pages: DataFrame, base: str) -> DataFrame:
     """Totals of the innings of scorecard pages."""
-    of = lambda path: F.get_json_object("innings", f"$.{path}")
+    of = lambda path: first_value(F.col("innings"), [f"$.{path}"])
     return _innings(pages, base).select(
         "page_id",
         "innings_no",
@@ -95,16 +113,15 @@ def page_innings(pages: DataFrame, base: str) -> DataFrame:
 
 
 def _lines(pages: DataFrame, base: str, paths: list[str], place: str) -> DataFrame:
-    lines = F.from_json(first_path(F.col("innings"), paths), "array<string>")
-    rows = _innings(pages, base).select("page_id", "innings_no", F.posexplode(lines).alias("p", "line"))
+    rows = _innings(pages, base).select("page_id", "innings_no", F.posexplode(first_list(F.col("innings"), paths)).alias("p", "line"))
     return rows.withColumn(place, F.col("p") + 1)
 
 
 def batting_lines(pages: DataFrame, base: str) -> DataFrame:
     """Batting lines of scorecard pages; runs and balls are 0 where they are missing."""
-    pick = lambda *paths: first_path(F.col("line"), [f"$.{p}" for p in paths])
+    pick = lambda *paths: first_value(F.col("line"), [f"$.{p}" for p in paths])
     number = lambda *paths: rules.number_or_null(pick(*paths))
-    out = only_boolean(F.col("line"), "$.isOut")
+    out = parsed_boolean(F.col("line"), "$.isOut")
     said = rules.text_or_null(pick("dismissalText.long", "dismissalText.short", "dismissalText.commentary", "dismissalText"))
     return _lines(pages, base, BATTING_PATHS, "batting_pos").select(
         "page_id",
@@ -124,7 +141,7 @@ def batting_lines(pages: DataFrame, base: str) -> DataFrame:
 
 def bowling_lines(pages: DataFrame, base: str) -> DataFrame:
     """Bowling lines of scorecard pages; wickets and runs are 0 where they are missing."""
-    pick = lambda *paths: first_path(F.col("line"), [f"$.{p}" for p in paths])
+    pick = lambda *paths: first_value(F.col("line"), [f"$.{p}" for p in paths])
     number = lambda *paths: rules.number_or_null(pick(*paths))
     return _lines(pages, base, BOWLING_PATHS, "bowling_pos").select(
         "page_id",
@@ -143,9 +160,10 @@ def bowling_lines(pages: DataFrame, base: str) -> DataFrame:
 
 def player_profiles(pages: DataFrame, base: str) -> DataFrame:
     """Profiles of player pages (page_id, data)."""
-    pick = lambda *paths: first_path(F.col("data"), [f"$.{base}.{p}" if base else f"$.{p}" for p in paths])
+    pick = lambda *paths: first_value(F.col("player"), [f"$.{p}" for p in paths])
     text = lambda *paths: rules.text_or_null(pick(*paths))
-    return pages.select(
+    inside = F.try_variant_get(F.try_parse_json("data"), f"$.{base}" if base else "$", "variant")
+    return pages.select("page_id", F.explode(F.array(inside)).alias("player")).select(
         "page_id",
         rules.number_or_null(pick("objectId", "id")).cast("long").cast("string").alias("external_id"),
         text("longName", "name").alias("name"),

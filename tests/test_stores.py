@@ -62,12 +62,15 @@ def test_snapshots_are_added(spark, tmp_path):
     assert identity.fresh_snapshots(kept, now, 60).count() == 0
 
 
-def test_crawl_finds_each_page_once(spark, tmp_path):
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    links = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "a")], "params string, to string")
-    seed = spark.createDataFrame([("p", "a", 0)], "page_type string, params string, depth int")
-    expand = lambda f: f.join(links, "params").select("page_type", F.col("to").alias("params"), (F.col("depth") + 1).alias("depth"))
-    assert sorted((r.params, r.depth) for r in identity.crawl(seed, expand).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
+def test_crawl_finds_each_page_once(spark):
+    """A web with a cycle, a chain of 50 pages, links to oneself and to known pages, and no seed."""
+    links = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "d"), ("d", "n0"), *[(f"n{i}", f"n{i + 1}") for i in range(49)], ("n49", "a"), ("lost", "b")]
+    table = spark.createDataFrame(links, "params string, to string")
+    seed = spark.createDataFrame([("p", "a", 0), ("p", "a", 3)], "page_type string, params string, depth int")
+    expand = lambda f: f.join(table, "params").select("page_type", F.col("to").alias("params"), (F.col("depth") + 1).alias("depth"))
+    found = sorted((r.params, r.depth) for r in identity.crawl(seed, expand).collect())
+    assert found == sorted([("a", 0), ("b", 1), ("c", 1), ("d", 2), *[(f"n{i}", 3 + i) for i in range(50)]])
+    assert identity.crawl(seed.limit(0), expand).count() == 0
 
 
 def test_page_sources(spark):
