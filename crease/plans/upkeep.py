@@ -20,7 +20,7 @@ PLAYER_PARTS = 64
 LAYOUT = {
     "deliveries": PLACE, "matches": PLACE,
     "innings": PLACE, "batting": PLACE, "bowling": PLACE, "overs": PLACE, "summary": PLACE,
-    "lines": ["part"], "careers": ["part"],
+    "lines": ["part"], "careers": ["part"], "known": ["part"], "feeds": ["part"],
 }
 
 
@@ -49,12 +49,13 @@ def _or_none(rows: DataFrame | None, like: DataFrame) -> DataFrame:
     return like.limit(0) if rows is None else rows
 
 
-def apply_batch(gold: Store, matches: DataFrame, balls: DataFrame, gone: DataFrame | None = None) -> dict[str, dict]:
+def apply_batch(gold: Store, matches: DataFrame, balls: DataFrame, gone: DataFrame | None = None, more: dict[str, tuple] | None = None) -> dict[str, dict]:
     """Take a batch up as one change: matches and balls that are new or replace those of their match_id; gone: match_ids to delete.
 
     A match comes with all its balls. Returns per table the partitions and rows written, and as "read" the rows read of
     innings that were looked up again. matches, balls and gone are read several times: give written tables. The new
-    state is seen at once, when all tables are written; a batch that is applied again changes nothing.
+    state is seen at once, when all tables are written; a batch that is applied again changes nothing. more: other tables
+    of the store that change with it, as rows, key and keys of replace_groups().
     """
     change = gold.change()
     spark = gold.spark
@@ -92,6 +93,8 @@ def apply_batch(gold: Store, matches: DataFrame, balls: DataFrame, gone: DataFra
     rows = careers.with_extremes(merged, again).withColumn("part", part_of("player_id"))
     done["careers"] = change.replace_partitions("careers", rows, [f"part={p}" for p in parts])
     done["read"] = {"rows": again.agg(F.sum("lines")).first()[0] or 0, "parts": len(parts)}
+    for name, (rows, key, named) in (more or {}).items():
+        done[name] = change.replace_groups(name, rows, key, named)
     change.publish()
     drop_folder(spark, work)
     return done
