@@ -221,11 +221,7 @@ def last_segment(uri: Column) -> Column:
 
 #: Words that give no letter to an acronym, and files that are page furniture.
 SMALL_WORDS = ("the", "of", "and")
-FURNITURE = (
-    "commons-logo|wiki|ambox|edit-|question_book|folder|symbol|red_x|yes_check|disambig|pictogram|flag_of|crystal|"
-    "nuvola|magnify|portal|padlock|loudspeaker|increase|decrease|steady|sound-icon|kit[ _]|kit_body|stadium|"
-    r"\.jpg$|\.jpeg$"
-)
+FURNITURE = r"commons-logo|wiki|ambox|edit-|question_book|folder|symbol|red_x|yes_check|disambig|pictogram|flag_of|crystal|nuvola|magnify|portal|padlock|loudspeaker|increase|decrease|steady|sound-icon|kit[ _]|kit_body|stadium|\.jpg$|\.jpeg$"
 
 
 def name_words(name: Column) -> Column:

@@ -131,26 +131,69 @@ def bowling_fold(bowling: DataFrame, *key: str) -> DataFrame:
     ).drop("top")
 
 
-def career_by_class(batting: DataFrame, bowling: DataFrame) -> DataFrame:
-    """A line of each player in each class, from either kind of performance, with the matches of both."""
-    named = lambda lines: lines.withColumn("match_class", F.coalesce("match_class", F.lit("OTHER")))
-    batting, bowling = named(batting), named(bowling)
+def career_by_class(balls: DataFrame) -> DataFrame:
+    """A line of each player in each class, from either kind of performance, with the matches of both.
+
+    One pass over the balls gives each player's part in an innings, as striker, as the one who leaves and as bowler; these
+    lines go to their players once, where matches are told apart and summed.
+    """
+    out = F.col("is_wicket") & F.col("dismissal_kind").isNotNull()
+    role = lambda n, who: F.struct(F.lit(n).alias("role"), who.alias("player_id"))
+    parts = F.array(role(0, F.col("batter_id")), role(1, F.when(out, F.col("player_out_id"))), role(2, F.col("bowler_id")))
+    columns = ["match_class", "over_no", "ball_in_over", "runs_batter", "runs_extras", "extra_type", "is_wicket", "dismissal_kind"]
+    rows = balls.select(*INNINGS, *columns, F.inline(parts)).filter("player_id is not null")
+    bats, leaves, bowls = (F.col("role") == n for n in range(3))
+    charged = rules.charged_runs(F.col("runs_batter"), F.col("extra_type"), F.col("runs_extras"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
+    lines = rows.groupBy(*INNINGS, "player_id").agg(
+        F.coalesce(F.min("match_class"), F.lit("OTHER")).alias("match_class"),
+        (count_if(bats | leaves) > 0).alias("batted"),
+        zero(F.sum(F.when(bats, F.col("runs_batter")))).alias("runs"),
+        count_if(bats & rules.is_faced(F.col("extra_type"))).alias("balls"),
+        count_if(bats & (F.col("runs_batter") == 4)).alias("fours"),
+        count_if(bats & (F.col("runs_batter") == 6)).alias("sixes"),
+        F.max_by(F.when(leaves, rules.dismissal_token(F.col("dismissal_kind"))), F.when(leaves, F.struct("over_no", "ball_in_over"))).alias("how"),
+        (count_if(bowls) > 0).alias("bowled"),
+        count_if(bowls & rules.is_legal(F.col("extra_type"))).alias("legal"),
+        zero(F.sum(F.when(bowls, charged))).alias("conceded"),
+        count_if(bowls & F.col("is_wicket") & rules.bowler_wicket(F.col("dismissal_kind"))).alias("taken"),
+    )
     key = ["player_id", "match_class"]
-    seen = batting.select(*key, "match_id").unionByName(bowling.select(*key, "match_id"))
-    matches = seen.groupBy(*key).agg(F.count_distinct("match_id").alias("matches"))
-    prefixed = lambda fold, p: fold.select(*key, *[F.col(c).alias(f"{p}_{c}") for c in fold.columns if c not in key])
-    both = matches.join(prefixed(batting_fold(batting, *key), "bat"), key, "left").join(prefixed(bowling_fold(bowling, *key), "bowl"), key, "left")
-    sums = [c for c in both.columns if c.split("_", 1)[-1] in ("innings", "not_outs", "runs", "balls", "wickets", "fifties", "hundreds", "zeros", "fours", "sixes", "five_wickets")]
+    batted, bowled = F.col("batted"), F.col("bowled")
+    left, runs = F.coalesce("how", F.lit("NOT_OUT")) != "NOT_OUT", F.col("runs")
+    counts = {
+        "bat_innings": batted, "bat_not_outs": batted & ~left, "bat_fifties": batted & (runs >= 50) & (runs < 100), "bat_hundreds": batted & (runs >= 100),
+        "bat_zeros": batted & (runs == 0) & left, "bowl_innings": bowled, "bowl_five_wickets": bowled & (F.col("taken") >= 5),
+    }
+    sums = {"bat_runs": runs, "bat_balls": F.col("balls"), "bat_fours": F.col("fours"), "bat_sixes": F.col("sixes"), "bowl_wickets": F.col("taken"), "bowl_runs": F.col("conceded"), "bowl_balls": F.col("legal")}
+    high, top = F.struct(runs.alias("runs"), (~left).alias("star")), F.struct(F.col("taken").alias("wickets"), (-F.col("conceded")).alias("saved"))
+    by_match = (
+        lines.repartition("player_id")
+        .groupBy(*key, "match_id")
+        .agg(
+            *[count_if(x).alias(c) for c, x in counts.items()],
+            *[F.sum(x).alias(c) for c, x in sums.items()],
+            F.max(F.when(batted, high)).alias("high"),
+            F.max(F.when(bowled, top)).alias("top"),
+        )
+    )
+    both = by_match.groupBy(*key).agg(F.count("*").alias("matches"), *[F.sum(c).alias(c) for c in (*counts, *sums)], F.max("high").alias("high"), F.max("top").alias("top"))
+    per = lambda x, n, times=1: F.when(F.col(n) > 0, F.col(x).cast("double") / F.col(n) * times)
+    outs = F.col("bat_innings") - F.col("bat_not_outs")
     return both.withColumns(
         {
-            **{c: F.coalesce(c, F.lit(0)) for c in sums},
-            "bat_high_score": texts.or_dash(F.col("bat_high_score")),
-            "bowl_best": texts.or_dash(F.col("bowl_best")),
-            "has_batting": F.coalesce("bat_innings", F.lit(0)) > 0,
-            "has_bowling": F.coalesce("bowl_innings", F.lit(0)) > 0,
+            "bat_average": F.when(outs > 0, F.col("bat_runs").cast("double") / outs),
+            "bat_strike_rate": per("bat_runs", "bat_balls", 100),
+            "bat_high_score": texts.or_dash(texts.high_score_text(F.col("bat_innings"), F.col("high.runs"), F.col("high.star"))),
+            "bowl_economy": F.when(F.col("bowl_balls") > 0, F.col("bowl_runs") / (F.col("bowl_balls") / 6.0)),
+            "bowl_average": per("bowl_runs", "bowl_wickets"),
+            "bowl_strike_rate": per("bowl_balls", "bowl_wickets"),
+            "bowl_best": texts.or_dash(texts.figures_text(F.col("bowl_innings"), F.col("top.wickets"), -F.col("top.saved"))),
+            "has_batting": F.col("bat_innings") > 0,
+            "has_bowling": F.col("bowl_innings") > 0,
             "display_order": rules.class_rank(F.col("match_class")),
         }
-    )
+    ).drop("high", "top")
 
 
 def recent_form(batting: DataFrame, k: int = 12) -> DataFrame:

@@ -167,10 +167,6 @@ def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.missing_scorecards(flagged, _table(spark, sf_dir, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("match_id")))
 
 
-def _career_by_class(b: DataFrame) -> DataFrame:
-    return performances.career_by_class(performances.batting_performances(b), performances.bowling_performances(b))
-
-
 def _named_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = scorecards.player_innings(adapter.deliveries(spark, sf_dir))
     stats, known = careers.careers_of(lines), careers.players_of(lines, adapter.players(spark, sf_dir))
@@ -425,7 +421,7 @@ def queries() -> dict[str, Query]:
         "innings_slice": _balls(lambda b: lists.innings_slice(scorecards.batting_card(b), 2)),
         "batting_performances": _balls(performances.batting_performances),
         "bowling_performances": _balls(performances.bowling_performances),
-        "career_by_class": _balls(_career_by_class),
+        "career_by_class": _balls(performances.career_by_class),
         "career_batting_fold": _balls(lambda b: performances.batting_fold(performances.batting_performances(b), "player_id")),
         "career_bowling_fold": _balls(lambda b: performances.bowling_fold(performances.bowling_performances(b), "player_id")),
         "recent_form": _balls(lambda b: performances.recent_form(performances.batting_performances(b)).select("player_id", "place", "match_id", "innings_no", "runs")),
