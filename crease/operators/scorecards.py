@@ -65,38 +65,63 @@ def player_innings(balls: DataFrame) -> DataFrame:
     partly summed rows only. Cards, careers and coverage are all taken from this table. `bat_first` and `bowl_first`
     are the first ball at either end and as bowler; `was_out` and `dismissal` tell of the first dismissal.
     """
-    role = lambda n, who, name: F.struct(F.lit(n).alias("role"), F.col(who).alias("player_id"), name.alias("name"))
+    role = lambda n, who, name=None, kind=None: F.struct(
+        F.lit(n).alias("role"), F.col(who).alias("player_id"), (name if name is not None else F.lit(None).cast("string")).alias("name"),
+        (kind if kind is not None else F.lit(None).cast("string")).alias("kind"),
+    )
     roles = F.array(
         role(0, "batter_id", F.col("batter_name")),
         role(1, "non_striker_id", F.col("non_striker_name")),
-        role(2, "player_out_id", F.lit(None).cast("string")),
-        role(3, "bowler_id", F.col("bowler_name")),
+        role(2, "player_out_id", kind=F.col("dismissal_kind")),
+        role(3, "bowler_id"),
     )
+    match = ["match_class", "gender", "match_date"]
     rows = balls.select(
-        *INNINGS,
-        *["match_class", "gender", "match_date", "over_no", "ball_in_over", "runs_batter", "runs_extras", "extra_type", "dismissal_kind"],
-        F.inline(roles),
+        *INNINGS, *match, "over_no", "ball_in_over", "runs_batter", "runs_extras", "extra_type", "dismissal_kind", F.inline(roles)
     ).filter("player_id is not null")
     is_role = lambda *n: F.col("role").isin(*n)
-    strikes, bowls = is_role(0), is_role(3)
+    strikes, leaves, bowls = is_role(0), is_role(2), is_role(3)
     only = lambda when, x: F.when(when, x)
-    ball = F.struct("over_no", "ball_in_over")
-    return rows.groupBy(*INNINGS, "player_id").agg(
-        *[F.min(c).alias(c) for c in ("match_class", "gender", "match_date")],
-        F.min(only(is_role(0, 1), F.col("name"))).alias("bat_name"),
-        F.min(only(is_role(0, 1), F.struct("over_no", "ball_in_over", "role"))).alias("bat_first"),
+    # a ball's place as one number, and texts as keys: so the many rows of balls are summed by hash, without a sort
+    ball = F.col("over_no").cast("long") * 2**20 + F.col("ball_in_over") * 4
+    parts = rows.groupBy(*INNINGS, "player_id", *match, "name", "kind").agg(
+        F.min(only(is_role(0, 1), ball + F.col("role"))).alias("bat_at"),
         count_if(strikes).alias("strikes"),
         F.sum(only(strikes, F.col("runs_batter"))).alias("runs"),
         count_if(strikes & rules.is_faced(F.col("extra_type"))).alias("balls"),
         count_if(strikes & (F.col("runs_batter") == 4)).alias("fours"),
         count_if(strikes & (F.col("runs_batter") == 6)).alias("sixes"),
-        (count_if(is_role(2)) > 0).alias("was_out"),
-        F.min_by(only(is_role(2), F.col("dismissal_kind")), only(is_role(2), ball)).alias("dismissal"),
-        F.min(only(bowls, ball)).alias("bowl_first"),
+        F.min(only(leaves, ball)).alias("out_at"),
+        F.min(only(bowls, ball)).alias("bowl_at"),
         count_if(bowls & rules.is_legal(F.col("extra_type"))).alias("bowl_balls"),
         F.sum(only(bowls, rules.charged_runs(F.col("runs_batter"), F.col("extra_type"), F.col("runs_extras")))).alias("conceded"),
         count_if(bowls & rules.bowler_wicket(F.col("dismissal_kind"))).alias("wickets"),
     )
+    lines = parts.groupBy(*INNINGS, "player_id").agg(
+        *[F.min(c).alias(c) for c in match],
+        F.min("name").alias("bat_name"),
+        F.min("bat_at").alias("bat_at"),
+        *[F.sum(c).alias(c) for c in ("strikes", "runs", "balls", "fours", "sixes")],
+        F.min_by("kind", "out_at").alias("dismissal"),
+        F.min("out_at").alias("out_at"),
+        F.min("bowl_at").alias("bowl_at"),
+        *[F.sum(c).alias(c) for c in ("bowl_balls", "conceded", "wickets")],
+    )
+    over = lambda at: F.shiftright(at, 20).cast("int").alias("over_no")
+    in_over = lambda at: F.shiftright(at.bitwiseAND(2**20 - 1), 2).cast("int").alias("ball_in_over")
+    bat, bowl = F.col("bat_at"), F.col("bowl_at")
+    return lines.select(
+        *INNINGS,
+        "player_id",
+        *match,
+        "bat_name",
+        F.when(bat.isNotNull(), F.struct(over(bat), in_over(bat), bat.bitwiseAND(3).cast("int").alias("role"))).alias("bat_first"),
+        *["strikes", "runs", "balls", "fours", "sixes"],
+        F.col("out_at").isNotNull().alias("was_out"),
+        "dismissal",
+        F.when(bowl.isNotNull(), F.struct(over(bowl), in_over(bowl))).alias("bowl_first"),
+        *["bowl_balls", "conceded", "wickets"],
+    )
 
 
 def dismissals(balls: DataFrame) -> DataFrame:
