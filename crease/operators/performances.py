@@ -145,19 +145,29 @@ def career_by_class(balls: DataFrame) -> DataFrame:
     bats, leaves, bowls = (F.col("role") == n for n in range(3))
     charged = rules.charged_runs(F.col("runs_batter"), F.col("extra_type"), F.col("runs_extras"))
     zero = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    lines = rows.groupBy(*INNINGS, "player_id").agg(
-        F.coalesce(F.min("match_class"), F.lit("OTHER")).alias("match_class"),
-        (count_if(bats | leaves) > 0).alias("batted"),
+    # texts as keys and a ball's place as one number: the rows of balls are summed by hash, without a sort
+    how = F.when(leaves, rules.dismissal_token(F.col("dismissal_kind")))
+    place = F.col("over_no").cast("long") * 2**20 + F.col("ball_in_over")
+    pieces = rows.withColumn("how", how).groupBy(*INNINGS, "player_id", "match_class", "how").agg(
+        count_if(bats | leaves).alias("batted"),
         zero(F.sum(F.when(bats, F.col("runs_batter")))).alias("runs"),
         count_if(bats & rules.is_faced(F.col("extra_type"))).alias("balls"),
         count_if(bats & (F.col("runs_batter") == 4)).alias("fours"),
         count_if(bats & (F.col("runs_batter") == 6)).alias("sixes"),
-        F.max_by(F.when(leaves, rules.dismissal_token(F.col("dismissal_kind"))), F.when(leaves, F.struct("over_no", "ball_in_over"))).alias("how"),
-        (count_if(bowls) > 0).alias("bowled"),
+        F.max(F.when(leaves, place)).alias("left_at"),
+        count_if(bowls).alias("bowled"),
         count_if(bowls & rules.is_legal(F.col("extra_type"))).alias("legal"),
         zero(F.sum(F.when(bowls, charged))).alias("conceded"),
         count_if(bowls & F.col("is_wicket") & rules.bowler_wicket(F.col("dismissal_kind"))).alias("taken"),
     )
+    lines = pieces.groupBy(*INNINGS, "player_id").agg(
+        F.coalesce(F.min("match_class"), F.lit("OTHER")).alias("match_class"),
+        (F.sum("batted") > 0).alias("batted"),
+        *[F.sum(c).alias(c) for c in ("runs", "balls", "fours", "sixes")],
+        F.max_by("how", "left_at").alias("how"),
+        (F.sum("bowled") > 0).alias("bowled"),
+        *[F.sum(c).alias(c) for c in ("legal", "conceded", "taken")],
+    )
     key = ["player_id", "match_class"]
     batted, bowled = F.col("batted"), F.col("bowled")
     left, runs = F.coalesce("how", F.lit("NOT_OUT")) != "NOT_OUT", F.col("runs")
