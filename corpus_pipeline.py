@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm.common import materialize, read_table
+from crease.llm.common import discard, materialize, read_table
 from crease.llm.neardup import drop_near_duplicates
 from crease.llm.packing import pack
 from crease.llm.pii import mask_pii
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to the table documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir))
+        if before is not None:  # the stage has read all of it
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
