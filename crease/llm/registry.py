@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crease.llm import katz, licenses, neardup, packing, pii, prefixtrie, quality, sentencepieces, tokencount, topk, urlfilter, variants, vecdup
+from crease.llm import katz, licenses, neardup, oracles, packing, pii, prefixtrie, quality, sentencepieces, tokencount, topk, urlfilter, variants, vecdup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -28,4 +28,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": urlfilter.OP6_SQL, "op13_prefix_trie": prefixtrie.OP13_SQL}
+    return {
+        "op1_top_k": oracles.OP1_SQL,
+        "op6_url_filter": urlfilter.OP6_SQL,
+        "op12_spelling_variants": variants.OP12_SQL,
+        "op13_prefix_trie": prefixtrie.OP13_SQL,
+    }

@@ -164,3 +164,30 @@ def spelling_variants(words: DataFrame, ratio: float = RATIO) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = word_counts(read_table(spark, sf_dir, "documents"), damaged=True)
     return spelling_variants(counts.filter(F.col("n") >= LEAST))
+
+
+#: op12's result for DuckDB; the crc32 goes bit by bit over the bytes of a text.
+OP12_SQL = f"""
+WITH RECURSIVE low AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS k, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+runs AS (SELECT k, run, count(*) AS c FROM (SELECT k, unnest(regexp_extract_all(t, '[a-zÀ-ÿ]{{{SHORTEST},}}')) AS run FROM low) GROUP BY ALL),
+coded AS (SELECT run, c, hex(encode(k || ':' || run)) AS x FROM runs),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(x), 2), lambda i: CAST('0x' || substr(x, i, 2) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda y, i: xor(y >> 1, 3988292384 * (y & 1))))) AS h FROM coded),
+damaged AS (SELECT c, CASE WHEN h % {DAMAGED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed),
+counts AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM damaged WHERE length(word) >= {SHORTEST} GROUP BY word HAVING sum(c) >= {LEAST}),
+holes AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS hole FROM (SELECT word, n, unnest(range(length(word))) AS i FROM counts)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.hole = b.hole AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM counts a JOIN holes b ON b.hole = a.word
+  UNION SELECT b.word, a.word, a.n FROM counts a JOIN holes b ON b.hole = a.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+first AS (SELECT b.word, n_near, b.m, min(other) AS other FROM best b JOIN near x ON x.word = b.word AND x.m = b.m GROUP BY ALL),
+judged AS (
+  SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {RATIO} * n THEN other END AS form, CASE WHEN m >= {RATIO} * n THEN m END AS form_n
+  FROM counts c LEFT JOIN first f ON f.word = c.word),
+ways(word, root) AS (SELECT word, word FROM judged UNION ALL SELECT w.word, j.form FROM ways w JOIN judged j ON j.word = w.root WHERE j.form IS NOT NULL),
+ends AS (SELECT w.word, w.root FROM ways w JOIN judged j ON j.word = w.root WHERE j.form IS NULL)
+SELECT j.word, form, root, n, n_near, form_n FROM judged j JOIN ends e ON e.word = j.word
+"""

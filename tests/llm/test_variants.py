@@ -5,6 +5,7 @@ from collections import Counter
 from zlib import crc32
 
 import pytest
+from helpers import duck
 from llm_helpers import edge_docs, no_docs, sample_docs
 
 from crease.llm import variants
@@ -67,6 +68,7 @@ def test_documents(spark):
         counts = {w: n for w, n in plain_counts((r.doc_id, r.text) for r in sample_docs(spark, sf_dir).collect()).items() if n >= 3}
         expected = plain(counts)
         assert found(variants.op12_spelling_variants(spark, sf_dir)) == expected
+        assert sorted(duck(sf_dir).sql(variants.OP12_SQL).fetchall(), key=str) == expected
         assert sum(r[4] for r in expected) > 100 and any(r[2] not in (r[0], r[1]) for r in expected)
 
 
