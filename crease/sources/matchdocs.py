@@ -235,6 +235,6 @@ def feeds(spark: SparkSession, known: list[tuple[str, str, str]], keys: list[str
     """Archive of each feed key: the known (key, file, label), else a name made from the key."""
     table = spark.createDataFrame(known, "feed string, file string, label string")
     asked = spark.createDataFrame([(k,) for k in keys], "feed string")
-    return asked.join(F.broadcast(table), "feed", "left").select(
+    return asked.join(table, "feed", "left").select(
         "feed", F.coalesce("file", F.concat("feed", F.lit("_json.zip"))).alias("file"), F.coalesce("label", "feed").alias("label")
     )
