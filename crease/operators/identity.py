@@ -85,13 +85,12 @@ def team_counts(matches: DataFrame) -> DataFrame:
     return side("team_home").unionByName(side("team_away")).groupBy("team").agg(F.count("*").alias("matches"))
 
 
-def fresh_snapshots(snapshots: DataFrame, now: Column, max_age_seconds: int) -> DataFrame:
-    """The newest payload of each page, if young enough."""
-    newest = snapshots.groupBy("page_type", F.sha1("url").alias("key")).agg(
-        F.max(F.struct("fetched_at", "payload")).alias("row")
-    )
-    age = now.cast("timestamp").cast("long") - F.col("row.fetched_at").cast("timestamp").cast("long")
-    return newest.filter(age <= max_age_seconds).select("page_type", "key", "row.*")
+def fresh_snapshots(snapshots: DataFrame, now: Column, max_age_seconds: int, number: str | None = None) -> DataFrame:
+    """The newest payload of each page, if young enough; of several of one moment that of the least `number`, a numeric column, where given."""
+    before = [] if number is None else [(-F.col(number)).alias("before")]
+    newest = snapshots.groupBy("page_type", F.sha1("url").alias("key")).agg(F.max(F.struct("fetched_at", *before, "payload")).alias("row"))
+    age = now.cast("timestamp").cast("double") - F.col("row.fetched_at").cast("timestamp").cast("double")
+    return newest.filter(age <= max_age_seconds).select("page_type", "key", "row.fetched_at", "row.payload")
 
 
 def crawl_frontier(jobs: DataFrame, seen: DataFrame) -> DataFrame:
