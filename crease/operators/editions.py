@@ -256,6 +256,11 @@ def newest_first() -> list[Column]:
     return [F.desc_nulls_first("match_date"), F.asc("match_id")]
 
 
+def oldest_first() -> list[Column]:
+    """newest_first() from its end."""
+    return [F.asc_nulls_last("match_date"), F.desc("match_id")]
+
+
 def format_leaders(careers: DataFrame, measure: str, k: int = 10) -> DataFrame:
     """The k best players of each class by a career sum."""
     place = F.row_number().over(W.partitionBy("match_class").orderBy(F.desc(measure), "player_id"))

@@ -52,3 +52,13 @@ def paged(rows: DataFrame, order: list[Column], page: int, size: int) -> DataFra
     place, count = F.row_number().over(W.orderBy(*order)), F.count("*").over(W.partitionBy(F.lit(0)))
     numbered = top.withColumns({"place_": place, "count_": count})
     return numbered.filter(F.col("place_") > (F.ceil(F.col("count_") / size) - 1) * size).orderBy("place_").drop("place_", "count_")
+
+
+def last_page(rows: DataFrame, order: list[Column], reverse: list[Column], size: int) -> DataFrame:
+    """The last page of a total order, however many there are; reverse: the same order from its end.
+
+    The rows are counted, and those of the page are found by a bounded top-k from the end.
+    """
+    on_it = F.coalesce((rows.agg(F.count("*").alias("n_")).scalar() - 1) % size + 1, F.lit(0))
+    top = rows.orderBy(*reverse).limit(size).withColumn("back_", F.row_number().over(W.orderBy(*reverse)))
+    return top.filter(F.col("back_") <= on_it).orderBy(*order).drop("back_")

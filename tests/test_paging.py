@@ -1,8 +1,10 @@
 """Places and pages over ranges of tasks, against plain sorting; the contract table against its rules."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from crease import oracles, registry
 from crease.operators import paging
 from crease.sources import made, shape
 
@@ -75,3 +77,20 @@ def test_rules_of_bare_documents(spark):
         "m": ["info: missing", "innings: missing"],
         "": ["match_id: blank", "info.teams[]: missing", "info.toss.decision: not one of bat,field"],
     }
+
+
+@pytest.mark.parametrize("n", [0, 1, 29, 30, 31, 990, 1000])
+def test_last_page(spark, rows, n):
+    some = rows.filter(F.col("id") < n)
+    expected = plain(some)[(n - 1) // 30 * 30 :] if n else []
+    assert [tuple(r) for r in paging.last_page(some, order(), [F.asc("x"), F.desc("id")], 30).collect()] == expected
+
+
+def test_team_matches_of_more_pages(spark, tmp_path):
+    """A team with more than 99 pages of matches: the last one comes, as in the SQL."""
+    duckdb.sql(f"COPY (SELECT i * 10 AS l_partkey FROM range(6000) t(i)) TO '{tmp_path}/lineitem.parquet'")
+    got = registry.queries()["team_matches_page"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW l AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    con.sql("CREATE VIEW lineitem AS SELECT *, 1 AS l_orderkey, 1 AS l_linenumber, 1 AS l_suppkey, 1.0 AS l_quantity, 1.0 AS l_extendedprice, 'R' AS l_returnflag, NULL AS l_shipdate FROM l")
+    assert [tuple(r) for r in got] == con.sql(oracles.SQL["team_matches_page"] + " ORDER BY rn").fetchall() and got
