@@ -71,9 +71,13 @@ def text_or_null(x: Column) -> Column:
     return F.nullif(F.trim(x.cast("string")), F.lit(""))
 
 
+def finite(value: Column) -> Column:
+    """A double, null for what is no finite number; NaN is greater than infinity."""
+    return F.when(F.abs(value) < float("inf"), value)
+
+
 def number_or_null(x: Column) -> Column:
-    value = text_or_null(x).try_cast("double")
-    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return finite(x.cast("string").try_cast("double"))
 
 
 def match_class(match_type: Column, team_type: Column) -> Column:

@@ -105,25 +105,31 @@ def fixture_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scorecard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scorecard pages from lineitem: an order is a match, its lines are batting and bowling lines in two shapes."""
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
-    who = F.struct(F.col("l_partkey").alias("objectId"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("name"))
-    odd = F.col("l_orderkey") % 2 == 1
-    bat = F.struct(
-        n.alias("n"),
-        F.when(odd, who).alias("player"),
-        F.when(~odd, who).alias("batsman"),
-        F.when(n != 3, q).alias("runs"),
-        (q + 1).alias("balls"),
-        F.when(n % 2 == 0, q % 4).alias("fours"),
-        F.when(odd, (n % 2 == 0)).alias("isOut"),
-        F.when(n % 2 == 0, F.struct(F.lit("c X b Y").alias("long"))).alias("dismissalText"),
-    )
-    bowl = F.struct(n.alias("n"), F.when(odd, who).alias("player"), F.when(~odd, who).alias("bowler"), F.when(odd, q).alias("conceded"), (q + 2).alias("runs"), (n % 3).alias("wickets"), F.concat(n.cast("string"), F.lit(".0")).alias("overs"))
     # lines in order; those of one number by their other columns
-    line = F.struct(n, F.col("l_partkey"), F.col("l_quantity"), F.col("l_suppkey"), F.col("l_extendedprice"), bat.alias("bat"), bowl.alias("bowl"))
-    lists = i.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("all"))
-    lists = lists.select("l_orderkey", *[F.col(f"all.{kind}").alias(kind) for kind in ("bat", "bowl")])
+    order = ["l_linenumber", "l_partkey", "l_quantity", "l_suppkey", "l_extendedprice"]
+    lists = i.select("l_orderkey", *order).repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
     odd = F.col("l_orderkey") % 2 == 1
+    quantity = lambda x: x["l_quantity"].cast("int")
+    who = lambda x: F.struct(x["l_partkey"].alias("objectId"), F.concat(F.lit("P"), x["l_partkey"].cast("string")).alias("name"))
+
+    def bat(x: F.Column) -> F.Column:
+        n, q = x["l_linenumber"], quantity(x)
+        return F.struct(
+            n.alias("n"),
+            F.when(odd, who(x)).alias("player"),
+            F.when(~odd, who(x)).alias("batsman"),
+            F.when(n != 3, q).alias("runs"),
+            (q + 1).alias("balls"),
+            F.when(n % 2 == 0, q % 4).alias("fours"),
+            F.when(odd, (n % 2 == 0)).alias("isOut"),
+            F.when(n % 2 == 0, F.struct(F.lit("c X b Y").alias("long"))).alias("dismissalText"),
+        )
+
+    def bowl(x: F.Column) -> F.Column:
+        n, q = x["l_linenumber"], quantity(x)
+        return F.struct(n.alias("n"), F.when(odd, who(x)).alias("player"), F.when(~odd, who(x)).alias("bowler"), F.when(odd, q).alias("conceded"), (q + 2).alias("runs"), (n % 3).alias("wickets"), F.concat(n.cast("string"), F.lit(".0")).alias("overs"))
+
+    lists = lists.select("l_orderkey", F.transform("all", bat).alias("bat"), F.transform("all", bowl).alias("bowl"))
     innings = F.array(F.struct(F.when(odd, 7).alias("inningNumber"), F.lit(100).alias("runs"), F.when(odd, F.col("bat")).alias("inningBatsmen"), F.when(~odd, F.col("bat")).alias("batting"), F.when(odd, F.col("bowl")).alias("inningBowlers"), F.when(~odd, F.col("bowl")).alias("bowlers")))
     data = F.when(odd, F.to_json(F.struct(F.struct(F.struct(F.struct(innings.alias("innings")).alias("scorecard")).alias("content")).alias("props")))).otherwise(
         F.to_json(F.struct(F.struct(F.struct(innings.alias("innings")).alias("content")).alias("props")))

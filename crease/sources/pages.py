@@ -93,11 +93,13 @@ BOWLING_PATHS = ["$.inningBowlers", "$.bowlers", "$.bowling"]
 
 
 def _innings(pages: DataFrame, base: str) -> DataFrame:
-    """A row for each innings of scorecard pages, parsed, with its number: the one given, else its place."""
-    given = first_list(F.try_parse_json("data"), [f"$.{base}.{p}" if base else f"$.{p}" for p in INNINGS_PATHS])
-    rows = pages.select("page_id", F.posexplode(given).alias("i", "innings"))
+    """A row for each innings of scorecard pages, parsed once, with its number: the one given, else its place."""
+    parsed = pages.select("page_id", F.try_parse_json("data").alias("page"))
+    given = first_list(F.col("page"), [f"$.{base}.{p}" if base else f"$.{p}" for p in INNINGS_PATHS])
+    rows = parsed.select("page_id", F.posexplode(given).alias("i", "innings"))
     number = first_value(F.col("innings"), ["$.inningNumber", "$.inningsNumber"])
-    return rows.select("page_id", F.coalesce(rules.number_or_null(number).cast("int"), F.col("i") + 1).alias("innings_no"), "innings")
+    rows = rows.select("page_id", "i", "innings", number.alias("number"))
+    return rows.select("page_id", F.coalesce(rules.number_or_null(F.col("number")).cast("int"), F.col("i") + 1).alias("innings_no"), "innings")
 
 
 def page_innings(pages: DataFrame, base: str) -> DataFrame:
@@ -112,49 +114,80 @@ def page_innings(pages: DataFrame, base: str) -> DataFrame:
     )
 
 
-def _lines(pages: DataFrame, base: str, paths: list[str], place: str) -> DataFrame:
+def _lines(pages: DataFrame, base: str, paths: list[str], place: str, words: dict[str, list[str]], numbers: dict[str, list[str]], *flags: str) -> DataFrame:
+    """A row for each line with its words and numbers, each the first of its paths that is there, and its flags.
+
+    Fields are looked up once, before rules ask for them several times; a loop over the lines of more code than the
+    JVM compiles (8000 bytes) runs many times slower.
+    """
     rows = _innings(pages, base).select("page_id", "innings_no", F.posexplode(first_list(F.col("innings"), paths)).alias("p", "line"))
-    return rows.withColumn(place, F.col("p") + 1)
+    first = lambda where: first_value(F.col("line"), [f"$.{p}" for p in where])
+    found = rows.select(
+        "page_id",
+        "innings_no",
+        (F.col("p") + 1).alias(place),
+        *[F.trim(first(where)).alias(name) for name, where in words.items()],
+        *[first(where).try_cast("double").alias(name) for name, where in numbers.items()],
+        *[parsed_boolean(F.col("line"), f"$.{flag}").alias(flag) for flag in flags],
+    )
+    return found.select(
+        "page_id", "innings_no", place, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in words], *[rules.finite(F.col(c)).alias(c) for c in numbers], *flags
+    )
 
 
 def batting_lines(pages: DataFrame, base: str) -> DataFrame:
     """Batting lines of scorecard pages; runs and balls are 0 where they are missing."""
-    pick = lambda *paths: first_value(F.col("line"), [f"$.{p}" for p in paths])
-    number = lambda *paths: rules.number_or_null(pick(*paths))
-    out = parsed_boolean(F.col("line"), "$.isOut")
-    said = rules.text_or_null(pick("dismissalText.long", "dismissalText.short", "dismissalText.commentary", "dismissalText"))
-    return _lines(pages, base, BATTING_PATHS, "batting_pos").select(
+    words = {
+        "name": ["player.longName", "player.name", "batsman.longName", "batsman.name"],
+        "said": ["dismissalText.long", "dismissalText.short", "dismissalText.commentary", "dismissalText"],
+    }
+    numbers = {
+        "source_id": ["player.objectId", "batsman.objectId"],
+        "runs": ["runs"],
+        "balls": ["balls", "ballsFaced"],
+        "fours": ["fours"],
+        "sixes": ["sixes"],
+        "strike_rate": ["strikerate", "strikeRate"],
+    }
+    return _lines(pages, base, BATTING_PATHS, "batting_pos", words, numbers, "isOut").select(
         "page_id",
         "innings_no",
         "batting_pos",
-        number("player.objectId", "batsman.objectId").cast("long").alias("source_id"),
-        rules.text_or_null(pick("player.longName", "player.name", "batsman.longName", "batsman.name")).alias("name"),
-        F.coalesce(number("runs"), F.lit(0)).cast("int").alias("runs"),
-        F.coalesce(number("balls", "ballsFaced"), F.lit(0)).cast("int").alias("balls"),
-        number("fours").cast("int").alias("fours"),
-        number("sixes").cast("int").alias("sixes"),
-        number("strikerate", "strikeRate").alias("strike_rate"),
-        out.alias("out"),
-        rules.dismissal_text(said, out).alias("dismissal"),
+        F.col("source_id").cast("long").alias("source_id"),
+        "name",
+        F.coalesce("runs", F.lit(0)).cast("int").alias("runs"),
+        F.coalesce("balls", F.lit(0)).cast("int").alias("balls"),
+        F.col("fours").cast("int").alias("fours"),
+        F.col("sixes").cast("int").alias("sixes"),
+        "strike_rate",
+        F.col("isOut").alias("out"),
+        rules.dismissal_text(F.col("said"), F.col("isOut")).alias("dismissal"),
     )
 
 
 def bowling_lines(pages: DataFrame, base: str) -> DataFrame:
     """Bowling lines of scorecard pages; wickets and runs are 0 where they are missing."""
-    pick = lambda *paths: first_value(F.col("line"), [f"$.{p}" for p in paths])
-    number = lambda *paths: rules.number_or_null(pick(*paths))
-    return _lines(pages, base, BOWLING_PATHS, "bowling_pos").select(
+    words = {"name": ["player.longName", "player.name", "bowler.longName", "bowler.name"], "overs": ["overs"]}
+    numbers = {
+        "source_id": ["player.objectId", "bowler.objectId"],
+        "wickets": ["wickets"],
+        "runs": ["conceded", "runs"],
+        "balls": ["balls"],
+        "maidens": ["maidens"],
+        "economy": ["economy"],
+    }
+    return _lines(pages, base, BOWLING_PATHS, "bowling_pos", words, numbers).select(
         "page_id",
         "innings_no",
         "bowling_pos",
-        number("player.objectId", "bowler.objectId").cast("long").alias("source_id"),
-        rules.text_or_null(pick("player.longName", "player.name", "bowler.longName", "bowler.name")).alias("name"),
-        F.coalesce(number("wickets"), F.lit(0)).cast("int").alias("wickets"),
-        F.coalesce(number("conceded", "runs"), F.lit(0)).cast("int").alias("runs"),
-        rules.text_or_null(pick("overs")).alias("overs"),
-        number("balls").cast("int").alias("balls"),
-        number("maidens").cast("int").alias("maidens"),
-        number("economy").alias("economy"),
+        F.col("source_id").cast("long").alias("source_id"),
+        "name",
+        F.coalesce("wickets", F.lit(0)).cast("int").alias("wickets"),
+        F.coalesce("runs", F.lit(0)).cast("int").alias("runs"),
+        "overs",
+        F.col("balls").cast("int").alias("balls"),
+        F.col("maidens").cast("int").alias("maidens"),
+        "economy",
     )
 
 
