@@ -252,28 +252,35 @@ def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
 
 
-def encoded(x: np.ndarray, hot: Frequent) -> bytes:
-    """Hashes of words: places of the frequent ones in their list, of the others behind it in a list of their own."""
+def encoded(x: np.ndarray, hot: Frequent, told: bool = False) -> bytes:
+    """Hashes of words: places of the frequent ones in their list, of the others behind it in a list of their own; told: who reads it has that list."""
     at, known = find(hot.words, x)
     own = np.unique(x[~known])
     codes = np.where(known, at, len(hot.words) + np.searchsorted(own, x))
-    own = pack(own, True)
+    own = b"" if told else pack(own, True)
     return len(own).to_bytes(8, "little") + own + pack(codes)
 
 
-def decoded(data: bytes, hot: Frequent) -> np.ndarray:
+def decoded(data: bytes, hot: Frequent, own: np.ndarray | None = None) -> np.ndarray:
+    """The hashes of encoded(); own: the list of others where it has been told."""
     size = int.from_bytes(data[:8], "little")
-    return np.concatenate([hot.words, unpack(data[8 : 8 + size], True)])[unpack(data[8 + size :])]
+    own = unpack(data[8 : 8 + size], True) if own is None else own
+    return np.concatenate([hot.words, own])[unpack(data[8 + size :])]
 
 
-def pairs_in(row: dict, hot: Frequent) -> tuple[np.ndarray, np.ndarray]:
+def pairs_in(row: dict, hot: Frequent, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of a row as hashes w and v; they stand together by w."""
-    return np.repeat(decoded(row["a"], hot), unpack(row["m"])), decoded(row["b"], hot)
+    return np.repeat(decoded(row["a"], hot, own), unpack(row["m"])), decoded(row["b"], hot)
 
 
-def pairs_out(w: np.ndarray, v: np.ndarray, hot: Frequent) -> dict:
+def pairs_out(w: np.ndarray, v: np.ndarray, hot: Frequent, told: bool = False) -> dict:
     at = runs(w)
-    return {"a": encoded(w[at[:-1]], hot), "m": pack(np.diff(at)), "b": encoded(v, hot)}
+    return {"a": encoded(w[at[:-1]], hot, told), "m": pack(np.diff(at)), "b": encoded(v, hot)}
+
+
+def words_of_part(words: np.ndarray, part: int, buckets: int) -> np.ndarray:
+    """Of a slice's rare words in a partition those whose pairs are in this part: every word is the second of some pair."""
+    return np.unique(words[bucket_of(words // np.uint64(buckets), PARTS) == part])
 
 
 def counts_of_counts(n: np.ndarray) -> list[int]:
@@ -440,7 +447,7 @@ def counted(docs: DataFrame, words: DataFrame, hot: Frequent, unigrams: Unigrams
         home = pair_buckets(t.hashes[w], t.hashes[v], is_hot[w], buckets)
         w, v = t.hashes[w], t.hashes[v]
         for i, row in asked(PAIRS, number, home, place[~here], text[~here], n[~here]):
-            yield row | {"learned": pack(learned[i])} | pairs_out(w[i], v[i], hot)
+            yield row | {"learned": pack(learned[i])} | pairs_out(w[i], v[i], hot, told=True)
         own = {"ids": rows["id"].to_pylist(), "held": pack(~learn), "tokens": pack(np.bincount(t.doc, minlength=texts)), "sums": floats(sums)}
         yield {"bucket": number % buckets, "kind": DOCUMENTS, "slice": number} | own
 
@@ -449,26 +456,27 @@ def counted(docs: DataFrame, words: DataFrame, hot: Frequent, unigrams: Unigrams
         mine = Frequent(unpack(own["words"][0].as_py(), True), counts_in(own["word_n"][0].as_py())) if own.num_rows else NONE
         out = rows.filter(pc.equal(rows["kind"], DOCUMENTS)).to_pylist()
         found: dict[int, np.ndarray] = {}
-        words = rows.filter(pc.equal(rows["kind"], WORDS))
+        words, told = rows.filter(pc.equal(rows["kind"], WORDS)), {}
         for i in range(words.num_rows):
             r = words.slice(i, 1).to_pylist()[0]
             k, doc, n = unpack(r["k"]), unpack(r["doc"]), unpack(r["n"])
             sums = room(found, r["slice"], doc)
-            for c, value in enumerate(word_sums(counts_of(unpack(r["words"], True), mine), np.True_)):
+            told[r["slice"]] = unpack(r["words"], True)
+            for c, value in enumerate(word_sums(counts_of(told[r["slice"]], mine), np.True_)):
                 sums[c] += np.bincount(doc, np.repeat(value, k) * n, sums.shape[1])
         unseen = []
         for part in range(PARTS):
             pairs = rows.filter(pc.and_(pc.equal(rows["kind"], PAIRS), pc.equal(rows["part"], part))).to_pylist()
             if pairs or not part:
-                out.append(model_part(pairs, part, bucket, mine, found, unseen))
+                out.append(model_part(pairs, part, bucket, mine, told, found, unseen))
         out += [sums_row(number, sums) for number, sums in found.items()]
         if unseen:
             out += unseen_rows(*(np.concatenate(x) for x in zip(*unseen, strict=True)), hot, buckets)
         return table_of(out)
 
-    def model_part(pairs: list[dict], part: int, bucket: int, mine: Frequent, found: dict[int, np.ndarray], unseen: list) -> dict:
-        """The model's row of these pairs; their texts' sums go to found, the histories of unseen ones to unseen."""
-        both = [pairs_in(r, hot) for r in pairs]
+    def model_part(pairs: list[dict], part: int, bucket: int, mine: Frequent, told: dict[int, np.ndarray], found: dict[int, np.ndarray], unseen: list) -> dict:
+        """The model's row of these pairs; their texts' sums go to found, the histories of unseen ones to unseen. told: each slice's rare words."""
+        both = [pairs_in(r, hot, words_of_part(told.get(r["slice"], NONE.words), part, buckets)) for r in pairs]
         given_v = joined([v for _, v in both], np.uint64)
         learned = joined([unpack(r["learned"]) for r in pairs], np.int64)
         w, v, n, place = merge_pairs(joined([w for w, _ in both], np.uint64), given_v, learned)
@@ -623,6 +631,7 @@ def katz_scores(docs: DataFrame, learn: Column, key: str = "doc_id", text: str =
     least = max(tokens / HOT_WORDS, 1)
     hot = Frequent(*frequent_words(words, least))
     hot = hot._replace(pairs=tuple(frequent_pairs(rows, hot, max(tokens / HOT_PAIRS, 1), buckets)))
+    let_go(docs.sparkSession)  # the shuffles of both counts, before the largest one
     found = materialize(counted(rows, words, hot, unigrams, buckets))
     discard(words)
     let_go(docs.sparkSession)

@@ -155,3 +155,19 @@ def test_tokens_equal_a_plain_split():
     assert found == [tokens(x) for x in odd]
     firsts = np.flatnonzero(np.diff(t.doc, prepend=-1))
     assert (t.hashes[t.before[firsts]] == katz.BEGIN_HASH).all() and (np.delete(t.before, firsts) == np.delete(np.roll(t.words, 1), firsts)).all()
+
+
+def test_rare_words_are_sent_once():
+    """Pairs name the rare second words by their places in the list that the slice's words have sent to the partition."""
+    buckets, rng = 8, np.random.default_rng(1)
+    words = np.unique(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+    hot = katz.Frequent(words[::10], np.ones(len(words[::10]), np.int64))
+    rare = np.setdiff1d(words, hot.words)
+    w, v = np.concatenate([rare, hot.words]), np.concatenate([hot.words[: len(rare) % 7 + 1].repeat(len(words))[: len(rare)], hot.words])
+    home = katz.pair_buckets(w, v, katz.find(hot.words, w)[1], buckets)
+    for b, i in katz.by_bucket(home):
+        sent = rare[katz.bucket_of(rare, buckets) == b // katz.PARTS]
+        row = katz.pairs_out(w[i], v[i], hot, told=True)
+        back = katz.pairs_in(row, hot, katz.words_of_part(sent, b % katz.PARTS, buckets))
+        assert (back[0] == w[i]).all() and (back[1] == v[i]).all()
+        assert len(row["a"]) < len(katz.pairs_out(w[i], v[i], hot)["a"]) / 2
