@@ -26,14 +26,24 @@ def over_rollup(balls: DataFrame) -> DataFrame:
 
 
 def over_cumulative(balls: DataFrame) -> DataFrame:
+    return cumulated(over_rollup(balls))
+
+
+def cumulated(overs: DataFrame) -> DataFrame:
+    """over_cumulative() from over_rollup()."""
     so_far = W.partitionBy(*INNINGS).orderBy("over_no").rowsBetween(W.unboundedPreceding, 0)
-    return over_rollup(balls).withColumn("c", F.sum("r").over(so_far))
+    return overs.withColumn("c", F.sum("r").over(so_far))
 
 
 def overs_json(balls: DataFrame) -> DataFrame:
     """Each innings' overs as one JSON array in over order."""
+    return json_of_overs(over_rollup(balls))
+
+
+def json_of_overs(overs: DataFrame) -> DataFrame:
+    """overs_json() from over_rollup()."""
     point = F.struct(F.col("over_no").alias("o"), "r", "w", "f", "s", "c")
-    return over_cumulative(balls).groupBy(*INNINGS).agg(F.to_json(F.array_sort(F.collect_list(point))).alias("overs"))
+    return cumulated(overs).groupBy(*INNINGS).agg(F.to_json(F.array_sort(F.collect_list(point))).alias("overs"))
 
 
 def innings_totals(balls: DataFrame) -> DataFrame:
@@ -47,14 +57,24 @@ def innings_totals(balls: DataFrame) -> DataFrame:
 
 def innings_scores(balls: DataFrame) -> DataFrame:
     """Score text of each innings, like 18/2 (1.2)."""
+    return scores_of(innings_totals(balls))
+
+
+def scores_of(totals: DataFrame) -> DataFrame:
+    """innings_scores() from innings_totals()."""
     score = rules.score_text(F.col("runs"), F.col("wickets"), F.col("balls"))
-    return innings_totals(balls).select(*INNINGS, score.alias("score"))
+    return totals.select(*INNINGS, score.alias("score"))
 
 
 def match_summary(matches: DataFrame, balls: DataFrame) -> DataFrame:
     """Matches with the scores of their first two innings."""
+    return summary_of(matches, innings_totals(balls))
+
+
+def summary_of(matches: DataFrame, totals: DataFrame) -> DataFrame:
+    """match_summary() from innings_totals()."""
     pick = lambda n: F.max(F.when(F.col("innings_no") == n, F.col("score")))
-    scores = innings_scores(balls).groupBy("match_id").agg(pick(1).alias("inn1_score"), pick(2).alias("inn2_score"))
+    scores = scores_of(totals).groupBy("match_id").agg(pick(1).alias("inn1_score"), pick(2).alias("inn2_score"))
     return matches.join(scores, "match_id", "left")
 
 
@@ -186,9 +206,13 @@ def maiden_overs(balls: DataFrame, least_balls: int = 6) -> DataFrame:
 
 def bowling_card(balls: DataFrame, least_balls: int = 6, balls_per_over: int = 6) -> DataFrame:
     """Bowlers of an innings in order of their first ball; figures and maidens come from one rollup by over."""
+    return card_of_bowling(bowler_overs(balls), least_balls, balls_per_over)
+
+
+def card_of_bowling(overs: DataFrame, least_balls: int = 6, balls_per_over: int = 6) -> DataFrame:
+    """bowling_card() from bowler_overs()."""
     figures = (
-        bowler_overs(balls)
-        .groupBy(*INNINGS, "player_id")
+        overs.groupBy(*INNINGS, "player_id")
         .agg(
             F.min(F.struct("over_no", "first_ball")).alias("first"),
             F.min("name").alias("name"),
@@ -210,3 +234,48 @@ def bowling_card(balls: DataFrame, least_balls: int = 6, balls_per_over: int = 6
         "wickets",
         rules.ratio2(F.col("runs"), F.col("balls") / float(balls_per_over), F.col("balls") > 0).alias("economy"),
     )
+
+
+def over_parts(balls: DataFrame) -> DataFrame:
+    """The balls of each over summed by bowler: overs, innings and bowling cards can all be taken from this one pass.
+
+    Texts are keys, so that the many rows of balls are summed by hash, without a sort.
+    """
+    charged = rules.charged_runs(F.col("runs_batter"), F.col("extra_type"), F.col("runs_extras"))
+    return balls.groupBy(*INNINGS, "over_no", "batting_team", "bowler_id", "bowler_name").agg(
+        F.sum("runs_total").alias("r"),
+        count_if(F.col("is_wicket")).alias("w"),
+        count_if(F.col("runs_batter") == 4).alias("f"),
+        count_if(F.col("runs_batter") == 6).alias("s"),
+        count_if(rules.is_legal(F.col("extra_type"))).alias("legal"),
+        F.sum(charged).alias("charged"),
+        count_if(rules.bowler_wicket(F.col("dismissal_kind"))).alias("taken"),
+        F.min("ball_in_over").alias("first_ball"),
+    )
+
+
+def rollup_of(parts: DataFrame) -> DataFrame:
+    """over_rollup() from over_parts()."""
+    return parts.groupBy(*INNINGS, "over_no").agg(*[F.sum(c).alias(c) for c in ("r", "w", "f", "s")])
+
+
+def totals_of(parts: DataFrame) -> DataFrame:
+    """innings_totals() from over_parts()."""
+    return parts.groupBy(*INNINGS).agg(
+        F.min("batting_team").alias("batting_team"), F.sum("r").alias("runs"), F.sum("w").alias("wickets"), F.sum("legal").alias("balls")
+    )
+
+
+def bowler_overs_of(parts: DataFrame) -> DataFrame:
+    """bowler_overs() from over_parts()."""
+    return (
+        parts.filter("bowler_id is not null")
+        .groupBy(*INNINGS, F.col("bowler_id").alias("player_id"), "over_no")
+        .agg(
+            F.sum("charged").alias("r"),
+            F.sum("legal").alias("legal"),
+            F.sum("taken").alias("w"),
+            F.min("bowler_name").alias("name"),
+            F.min("first_ball").alias("first_ball"),
+        )
+    )

@@ -11,7 +11,7 @@ import uuid
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -134,23 +134,31 @@ class Change:
         """Replace these partitions (folders such as `part=3`), and those that rows has values of, by rows."""
         return self._write(table, rows, partitions if table in self.after else None)
 
-    def replace_groups(self, table: str, rows: DataFrame, key: list[str], keys: DataFrame | None = None, within: Column | None = None) -> dict:
+    def places(self, table: str, key: list[str], keys: DataFrame) -> list[Row]:
+        """The partitions of the table that have a group named by keys, each with its folder as `part_folder`."""
+        if table not in self.after:
+            return []
+        by = self.store.layout[table]
+        reads = self.store._read(table, self.after, with_part=True).select(*by, *key, "part_folder")
+        return reads.join(keys, key, "left_semi").groupBy(*by).agg(F.min("part_folder").alias("part_folder")).collect()
+
+    def replace_groups(
+        self, table: str, rows: DataFrame, key: list[str], keys: DataFrame | None = None, had: list[Row] | None = None, gets: DataFrame | None = None
+    ) -> dict:
         """Replace every group (such as a match) that `keys` names, by default those of `rows`, by its rows in `rows`, if it has any.
 
         Only partitions that have such groups, or get some, are written again. rows and keys are read several times, so
-        they are written tables. within: a condition on partition columns outside of which no named group stands; it
-        spares the look for them.
+        they are written tables. had: places() of a table partitioned alike, outside of which no named group stands; gets:
+        a table that has all partition values of rows. They spare the looks for both; with gets, rows are read once.
         """
         old = self.written(table)
         if old is None:
             return self._write(table, rows, None)
         by = self.store.layout[table]
         keys = (rows if keys is None else keys).select(*key).distinct()
-        reads = self.store._read(table, self.after, with_part=True)
-        reads = reads if within is None else reads.filter(within)
-        had = reads.select(*by, *key, "part_folder").join(keys, key, "left_semi").groupBy(*by).agg(F.min("part_folder").alias("part_folder")).collect()
-        gets = rows.select(*by).distinct().collect()
-        touched = {tuple(r[c] for c in by) for r in [*had, *gets]}
+        had = self.places(table, key, keys) if had is None else had
+        found = (rows if gets is None else gets).select(*by).distinct().collect()
+        touched = {tuple(r[c] for c in by) for r in [*had, *found]}
         if not touched:
             return {"partitions": 0, "rows": 0}
         inside = reduce(Column.__or__, [reduce(Column.__and__, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, values, strict=True)]) for values in sorted(touched, key=str)])
@@ -158,11 +166,14 @@ class Change:
         return self._write(table, kept.unionByName(rows.select(*old.columns)), [unquote(r["part_folder"]) for r in had])
 
     def _write(self, table: str, rows: DataFrame, replaced: list[str] | None) -> dict:
-        """Write rows into a folder of their own; they stand for their partitions and for the replaced ones, or for all."""
+        """Write rows into a folder of their own; they stand for their partitions and for the replaced ones, or for all.
+
+        Small partitions share tasks and large ones are split by size, so that the number of files follows the rows.
+        """
         by = self.store.layout[table]
         folder = f"{self.base + 1:010d}-{uuid.uuid4().hex[:12]}"
         seen = Observation()
-        dealt = rows.observe(seen, F.count(F.lit(1)).alias("rows")).repartition(*by, F.pmod(F.xxhash64(*[c for c in rows.columns if c not in by][:1]), F.lit(16)))
+        dealt = rows.observe(seen, F.count(F.lit(1)).alias("rows")).hint("rebalance", *by)
         dealt.write.partitionBy(*by).option("compression", "zstd").parquet(f"{self.store.path}/{table}/{folder}")
         names = self.store._partitions(table, folder, len(by))
         parts = {} if replaced is None else self.after[table]["parts"]

@@ -7,7 +7,7 @@ innings that held one has gone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from crease.operators import careers, scorecards
@@ -32,16 +32,17 @@ def part_of(player: str, parts: int = PLAYER_PARTS) -> Column:
     return F.pmod(F.xxhash64(player), F.lit(parts)).cast("int").alias("part")
 
 
-def match_tables(matches: DataFrame, balls: DataFrame) -> dict[str, DataFrame]:
-    """The gold tables that depend on single matches, with class and season of the match."""
+def match_tables(matches: DataFrame, lines: DataFrame, parts: DataFrame) -> dict[str, DataFrame]:
+    """The gold tables that depend on single matches, with class and season of the match, from player_innings() and over_parts()."""
     places = matches.select("match_id", *PLACE)
     placed = lambda table: table.join(places, "match_id")
+    totals = scorecards.totals_of(parts)
     return {
-        "innings": placed(scorecards.innings_totals(balls)),
-        "batting": placed(scorecards.batting_card(balls)),
-        "bowling": placed(scorecards.bowling_card(balls)),
-        "overs": placed(scorecards.overs_json(balls)),
-        "summary": scorecards.match_summary(matches, balls),
+        "innings": placed(totals),
+        "batting": placed(scorecards.card_of_batting(lines)),
+        "bowling": placed(scorecards.card_of_bowling(scorecards.bowler_overs_of(parts))),
+        "overs": placed(scorecards.json_of_overs(scorecards.rollup_of(parts))),
+        "summary": scorecards.summary_of(matches, totals),
     }
 
 
@@ -53,7 +54,8 @@ def apply_batch(gold: Store, matches: DataFrame, balls: DataFrame, gone: DataFra
     """Take a batch up as one change: matches and balls that are new or replace those of their match_id; gone: match_ids to delete.
 
     A match comes with all its balls. Returns per table the partitions and rows written, and as "read" the rows read of
-    innings that were looked up again. matches, balls and gone are read several times: give written tables. The new
+    innings that were looked up again. matches, balls and gone are read several times: give written tables, or what is
+    picked from them. Balls are read three times, for their own table, the players' innings and the overs' parts. The new
     state is seen at once, when all tables are written; a batch that is applied again changes nothing. more: other tables
     of the store that change with it, as rows, key and keys of replace_groups().
     """
@@ -64,24 +66,20 @@ def apply_batch(gold: Store, matches: DataFrame, balls: DataFrame, gone: DataFra
     done: dict[str, dict] = {}
 
     # where the old versions stand: one look at the matches, then only their classes and seasons are read
-    known = _or_none(change.read("matches"), matches)
-    old_places = known.join(keys, "match_id", "left_semi").select(*PLACE).distinct().collect()
-    within = F.lit(False)
-    for r in old_places:
-        within = within | (F.col(PLACE[0]).eqNullSafe(F.lit(r[0])) & F.col(PLACE[1]).eqNullSafe(F.lit(r[1])))
-    old_balls = _or_none(change.read("deliveries"), balls).filter(within).join(keys, "match_id", "left_semi")
-
-    for name, rows in {"deliveries": balls, "matches": matches, **match_tables(matches, balls)}.items():
-        done[name] = change.replace_groups(name, rows, ["match_id"], keys, within)
-
-    # players of the old and new versions
+    old_places = change.places("matches", ["match_id"], keys)
     work = new_folder(spark)
-    lines_of = lambda b, name: written(scorecards.player_innings(b).withColumn("part", part_of("player_id")), f"{work}/{name}")
-    new_lines, old_lines = lines_of(balls, "new"), lines_of(old_balls, "old")
+    new_lines = written(scorecards.player_innings(balls).withColumn("part", part_of("player_id")), f"{work}/new")
+    over_parts = written(scorecards.over_parts(balls), f"{work}/overs")
+    done["deliveries"] = change.replace_groups("deliveries", balls, ["match_id"], keys, had=old_places)
+    for name, rows in {"matches": matches, **match_tables(matches, new_lines, over_parts)}.items():
+        done[name] = change.replace_groups(name, rows, ["match_id"], keys, had=old_places, gets=matches)
+
+    # players of the old and new versions; the old ones' innings are there already
+    old_lines = written(_or_none(change.read("lines"), new_lines).join(keys.distinct(), "match_id", "left_semi"), f"{work}/old")
     touched = new_lines.select("player_id", "part").unionByName(old_lines.select("player_id", "part")).distinct()
     parts = [r.part for r in touched.select("part").distinct().collect()]
     in_parts = F.col("part").isin(parts)
-    done["lines"] = change.replace_groups("lines", new_lines, ["match_id"], keys, in_parts)
+    done["lines"] = change.replace_groups("lines", new_lines, ["match_id"], keys, had=[Row(part=p, part_folder=f"part={p}") for p in parts])
 
     had = change.read("careers")
     added, removed = careers.career_sums(new_lines), careers.career_sums(old_lines)

@@ -365,12 +365,12 @@ def _upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.expr("cast(substring(match_id, 2) as int)")
     early, revised = number % 5 != 0, number % 7 == 3
     other = lambda df: df.withColumn("season", F.when(revised, "1999").otherwise(F.col("season")))
-    copy = lambda df: df.filter(number == 3).withColumn("match_id", F.lit("X3"))
+    copy = lambda df: df.filter("match_id = 'M3'").withColumn("match_id", F.lit("X3"))
     scored = balls.filter(early).withColumn("runs_batter", F.when(revised, F.col("runs_batter") + 3).otherwise(F.col("runs_batter")))
     gold = upkeep.store(spark, new_folder(spark))
-    upkeep.apply_batch(gold, written(other(matches.filter(early)).unionByName(copy(matches))), written(other(scored).unionByName(copy(balls))))
+    upkeep.apply_batch(gold, written(other(matches.filter(early)).unionByName(copy(matches))), other(scored).unionByName(copy(balls)))
     late = ~early | revised
-    upkeep.apply_batch(gold, written(matches.filter(late)), written(balls.filter(late)), spark.createDataFrame([("X3",)], "match_id string"))
+    upkeep.apply_batch(gold, written(matches.filter(late)), balls.filter(late), spark.createDataFrame([("X3",)], "match_id string"))
     return careers.career_lines(gold.read("careers"))
 
 

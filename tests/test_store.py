@@ -137,3 +137,26 @@ def test_a_small_batch_touches_little(spark, sf_dir, tmp_path):
     assert done["deliveries"]["rows"] < balls.count() / 4
     kept = balls.filter("match_id <> 'M10'").unionByName(better)
     assert rows_of(careers.career_lines(gold.read("careers"))) == rows_of(careers.career_stats(kept))
+
+
+def test_a_batch_sums_its_balls_twice(spark, sf_dir, tmp_path, monkeypatch):
+    """Once for the players' innings and once for the overs' parts, whatever tables are taken from them; few rows go to few files."""
+    balls, matches = written(adapter.deliveries(spark, sf_dir)), written(adapter.matches(spark, sf_dir))
+    summed = []
+    for name in ("player_innings", "over_parts", "innings_totals", "over_rollup", "bowler_overs"):
+        monkeypatch.setattr(scorecards, name, lambda b, f=getattr(scorecards, name), n=name: summed.append(n) or f(b))
+    gold = upkeep.store(spark, str(tmp_path / "gold"))
+    upkeep.apply_batch(gold, matches, balls)
+    upkeep.apply_batch(gold, written(matches.filter("match_id > 'M5'")), written(balls.filter("match_id > 'M5'")))
+    assert sorted(summed) == ["over_parts"] * 2 + ["player_innings"] * 2
+    files = list((tmp_path / "gold" / "deliveries").glob("*/*/*/*.parquet"))
+    assert len(files) <= 2 * matches.select("match_class", "season").distinct().count()
+
+
+def test_cards_from_the_parts_of_overs(spark, sf_dir):
+    balls = written(adapter.deliveries(spark, sf_dir))
+    parts = scorecards.over_parts(balls)
+    assert scorecards.rollup_of(parts).dtypes == scorecards.over_rollup(balls).dtypes
+    assert rows_of(scorecards.rollup_of(parts)) == rows_of(scorecards.over_rollup(balls))
+    assert rows_of(scorecards.totals_of(parts)) == rows_of(scorecards.innings_totals(balls))
+    assert rows_of(scorecards.bowler_overs_of(parts)) == rows_of(scorecards.bowler_overs(balls))
