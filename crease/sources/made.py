@@ -107,7 +107,7 @@ def scorecard_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     # lines in order; those of one number by their other columns
     order = ["l_linenumber", "l_partkey", "l_quantity", "l_suppkey", "l_extendedprice"]
-    lists = i.select("l_orderkey", *order).repartition("l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("all"))
+    lists = i.select("l_orderkey", *order).repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("all"))
     odd = F.col("l_orderkey") % 2 == 1
     quantity = lambda x: x["l_quantity"].cast("int")
     who = lambda x: F.struct(x["l_partkey"].alias("objectId"), F.concat(F.lit("P"), x["l_partkey"].cast("string")).alias("name"))

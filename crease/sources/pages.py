@@ -114,21 +114,47 @@ def page_innings(pages: DataFrame, base: str) -> DataFrame:
     )
 
 
+def line_fields(paths: list[str], flags: tuple[str, ...] = ()) -> dict[str, str | dict[str, str]]:
+    """The fields of a line that paths of one or two steps need: texts and objects of texts; what may be either, and flags, stay parsed values."""
+    fields: dict[str, str | dict[str, str]] = {}
+    for top, _, rest in (p.partition(".") for p in paths):
+        had = fields.get(top, {} if rest else "string")
+        fields[top] = had | {rest: "string"} if rest and isinstance(had, dict) else "string" if not rest and had == "string" else "variant"
+    return fields | dict.fromkeys(flags, "variant")
+
+
+def _type_text(of: str | dict) -> str:
+    return of if isinstance(of, str) else f"struct<{','.join(f'{name}:{_type_text(t)}' for name, t in of.items())}>"
+
+
 def _lines(pages: DataFrame, base: str, paths: list[str], place: str, words: dict[str, list[str]], numbers: dict[str, list[str]], *flags: str) -> DataFrame:
     """A row for each line with its words and numbers, each the first of its paths that is there, and its flags.
 
-    Fields are looked up once, before rules ask for them several times; a loop over the lines of more code than the
-    JVM compiles (8000 bytes) runs many times slower.
+    A list of lines is taken from its innings in one look, all fields of a line at once, before rules ask for them
+    several times; a loop over the lines of more code than the JVM compiles (8000 bytes) runs many times slower.
     """
-    rows = _innings(pages, base).select("page_id", "innings_no", F.posexplode(first_list(F.col("innings"), paths)).alias("p", "line"))
-    first = lambda where: first_value(F.col("line"), [f"$.{p}" for p in where])
+    fields = line_fields([p for where in [*words.values(), *numbers.values()] for p in where], flags)
+    wanted = f"array<{_type_text(fields)}>"
+    lists = F.coalesce(*[F.try_variant_get("innings", p, wanted) for p in paths])
+    rows = _innings(pages, base).select("page_id", "innings_no", F.posexplode(lists).alias("p", "line"))
+    # by place: some fields differ in case only
+    at = {name: f"field{i}" for i, name in enumerate(fields)}
+    rows = rows.select("page_id", "innings_no", "p", "line.*").toDF("page_id", "innings_no", "p", *at.values())
+
+    def value(path: str) -> Column:
+        top, _, rest = path.partition(".")
+        if fields[top] == "variant":
+            return F.try_variant_get(at[top], f"$.{rest}" if rest else "$", "string")
+        return F.col(f"{at[top]}.{rest}" if rest else at[top])
+
+    first = lambda where: F.coalesce(*map(value, where))
     found = rows.select(
         "page_id",
         "innings_no",
         (F.col("p") + 1).alias(place),
         *[F.trim(first(where)).alias(name) for name, where in words.items()],
         *[first(where).try_cast("double").alias(name) for name, where in numbers.items()],
-        *[parsed_boolean(F.col("line"), f"$.{flag}").alias(flag) for flag in flags],
+        *[parsed_boolean(F.col(at[flag]), "$").alias(flag) for flag in flags],
     )
     return found.select(
         "page_id", "innings_no", place, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in words], *[rules.finite(F.col(c)).alias(c) for c in numbers], *flags

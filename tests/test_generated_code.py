@@ -3,6 +3,7 @@
 import pytest
 
 from crease import registry_lists
+from crease.sources import pages
 
 
 @pytest.mark.parametrize("name", ["scorecard_batting_lines", "scorecard_bowling_lines"])
@@ -20,3 +21,23 @@ def test_loops_are_compiled(spark, sf_dir, name):
 def test_pages_are_parsed_once(spark, sf_dir, name):
     plan = registry_lists.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+@pytest.mark.parametrize("name", ["scorecard_batting_lines", "scorecard_bowling_lines"])
+def test_a_list_of_lines_is_taken_in_one_look(spark, sf_dir, name):
+    """Six looks find the innings and their lines, two their number; what is left are fields that may be a text or an object, and flags."""
+    plan = registry_lists.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") <= 3 + 2 + 3 + (6 if "batting" in name else 0)
+
+
+def test_lines_of_odd_shapes(spark):
+    """Fields that are null, numbers, lists or objects where others are expected, lines that are no objects, and lists that are none."""
+    lines = '[{"player":{"name":" A ","objectId":7},"conceded":null,"runs":"9","overs":4.2},{"player":"x","bowler":{"longName":{"a":1},"objectId":"8"},"wickets":[1]},5,null,{"overs":{"o":1}}]'
+    data = [(1, f'{{"innings":[{{"inningBowlers":3,"bowlers":{lines},"batting":[{{"dismissalText":"b X","isOut":true}},{{"dismissalText":{{"short":"lbw"}},"isOut":"true","strikeRate":5}}]}}]}}')]
+    rows = spark.createDataFrame(data, "page_id long, data string")
+    bowl = pages.bowling_lines(rows, "").orderBy("bowling_pos").select("bowling_pos", "source_id", "name", "wickets", "runs", "overs").collect()
+    assert [tuple(r) for r in bowl] == [
+        (1, 7, "A", 0, 9, "4.2"), (2, 8, '{"a":1}', 0, 0, None), (3, None, None, 0, 0, None), (4, None, None, 0, 0, None), (5, None, None, 0, 0, '{"o":1}')
+    ]
+    bat = pages.batting_lines(rows, "").orderBy("batting_pos").select("out", "dismissal", "strike_rate").collect()
+    assert [tuple(r) for r in bat] == [(True, "BOWLED", None), (None, "LBW", 5.0)]
