@@ -57,13 +57,14 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per ball, hash-partitioned by (match_id, innings_no) after its only shuffle."""
+def deliveries(spark: SparkSession, sf_dir: str, whole_matches: bool = False) -> DataFrame:
+    """One row per ball, hash-partitioned by (match_id, innings_no) after its only shuffle; whole_matches: by match_id."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     m, inn, rn, over = F.col("m"), F.col("innings_no"), F.col("rn"), F.floor(F.col("rn") / 6)
     rows = items.select(
         *ORDER, "l_returnflag", F.floor(F.col("l_partkey") / 10).alias("m"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("innings_no")
     ).withColumn("match_id", _text("M", m))
+    rows = rows.repartition("match_id") if whole_matches else rows
     ball = W.partitionBy("match_id", "innings_no").orderBy(*ORDER)
     rows = rows.withColumn("rn", F.row_number().over(ball) - 1)
     c = _match_columns(m)

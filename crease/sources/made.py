@@ -14,8 +14,11 @@ ELEMENT, BASE = "PAGE_DATA", "props.content"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ball-by-ball view as match documents: one JSON text a match, parsed again with the readers' schema."""
-    balls, matches = adapter.deliveries(spark, sf_dir), adapter.matches(spark, sf_dir)
+    """The ball-by-ball view as match documents: one JSON text a match, parsed again with the readers' schema.
+
+    Balls are shuffled once, by match: overs, innings, people and documents are then put together where they are.
+    """
+    balls, matches = adapter.deliveries(spark, sf_dir, whole_matches=True), adapter.matches(spark, sf_dir)
     none = F.lit(None)
     wicket = F.struct(
         F.col("dismissal_kind").alias("kind"),
@@ -31,25 +34,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("extra_type").isNotNull(), F.create_map("extra_type", "runs_extras")).alias("extras"),
         F.when(F.col("is_wicket"), F.array(wicket)).alias("wickets"),
     )
-    names = F.map_from_entries(
-        F.array_distinct(
-            F.flatten(
-                F.collect_list(
-                    F.array(
-                        F.struct(F.col("batter_name").alias("k"), F.col("batter_id").alias("v")),
-                        F.struct(F.col("bowler_name").alias("k"), F.col("bowler_id").alias("v")),
-                        F.struct(F.col("non_striker_name").alias("k"), F.col("non_striker_id").alias("v")),
-                    )
-                )
-            )
-        )
-    )
-    people = balls.groupBy("match_id").agg(names.alias("people"))
-    overs = balls.groupBy("match_id", "innings_no", "over_no").agg(F.min("batting_team").alias("team"), F.array_sort(F.collect_list(ball), lambda a, b: a["b"] - b["b"]).alias("deliveries"))
+    people = F.array(*[F.struct(F.col(f"{who}_name").alias("k"), F.col(f"{who}_id").alias("v")) for who in ("batter", "bowler", "non_striker")])
+    together = lambda lists: F.array_distinct(F.flatten(F.collect_list(lists)))
+    overs = balls.groupBy("match_id", "innings_no", "over_no").agg(F.min("batting_team").alias("team"), together(people).alias("people"), F.array_sort(F.collect_list(ball), lambda a, b: a["b"] - b["b"]).alias("deliveries"))
     over = F.struct(F.col("over_no").alias("over"), "deliveries")
-    innings = overs.groupBy("match_id", "innings_no").agg(F.min("team").alias("team"), F.array_sort(F.collect_list(over), lambda a, b: a["over"] - b["over"]).alias("overs"))
+    innings = overs.groupBy("match_id", "innings_no").agg(F.min("team").alias("team"), together("people").alias("people"), F.array_sort(F.collect_list(over), lambda a, b: a["over"] - b["over"]).alias("overs"))
     inning = F.struct("innings_no", "team", "overs")
-    played = innings.groupBy("match_id").agg(F.array_sort(F.collect_list(inning), lambda a, b: a["innings_no"] - b["innings_no"]).alias("innings"))
+    played = innings.groupBy("match_id").agg(F.map_from_entries(together("people")).alias("people"), F.array_sort(F.collect_list(inning), lambda a, b: a["innings_no"] - b["innings_no"]).alias("innings"))
     kind = F.when(F.col("match_class") == "TEST", "Test").when(F.col("match_class") == "ODI", "ODI").otherwise("T20")
     info = F.struct(
         kind.alias("match_type"),
@@ -65,7 +56,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         none.cast("int").alias("balls_per_over"),
     )
     text = F.to_json(F.struct(F.struct("revision").alias("meta"), info.alias("info"), "innings"))
-    texts = matches.join(people, "match_id").join(played, "match_id").select("match_id", text.alias("text"))
+    texts = matches.join(played, "match_id").select("match_id", text.alias("text"))
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
     return texts.select("match_id", F.from_json("text", matchdocs.SCHEMA, options).alias("d")).select("match_id", "d.*")
 

@@ -174,3 +174,11 @@ def test_windows(spark, sf_dir):
 def test_feeds(spark):
     got = {r.feed: (r.file, r.label) for r in matchdocs.feeds(spark, [("all", "everything.zip", "All")], ["all", "cup"]).collect()}
     assert got == {"all": ("everything.zip", "All"), "cup": ("cup_json.zip", "cup")}
+
+
+def test_documents_are_made_from_one_shuffle_of_balls(spark, sf_dir):
+    """The balls are read and shuffled once, by match; the matches are read and shuffled beside them."""
+    from crease.sources import made
+
+    plan = made.documents(spark, sf_dir)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("FileScan parquet") == 2
