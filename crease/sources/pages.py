@@ -88,29 +88,31 @@ def parsed_boolean(value: Column, path: str) -> Column:
 
 #: Where a scorecard page keeps its innings, and an innings its lines.
 INNINGS_PATHS = ["scorecard.innings", "innings", "match.innings"]
-BATTING_PATHS = ["$.inningBatsmen", "$.batsmen", "$.batting"]
-BOWLING_PATHS = ["$.inningBowlers", "$.bowlers", "$.bowling"]
+BATTING_LISTS = ["inningBatsmen", "batsmen", "batting"]
+BOWLING_LISTS = ["inningBowlers", "bowlers", "bowling"]
 
 
-def _innings(pages: DataFrame, base: str) -> DataFrame:
-    """A row for each innings of scorecard pages, parsed once, with its number: the one given, else its place."""
+def _innings(pages: DataFrame, base: str, fields: dict[str, str]) -> DataFrame:
+    """A row for each innings of scorecard pages, with its number, the one given, else its place, and fields of these types.
+
+    A page is parsed once and looked at once for all of this: an innings that is first taken out as a parsed value is built again, whole.
+    """
+    wanted = ",".join(f"{name}:{of}" for name, of in {"inningNumber": "string", "inningsNumber": "string", **fields}.items())
     parsed = pages.select("page_id", F.try_parse_json("data").alias("page"))
-    given = first_list(F.col("page"), [f"$.{base}.{p}" if base else f"$.{p}" for p in INNINGS_PATHS])
+    given = F.coalesce(*[F.try_variant_get("page", f"$.{base}.{p}" if base else f"$.{p}", f"array<struct<{wanted}>>") for p in INNINGS_PATHS])
     rows = parsed.select("page_id", F.posexplode(given).alias("i", "innings"))
-    number = first_value(F.col("innings"), ["$.inningNumber", "$.inningsNumber"])
-    rows = rows.select("page_id", "i", "innings", number.alias("number"))
-    return rows.select("page_id", F.coalesce(rules.number_or_null(F.col("number")).cast("int"), F.col("i") + 1).alias("innings_no"), "innings")
+    rows = rows.select("page_id", "i", F.coalesce("innings.inningNumber", "innings.inningsNumber").alias("number"), *[F.col(f"innings.{name}") for name in fields])
+    return rows.select("page_id", F.coalesce(rules.number_or_null(F.col("number")).cast("int"), F.col("i") + 1).alias("innings_no"), *fields)
 
 
 def page_innings(pages: DataFrame, base: str) -> DataFrame:
     """Totals of the innings of scorecard pages."""
-    of = lambda path: first_value(F.col("innings"), [f"$.{path}"])
-    return _innings(pages, base).select(
+    return _innings(pages, base, dict.fromkeys(["runs", "wickets", "overs"], "string")).select(
         "page_id",
         "innings_no",
-        rules.number_or_null(of("runs")).cast("int").alias("runs"),
-        rules.number_or_null(of("wickets")).cast("int").alias("wickets"),
-        rules.text_or_null(of("overs")).alias("overs"),
+        rules.number_or_null(F.col("runs")).cast("int").alias("runs"),
+        rules.number_or_null(F.col("wickets")).cast("int").alias("wickets"),
+        rules.text_or_null(F.col("overs")).alias("overs"),
     )
 
 
@@ -127,16 +129,15 @@ def _type_text(of: str | dict) -> str:
     return of if isinstance(of, str) else f"struct<{','.join(f'{name}:{_type_text(t)}' for name, t in of.items())}>"
 
 
-def _lines(pages: DataFrame, base: str, paths: list[str], place: str, words: dict[str, list[str]], numbers: dict[str, list[str]], *flags: str) -> DataFrame:
+def _lines(pages: DataFrame, base: str, names: list[str], place: str, words: dict[str, list[str]], numbers: dict[str, list[str]], *flags: str) -> DataFrame:
     """A row for each line with its words and numbers, each the first of its paths that is there, and its flags.
 
-    A list of lines is taken from its innings in one look, all fields of a line at once, before rules ask for them
+    Lists of lines are taken with their innings in one look, all fields of a line at once, before rules ask for them
     several times; a loop over the lines of more code than the JVM compiles (8000 bytes) runs many times slower.
     """
     fields = line_fields([p for where in [*words.values(), *numbers.values()] for p in where], flags)
-    wanted = f"array<{_type_text(fields)}>"
-    lists = F.coalesce(*[F.try_variant_get("innings", p, wanted) for p in paths])
-    rows = _innings(pages, base).select("page_id", "innings_no", F.posexplode(lists).alias("p", "line"))
+    innings = _innings(pages, base, dict.fromkeys(names, f"array<{_type_text(fields)}>"))
+    rows = innings.select("page_id", "innings_no", F.posexplode(F.coalesce(*names)).alias("p", "line"))
     # by place: some fields differ in case only
     at = {name: f"field{i}" for i, name in enumerate(fields)}
     rows = rows.select("page_id", "innings_no", "p", "line.*").toDF("page_id", "innings_no", "p", *at.values())
@@ -175,7 +176,7 @@ def batting_lines(pages: DataFrame, base: str) -> DataFrame:
         "sixes": ["sixes"],
         "strike_rate": ["strikerate", "strikeRate"],
     }
-    return _lines(pages, base, BATTING_PATHS, "batting_pos", words, numbers, "isOut").select(
+    return _lines(pages, base, BATTING_LISTS, "batting_pos", words, numbers, "isOut").select(
         "page_id",
         "innings_no",
         "batting_pos",
@@ -202,7 +203,7 @@ def bowling_lines(pages: DataFrame, base: str) -> DataFrame:
         "maidens": ["maidens"],
         "economy": ["economy"],
     }
-    return _lines(pages, base, BOWLING_PATHS, "bowling_pos", words, numbers).select(
+    return _lines(pages, base, BOWLING_LISTS, "bowling_pos", words, numbers).select(
         "page_id",
         "innings_no",
         "bowling_pos",

@@ -41,3 +41,22 @@ def test_lines_of_odd_shapes(spark):
     ]
     bat = pages.batting_lines(rows, "").orderBy("batting_pos").select("out", "dismissal", "strike_rate").collect()
     assert [tuple(r) for r in bat] == [(True, "BOWLED", None), (None, "LBW", 5.0)]
+
+
+@pytest.mark.parametrize("name", ["scorecard_batting_lines", "scorecard_bowling_lines", "scorecard_innings"])
+def test_no_innings_is_built_again_and_no_line_interpreted(spark, sf_dir, name):
+    """An innings taken out as a parsed value is copied whole; a function over a list of lines is never compiled."""
+    plan = registry_lists.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") == 3 + (6 if "batting" in name else 0)
+    assert "ArrayType(VariantType" not in plan and "lambdafunction" not in plan
+
+
+def test_lines_of_no_order(spark, tmp_path):
+    """Lines without an order are a page too, as in the SQL; lines that lack numbers stay."""
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    rows = [(None, 5, 1, 2, 9.0, 1.0), (None, 4, 1, 1, 8.0, 1.0), (3, 6, 1, 2, None, 1.0), (3, 7, 1, 1, 2.0, 1.0), (2, None, 1, 1, 3.0, 1.0)]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry_lists.queries()["scorecard_bowling_lines"](spark, str(tmp_path)).select("page_id", "innings_no", "bowling_pos", "source_id", "wickets", "runs", "overs")
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        (2, 1, 1, None, 1, 5, "1.0"), (3, 7, 1, 7, 1, 2, "1.0"), (3, 7, 2, 6, 2, 0, "2.0"), (None, 1, 1, 4, 1, 10, "1.0"), (None, 1, 2, 5, 2, 11, "2.0")
+    ]
